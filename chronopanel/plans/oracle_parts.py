@@ -59,3 +59,45 @@ FROM syms s CROSS JOIN cal c LEFT JOIN bars b ON b.symbol = s.symbol AND b.sessi
 part("rets", "grid", """
 SELECT *, px / lag(px) OVER w - 1 AS ret, lag(px) OVER w AS px1, lag(close) OVER w AS close1
 FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY pos)""")
+part("civil", "cal", """
+SELECT d.day, c.session, c.pos, max(c.session) OVER (ORDER BY d.day ROWS UNBOUNDED PRECEDING) AS on_or_before,
+  max(c.session) OVER (ORDER BY d.day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  min(c.session) OVER (ORDER BY d.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS on_or_after,
+  min(c.session) OVER (ORDER BY d.day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+FROM (SELECT CAST(unnest(generate_series((SELECT min(session) FROM cal) - INTERVAL 70 DAY, (SELECT max(session) FROM cal) + INTERVAL 70 DAY, INTERVAL 1 DAY)) AS DATE) AS day) d
+LEFT JOIN cal c ON c.session = d.day""")
+part("event_days", "", """
+SELECT DISTINCT CAST(o_orderdate AS DATE) AS event_day FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 490000""")
+part("holidays", "cal", """
+SELECT CAST(y || '-' || md AS DATE) AS holiday FROM (SELECT DISTINCT year(session) AS y FROM cal) CROSS JOIN (VALUES ('01-01'),('07-04'),('12-25')) t(md)""")
+part("third_fri", "cal", """
+SELECT CAST(m + INTERVAL (((5 - isodow(m) + 7) % 7) + 14) DAY AS DATE) AS nominal FROM (SELECT DISTINCT date_trunc('month', session) AS m FROM cal)""")
+part("flags", "cal event_days holidays third_fri", """
+SELECT session, pos, isodow(session)-1 AS weekday, month(session) AS month,
+ row_number() OVER (PARTITION BY date_trunc('month',session) ORDER BY session)-1 AS session_of_month,
+ row_number() OVER (PARTITION BY date_trunc('month',session) ORDER BY session DESC)-1 AS to_month_end,
+ row_number() OVER (PARTITION BY date_trunc('quarter',session) ORDER BY session DESC)-1 AS to_quarter_end,
+ row_number() OVER (PARTITION BY date_trunc('month',session) ORDER BY session DESC) <= 5 AS month_end_window,
+ row_number() OVER (PARTITION BY date_trunc('quarter',session) ORDER BY session DESC) <= 5 AS quarter_end_window,
+ row_number() OVER (PARTITION BY date_trunc('month',session) ORDER BY session) <= 3
+   OR row_number() OVER (PARTITION BY date_trunc('month',session) ORDER BY session DESC) = 1 AS turn_of_month,
+ EXISTS (SELECT 1 FROM holidays h WHERE h.holiday > c.session AND NOT EXISTS (SELECT 1 FROM cal d WHERE d.session > c.session AND d.session < h.holiday)) AS pre_holiday,
+ EXISTS (SELECT 1 FROM holidays h WHERE h.holiday < c.session AND NOT EXISTS (SELECT 1 FROM cal d WHERE d.session < c.session AND d.session > h.holiday)) AS post_holiday,
+ EXISTS (SELECT 1 FROM event_days e WHERE e.event_day > c.session AND NOT EXISTS (SELECT 1 FROM cal d WHERE d.session > c.session AND d.session < e.event_day)
+   AND e.event_day <= (SELECT max(session) FROM cal) + INTERVAL 70 DAY) AS event_day_before,
+ session IN (SELECT event_day FROM event_days) AS event_day_of,
+ isoyear(session)*100+week(session) IN (SELECT isoyear(event_day)*100+week(event_day) FROM event_days) AS event_week,
+ isoyear(session)*100+week(session) IN (SELECT isoyear(nominal)*100+week(nominal) FROM third_fri) AS opex_week
+FROM cal c""")
+part("anns", "", """
+SELECT o_orderkey AS event_id, n_name AS symbol, CAST(o_orderdate AS DATE) AS event_day,
+ CASE o_orderpriority[1] WHEN '1' THEN 'EARNINGS' WHEN '2' THEN 'GUIDANCE_NEGATIVE' WHEN '3' THEN 'HALT' ELSE 'OTHER' END AS kind,
+ o_totalprice AS value, CAST(o_orderdate AS DATE) + 1 AS available_day,
+ CASE WHEN o_orderpriority[1] = '3' THEN CAST(o_orderdate AS DATE) + 3 END AS ended_day
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 440000""")
+part("members", "bars", """
+WITH s AS (SELECT symbol, CAST(substring(symbol,8) AS INTEGER) AS k, min(session) AS first FROM bars GROUP BY symbol),
+ a AS (SELECT symbol, k, first + k*20 AS start, first + k*20 + 700 + k*13 AS "end" FROM s)
+SELECT symbol, start, "end" FROM a UNION ALL
+SELECT symbol, "end" + 100, CASE WHEN k % 3 <> 0 THEN "end" + 1000 END FROM a""")
+part("venue", "bars", "SELECT session, row_number() OVER (ORDER BY session) AS pos FROM bars WHERE symbol = 'NATION_1'")

@@ -165,3 +165,61 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(
         spark, sf_dir, "grid", lambda: dense(with_returns(spark, sf_dir), calendar(spark, sf_dir))
     )
+
+
+def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scheduled-event stand-in: days of very large urgent orders (at most one row per day)."""
+    o = table(spark, sf_dir, "orders")
+    return o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 490000)).select(
+        F.to_date("o_orderdate").alias("event_day")
+    ).distinct()
+
+
+def calendar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.calendar import calendar_features, closures
+
+    def build():
+        cal = calendar(spark, sf_dir)
+        return calendar_features(cal, closures(cal), event_days(spark, sf_dir))
+
+    return kept(spark, sf_dir, "flags", build)
+
+
+def venue_calendar(spark: SparkSession, sf_dir: str, symbol: str = "NATION_1") -> DataFrame:
+    """Sessions on which one thin symbol traded: a calendar with irregular closures."""
+    return kept(
+        spark, sf_dir, f"venue-{symbol}",
+        lambda: number_sessions(bars(spark, sf_dir).where(F.col("symbol") == symbol)),
+    )
+
+
+def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corporate-event stand-in from large orders: (symbol, event_day, kind, value, available_at)."""
+    def build():
+        o = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 440000)
+        c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+        n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("symbol"))
+        x = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+        p = F.substring("o_orderpriority", 1, 1)
+        kind = F.when(p == "1", "EARNINGS").when(p == "2", "GUIDANCE_NEGATIVE").when(p == "3", "HALT").otherwise("OTHER")
+        return x.select(
+            F.col("o_orderkey").alias("event_id"), "symbol", F.to_date("o_orderdate").alias("event_day"),
+            kind.alias("kind"), F.col("o_totalprice").alias("value"),
+            F.date_add(F.to_date("o_orderdate"), 1).alias("available_day"),
+            F.when(p == "3", F.date_add(F.to_date("o_orderdate"), 3)).alias("ended_day"),
+        )
+
+    return kept(spark, sf_dir, "announcements", build)
+
+
+def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-open membership intervals: two per symbol, the second open-ended for some."""
+    b = bars(spark, sf_dir)
+    k = F.expr("cast(substring(symbol, 8) as int)")
+    span = b.groupBy("symbol").agg(F.min("session").alias("first")).withColumn("k", k)
+    start = F.date_add("first", F.col("k") * 20)
+    first_end = F.date_add(start, F.lit(700) + F.col("k") * 13)
+    second = F.date_add(first_end, 100)
+    end = F.when(F.col("k") % 3 != 0, F.date_add(second, 900))
+    return span.select("symbol", F.inline(F.array(
+        F.struct(start.alias("start"), first_end.alias("end")), F.struct(second.alias("start"), end.alias("end")))))

@@ -25,7 +25,7 @@ def duck(sf_dir: str):
 
 def canonical(frame) -> list[tuple]:
     def value(v):
-        if v is None or v != v or type(v).__name__ in ("NaTType", "NAType"):
+        if v is None or type(v).__name__ in ("NaTType", "NAType") or v != v:
             return "NULL"
         kind = type(v).__name__
         if kind in ("bool", "bool_"):
@@ -57,8 +57,9 @@ def compare(spark, con, query, sf_dir: str) -> str:
     note = " EMPTY" if not a else ""
     if a == b:
         return f"ok {len(a)} ({spent:.1f}s, sql {spent_sql:.1f}s){note}"
-    extra = [r for r in a if r not in set(b)][:3]
-    missing = [r for r in b if r not in set(a)][:3]
+    left, right = set(a), set(b)
+    extra = [r for r in a if r not in right][:3]
+    missing = [r for r in b if r not in left][:3]
     return f"MISMATCH spark={len(a)} oracle={len(b)} cols={sorted(got.columns)}\n   spark  {extra}\n   oracle {missing}"
 
 

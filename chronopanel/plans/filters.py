@@ -157,7 +157,7 @@ def entry_verdicts(spark, sf):
 
 @query("FLT-14", "symbol session edge direction timer fired", digits=5, parts="ewm own", sql="""
 WITH x AS (SELECT o.symbol, o.session, o.i, o.px, CASE WHEN e.i >= 3 THEN CASE WHEN e.d2 = 0 AND e.u2 > 0 THEN 100.0 WHEN e.d2 = 0 THEN 50.0 ELSE 100.0-100.0/(1.0+e.u2/e.d2) END END AS rsi2,
-  max(o.px) OVER b AS high20, min(o.px) OVER b AS low20, CASE WHEN count(o.px) OVER g < 50 THEN 'UNKNOWN' WHEN o.px > avg(o.px) OVER g THEN 'UP' ELSE 'DOWN' END AS regime,
+  max(o.px) OVER b AS high20, min(o.px) OVER b AS low20, CASE WHEN count(o.px) OVER g < 50 THEN 'UNKNOWN' WHEN o.px > round(avg(o.px) OVER g, 9) THEN 'UP' ELSE 'DOWN' END AS regime,
   CASE WHEN count(o.px) OVER f = 20 AND stddev_pop(o.px) OVER f > 2.5e-10 THEN (o.px - (avg(o.px) OVER f - 2*stddev_pop(o.px) OVER f)) / (4*stddev_pop(o.px) OVER f) END AS pct_b
  FROM own o JOIN ewm e ON e.symbol = o.symbol AND e.i = o.i WINDOW b AS (PARTITION BY o.symbol ORDER BY o.i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),
   f AS (PARTITION BY o.symbol ORDER BY o.i ROWS 19 PRECEDING), g AS (PARTITION BY o.symbol ORDER BY o.i ROWS 49 PRECEDING)),
@@ -171,7 +171,7 @@ def entry_timers(spark, sf):
     b, g = own.rowsBetween(-20, -1), own.rowsBetween(-49, 0)
     x = P.placed(spark, sf).select(
         "symbol", "session", "px", F.max("px").over(b).alias("high20"), F.min("px").over(b).alias("low20"),
-        F.when(F.count("px").over(g) < 50, "UNKNOWN").when(F.col("px") > F.avg("px").over(g), "UP").otherwise("DOWN").alias("regime"))
+        F.when(F.count("px").over(g) < 50, "UNKNOWN").when(F.col("px") > F.round(F.avg("px").over(g), 9), "UP").otherwise("DOWN").alias("regime"))
     x = x.join(recursive_indicators(spark, sf).select("symbol", "session", "rsi2"), ["symbol", "session"])
     x = x.join(bollinger_percent_b(spark, sf), ["symbol", "session"])
     sides = F.array(*[F.struct(F.lit(e).alias("edge"), F.lit(d).alias("direction")) for e in ("REVERSAL", "MOMENTUM", "CALENDAR") for d in ("LONG", "SHORT")])

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..session import scratch_path
 
 SPLIT_DAY = dt.date(1998, 6, 1)
 _KEPT: dict[tuple, DataFrame] = {}
@@ -25,18 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A stage table built once per application; lost blocks are recomputed from lineage."""
+    """A stage table: written once per application to the shared folder and read back.
+
+    A written table ends the plan's lineage, survives the loss of any executor, and lets later readers
+    prune columns and push filters; a cache would do none of the three.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
-        _KEPT[key] = build().persist()
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _KEPT[key] = spark.read.parquet(path)
     return _KEPT[key]
 
 
-def forget(spark: SparkSession) -> None:
-    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
-        _KEPT.pop(key).unpersist()
-
-
 def price_cents(extended: Column, quantity: Column) -> Column:
     """Damped unit price in whole cents (daily moves stay above -100 %)."""
     return F.round(F.lit(10000.0) * F.pow(extended / quantity / F.lit(1000.0), F.lit(0.05))).cast("bigint")

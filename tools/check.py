@@ -69,7 +69,7 @@ def main(names: list[str]) -> int:
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     catalogue = load()
     import importlib

@@ -156,10 +156,11 @@ def romano_wolf(means: DataFrame, family: DataFrame, reps: int) -> DataFrame:
     return p.select("trial", "t", "raw", F.least(F.lit(1.0), F.max("raw").over(up)).alias("p_rw"))
 
 
-def studentized_sharpe(streams_arrays: DataFrame, paths: DataFrame, lags: int, confidence: float = 0.95) -> DataFrame:
+def studentized_sharpe(streams_arrays: DataFrame, paths: DataFrame, lags: int, confidence: float = 0.95,
+                       trial_blocks: int = 8) -> DataFrame:
     """Studentised interval of the annual Sharpe: each rep is divided by the HAC error of its influence.
 
-    Reps meet trials in (rep block) groups; a group holds its paths and one trial's values.
+    Reps meet trials in (rep block, trial block) groups; a group holds 64 paths and its trials' values.
     """
     path_rows = paths.groupBy("rep").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda s: s["idx"]).alias("path"))
@@ -193,8 +194,8 @@ def studentized_sharpe(streams_arrays: DataFrame, paths: DataFrame, lags: int, c
 
     every = blocks.agg(F.max("rb").alias("top"))
     right = streams_arrays.join(F.broadcast(every)).select(
-        "trial", "xs", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("rb"), F.pmod(F.xxhash64("trial"), F.lit(64)).alias("tb"))
-    left = blocks.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("bigint"))
+        "trial", "xs", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("rb"), F.pmod(F.xxhash64("trial"), F.lit(trial_blocks)).cast("int").alias("tb"))
+    left = blocks.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(trial_blocks - 1))))
     z = left.groupBy("rb", "tb").cogroup(right.groupBy("rb", "tb")).applyInPandas(
         run, "trial string, estimate double, se double, z double").where("not isnan(z)")
     a = (1.0 - confidence) / 2.0

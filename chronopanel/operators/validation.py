@@ -146,7 +146,12 @@ def split_performance(streams: DataFrame, sides: DataFrame, value: str = "net")
 
 
 def overfitting(perf: DataFrame) -> DataFrame:
-    """Per split: the train winner's mid-rank percentile on the test side and its logit."""
+    """Per split: the train winner's mid-rank percentile on the test side and its logit.
+
+    A trial without a finite Sharpe in every split has no rank and is left out of all of them.
+    """
+    flat = perf.where("train is null or test is null").select("trial").distinct()
+    perf = perf.join(flat, "trial", "left_anti")
     group = W.partitionBy("split")
     n = F.count("test").over(group)
     below = F.rank().over(group.orderBy("test")) - 1

@@ -52,7 +52,7 @@ def moving_block_paths(spark, sf):
 
 @query("STAT-05", "trial #n_reps ~mean_low ~mean_high ~sharpe_low ~sharpe_high", digits=5, parts="boot cal", sql="""
 SELECT trial, count(*) AS n_reps, quantile_cont(m,0.025) AS mean_low, quantile_cont(m,0.975) AS mean_high, quantile_cont(sh,0.025) AS sharpe_low, quantile_cont(sh,0.975) AS sharpe_high FROM (
-SELECT trial, s1/n AS m, s1/n/sqrt((s2-s1*s1/n)/(n-1.0))*sqrt(252.0) AS sh FROM boot, (SELECT count(*) AS n FROM cal)) GROUP BY trial""")
+SELECT trial, s1/n AS m, CASE WHEN (s2-s1*s1/n)/(n-1.0) > 1e-18 THEN s1/n/sqrt((s2-s1*s1/n)/(n-1.0))*sqrt(252.0) END AS sh FROM boot, (SELECT count(*) AS n FROM cal)) GROUP BY trial""")
 def bootstrap_intervals(spark, sf):
     return intervals(spark, sf)
 
@@ -67,7 +67,7 @@ def family(spark, sf):
 
 part("fam", "ix cal", """
 WITH n AS (SELECT count(*) AS n FROM cal), c AS (SELECT trial, idx, v, v - avg(v) OVER (PARTITION BY trial) AS c FROM ix),
- g AS (SELECT a.trial, b.idx - a.idx AS k, sum(a.c*b.c) AS g FROM c a JOIN c b ON a.trial = b.trial AND b.idx >= a.idx AND b.idx <= a.idx + 400 GROUP BY ALL)
+ g AS (SELECT a.trial, b.idx - a.idx AS k, sum(a.c*b.c) AS g FROM c a JOIN c b ON a.trial = b.trial AND b.idx >= a.idx GROUP BY ALL)
 SELECT trial, mean, lrv, sqrt(greatest(lrv,0)/n) AS se, mean/sqrt(greatest(lrv,0)/n) AS t,
  CASE WHEN mean >= -sqrt(greatest(lrv,0)/n*2*ln(greatest(ln(n),1))) THEN mean ELSE 0.0 END AS center FROM n, (
  SELECT g.trial, sum(CASE WHEN k = 0 THEN g ELSE 2*g*((1-k/n.n)*power(0.9,k)+(k/n.n)*power(0.9,n.n-k)) END)/any_value(n.n) AS lrv FROM g, n GROUP BY g.trial) JOIN (SELECT trial, avg(v) AS mean FROM ix GROUP BY trial) USING (trial)""")
@@ -126,7 +126,7 @@ def hac_sql(rows: str, keys: str, holding: int = 1) -> str:
     return f"""c AS (SELECT {keys}, v - avg(v) OVER (PARTITION BY {keys}) AS c, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS i FROM ({rows})),
  m AS (SELECT {keys}, count(*) AS n, avg(v) AS mean, CAST(least(count(*)-1, greatest(floor(4*power(count(*)/100.0,2.0/9.0)),{holding - 1})) AS BIGINT) AS lags FROM ({rows}) GROUP BY {keys}),
  g AS (SELECT {a_keys}, l.k, sum(a.c*b.c) AS g FROM c a JOIN m ON {on_m} JOIN (SELECT unnest(generate_series(0,12)) AS k) l ON l.k <= m.lags JOIN c b ON {on} AND b.i = a.i - l.k GROUP BY {a_keys}, l.k),
- hac AS (SELECT {keys}, n, mean, mean/sqrt(greatest(sum(CASE WHEN k = 0 THEN g ELSE 2*(1-k/(lags+1.0))*g END),0)/n/n) AS t FROM m JOIN g USING ({keys}) GROUP BY {keys}, n, mean, lags)"""
+ hac AS (SELECT {keys}, n, mean, CASE WHEN sum(CASE WHEN k = 0 THEN g ELSE 2*(1-k/(lags+1.0))*g END) <= 0 THEN 0.0 ELSE mean/sqrt(greatest(sum(CASE WHEN k = 0 THEN g ELSE 2*(1-k/(lags+1.0))*g END),0)/n/n) END AS t FROM m JOIN g USING ({keys}) GROUP BY {keys}, n, mean, lags)"""
 
 
 @query("VAL-02", "trial #n_folds ~positive_fraction #n_oos ~oos_mean ~oos_t majority significant", digits=5, parts="streams folds", sql=f"""
@@ -159,7 +159,8 @@ def combinatorial_purged_splits(spark, sf):
 
 
 part("pbos", "sides ix", """
-WITH s AS (SELECT split, trial, side, avg(v)/stddev_samp(v) AS sh FROM ix JOIN sides ON i = idx GROUP BY ALL),
+WITH s0 AS (SELECT split, trial, side, avg(v)/nullif(stddev_samp(v),0) AS sh FROM ix JOIN sides ON i = idx GROUP BY ALL),
+ s AS (SELECT * FROM s0 WHERE trial NOT IN (SELECT trial FROM s0 WHERE sh IS NULL)),
  w AS (SELECT a.split, a.trial, a.sh AS train, b.sh AS test FROM s a JOIN s b ON a.split = b.split AND a.trial = b.trial AND a.side = 'train' AND b.side = 'test')
 SELECT split, trial AS selected, pct, ln(pct/(1-pct)) AS logit FROM (SELECT a.split, a.trial, (count(*) FILTER (b.test < a.test) + (count(*) FILTER (b.test = a.test) + 1)/2.0)/count(*) AS pct
  FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY split ORDER BY train DESC, trial) = 1) a JOIN w b ON a.split = b.split GROUP BY a.split, a.trial)""")

@@ -42,11 +42,11 @@ def _project_sql(body: str, columns: tuple[str, ...], digits: int) -> str:
     out = []
     for mark in columns:
         if mark[0] == "~":
-            out.append(f"round(CAST({mark[1:]} AS DOUBLE), {digits}) + 0.0 AS {mark[1:]}")
+            out.append(f'round(CAST("{mark[1:]}" AS DOUBLE), {digits}) + 0.0 AS "{mark[1:]}"')
         elif mark[0] == "#":
-            out.append(f"CAST({mark[1:]} AS BIGINT) AS {mark[1:]}")
+            out.append(f'CAST("{mark[1:]}" AS BIGINT) AS "{mark[1:]}"')
         else:
-            out.append(mark)
+            out.append(f'"{mark}"')
     return f"SELECT {', '.join(out)} FROM (\n{body}\n) AS answer"
 
 

@@ -33,3 +33,12 @@ def condition_statistics(r: DataFrame, conditions: DataFrame, minimum: int = 60,
     t = t.withColumn("shrunk", shrunk_mean(F.col("mean"), F.col("t")))
     same = F.signum("first_half") == F.signum("second_half")
     return t.withColumn("tier", F.when((F.abs("t") > 2) & same & (F.col("mean") > 0), "TAILWIND").when((F.abs("t") > 2) & same, "HEADWIND").otherwise("NEUTRAL"))
+
+
+def alignment(r: DataFrame, upcoming: DataFrame) -> DataFrame:
+    """Score of upcoming weekdays: sum of the means of the calendar conditions that will hold."""
+    tags = lambda: F.array(F.concat(F.lit("W"), F.weekday("session").cast("string")), F.concat(F.lit("M"), F.month("session").cast("string")))
+    past = r.where("ret is not null").select("ret", F.explode(tags()).alias("cond")).groupBy("cond").agg(
+        F.round(F.avg("ret"), 9).alias("m"), F.round(F.avg((F.col("ret") > 0).cast("double")), 9).alias("h"))
+    x = upcoming.where("weekday < 5").select("session", F.explode(tags()).alias("cond")).join(past, "cond")
+    return x.groupBy("session").agg((F.sum("m") * 10000).alias("score"), F.avg("h").alias("win"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,3 +27,90 @@ def month_end_decisions(x: DataFrame, decision: str, out: str, key: str = "symbo
     w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     x = x.withColumn("_w", F.when(last, F.col(decision)))
     return x.withColumn(out, F.coalesce(F.last("_w", True).over(w), F.lit(0.0))).drop("_w")
+
+
+def lagged_book(weights: DataFrame, market: DataFrame, lag: int, key: str | None = None) -> DataFrame:
+    """Gross return per session of weights applied ``lag`` sessions later (missing returns count as zero,
+    a session without any return is null)."""
+    keys = [key] if key else []
+    w = weights.where("weight <> 0").select(*keys, "symbol", (F.col("pos") + lag).alias("pos"), "weight")
+    x = w.join(market.select("symbol", "pos", "session", "ret"), ["symbol", "pos"])
+    return x.groupBy(*keys, "pos", "session").agg(
+        F.when(F.count("ret") > 0, F.sum(F.coalesce(F.col("weight") * F.col("ret"), F.lit(0.0)))).alias("gross"))
+
+
+def mask_stream(x: DataFrame, flag: str, ret: str, side_cost: float, keys=("symbol",)) -> DataFrame:
+    """Return on flagged sessions, paying one side on the first and one on the last session of a run."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    f = F.col(flag)
+    no = F.lit(False)
+    first = f & ~F.coalesce(F.lag(f).over(w), no)
+    last = f & ~F.coalesce(F.lead(f).over(w), no)
+    cost = (first.cast("double") + last.cast("double")) * side_cost
+    return x.select(*keys, "session", "pos", F.when(f, F.coalesce(ret, F.lit(0.0))).otherwise(0.0).alias("gross"), cost.alias("cost")).withColumn(
+        "net", F.col("gross") - F.col("cost"))
+
+
+def flip_stream(x: DataFrame, position: str, ret: str, side_cost: float, keys=("symbol",)) -> DataFrame:
+    """Held position times return, paying for every change of position."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    p = F.col(position)
+    cost = F.abs(p - F.coalesce(F.lag(p).over(w), F.lit(0.0))) * side_cost
+    return x.select(*keys, "session", "pos", (p * F.coalesce(ret, F.lit(0.0))).alias("gross"), cost.alias("cost")).withColumn("net", F.col("gross") - F.col("cost"))
+
+
+def fill_limited(rows: DataFrame, gross_cap: float) -> DataFrame:
+    """Positions when a name that cannot trade keeps its position.
+
+    Row t depends on all of row t-1 (locked exposure takes part of the gross cap), so this is a recursion
+    over the sessions of one trial. A group holds only the names the trial ever wants or holds.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        want = pdf.pivot(index="pos", columns="symbol", values="desired").fillna(0.0)
+        open_ = pdf.pivot(index="pos", columns="symbol", values="tradable").reindex_like(want).fillna(False).to_numpy(bool)
+        target, held = want.to_numpy(float), np.zeros(want.shape)
+        for t in range(1, len(target)):
+            stuck = np.where(open_[t - 1], 0.0, held[t - 1])
+            asked = np.where(open_[t - 1], target[t], 0.0)
+            room, need = max(gross_cap - np.abs(stuck).sum(), 0.0), np.abs(asked).sum()
+            held[t] = stuck + asked * (min(1.0, room / need) if need > 0 else 1.0)
+        out = pd.DataFrame(held, index=want.index, columns=want.columns).stack().rename("weight").reset_index()
+        out = out[out["weight"] != 0.0]
+        out["trial"] = pdf["trial"].iloc[0]
+        return out[["trial", "symbol", "pos", "weight"]]
+
+    return rows.groupBy("trial").applyInPandas(run, "trial string, symbol string, pos int, weight double")
+
+
+def trade_pairs(days: DataFrame, threshold: float, leg_weight: float, daily_borrow: float) -> DataFrame:
+    """Open at ``threshold`` sigma, close at the zero cross, both one session later; closed by cycle end.
+
+    ``days`` has one row per (cycle, a, b, pos) with spread, sigma, ret_a, ret_b and leg costs; a group is
+    one pair in one cycle.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos").reset_index(drop=True)
+        now, due, rows = 0, None, []
+        for i, d in enumerate(pdf.itertuples()):
+            gross = now * (d.ret_a - d.ret_b) * leg_weight
+            cost = daily_borrow * leg_weight if now else 0.0
+            active = now != 0
+            if due is not None:
+                cost += d.leg_cost
+                now, due = due, None
+            if i == len(pdf) - 1:
+                cost += d.leg_cost if now else 0.0
+                now = 0
+            elif now == 0 and d.sigma > 0 and abs(d.spread) > threshold * d.sigma:
+                due = -1 if d.spread > 0 else 1
+            elif now and now * d.spread >= 0:
+                due = 0
+            rows.append((d.cycle, d.a, d.b, d.pos, gross, cost, active))
+        return pd.DataFrame(rows, columns=["cycle", "a", "b", "pos", "gross", "cost", "active"])
+
+    return days.groupBy("cycle", "a", "b").applyInPandas(run, "cycle int, a string, b string, pos int, gross double, cost double, active boolean")

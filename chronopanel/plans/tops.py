@@ -52,7 +52,7 @@ SELECT c.session AS cohort, c.symbol, c.side, r.pos - c.pos AS day_offset, r.ret
 SELECT * FROM (SELECT symbol, session, pos, CASE WHEN a <= 5 THEN 'TOP' WHEN b <= 5 THEN 'BOTTOM' END AS side, n FROM (
  SELECT *, row_number() OVER (PARTITION BY session ORDER BY rev DESC, symbol) AS a, row_number() OVER (PARTITION BY session ORDER BY rev, symbol) AS b,
  count(*) OVER (PARTITION BY session) AS n FROM rev5 WHERE rev IS NOT NULL AND session IN (SELECT max(session) FROM cal GROUP BY date_trunc('month', session))))
- WHERE side IS NOT NULL AND n >= 10) c JOIN rets r ON r.symbol = c.symbol AND r.pos > c.pos + 1 AND r.pos <= c.pos + 22 AND r.ret IS NOT NULL""")
+ WHERE side IS NOT NULL AND n >= 10) c JOIN rets r ON r.symbol = c.symbol AND r.pos > c.pos AND r.pos <= c.pos + 21 AND r.ret IS NOT NULL""")
 def month_end_cohort_paths(spark, sf):
     from ..operators.cohorts import cohort_members, cohort_paths
 

@@ -32,7 +32,7 @@ def drifted_returns(selected: DataFrame, ends: DataFrame, market: DataFrame) ->
     Selected names are expanded to their window's sessions; missing returns count as zero, so the running
     product runs over the window's own positions.
     """
-    s = selected.join(ends.where("next_pos is not null"), "session")
+    s = selected.select("symbol", "session").join(ends.where("next_pos is not null"), "session")
     x = s.select("k", "symbol", F.explode(F.sequence(F.col("pos") + 1, F.col("next_pos"))).alias("pos"))
     x = x.join(market.select("symbol", "pos", "ret"), ["symbol", "pos"], "left").withColumn("r", F.coalesce("ret", F.lit(0.0)))
     w = W.partitionBy("k", "symbol").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)

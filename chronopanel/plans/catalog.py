@@ -20,7 +20,12 @@ class Query:
     ids: tuple[str, ...]
     columns: tuple[str, ...]
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    body: str | None
+    parts: tuple[str, ...]
+
+    @property
+    def sql(self) -> str | None:
+        return None if self.body is None else with_parts(list(self.parts), self.body)
 
 
 CATALOG: dict[str, Query] = {}
@@ -64,8 +69,8 @@ def query(ids: str, columns: str, sql: str | None = None, parts: str = "", digit
 
         text = None
         if sql is not None:
-            text = with_parts(parts.split(), _project_sql(sql.strip().rstrip(";"), marks, digits))
-        CATALOG[key] = Query(key, tuple(ids.split()), marks, run, text)
+            text = _project_sql(sql.strip().rstrip(";"), marks, digits)
+        CATALOG[key] = Query(key, tuple(ids.split()), marks, run, text, tuple(parts.split()))
         return fn
 
     return register

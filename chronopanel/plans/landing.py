@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.scalar import tolerant_date  # noqa: F401
+from ..operators.families import REVERSAL
 from ..session import scratch_path
 from ..sources import landed as L
 from ..sources import pages as PG
@@ -238,6 +239,6 @@ def wide_streams_to_long(spark, sf):
     from .inference import streams
 
     s = streams(spark, sf)
-    names = [r[0] for r in s.select("trial").distinct().orderBy("trial").limit(2000).collect()]
+    names = ["|".join((g, str(k), d)) for g in REVERSAL["signal"] for k in REVERSAL["breadth"] for d in REVERSAL["side"]]
     wide = s.groupBy("session").pivot("trial", names).agg(F.max("net"))
-    return wide.unpivot("session", [F.col(f"`{n}`") for n in names], "trial", "net")
+    return wide.unpivot("session", [F.col(f"`{n}`") for n in names], "trial", "net").where("net is not null")

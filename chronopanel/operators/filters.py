@@ -27,7 +27,9 @@ def reasons(**rules: Column) -> Column:
 def vetoed(decisions: DataFrame, events: DataFrame, before_days: int = 7) -> DataFrame:
     """Decisions stopped by an event known at the decision: earnings from ``before_days`` earlier until the
     holding ends, negative guidance in the same span, or a halt that has not ended."""
-    e = events.select(F.col("symbol").alias("_s"), "kind", "event_day", "available_day", "ended_day")
+    # Only the day of an event matters here, so copies collapse to at most one row per day and kind.
+    e = events.where(F.col("kind").isin("EARNINGS", "GUIDANCE_NEGATIVE", "HALT")).select(
+        F.col("symbol").alias("_s"), "kind", "event_day", "available_day", "ended_day").distinct()
     span = (F.col("event_day") >= F.date_sub("session", before_days)) & (F.col("event_day") <= F.col("hold_end"))
     past = (F.col("event_day") >= F.date_sub("session", before_days)) & (F.col("event_day") <= F.col("session"))
     halt = (F.col("event_day") <= F.col("session")) & (F.coalesce("ended_day", F.lit("9999-12-31").cast("date")) > F.col("session"))

@@ -49,8 +49,9 @@ def reconcile(decisions: DataFrame, bars: DataFrame, slippage_bps: float = 15.0)
 
 def lanes(marks: DataFrame, limit: float = -0.30) -> DataFrame:
     """Latest and peak equity per lane; a lane that ever fell 30 % below its peak has ended."""
-    w = W.partitionBy("lane").orderBy("at", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    x = marks.withColumn("peak", F.max("equity").over(w))
+    from .running import running
+
+    x = running(marks.withColumn("hour", F.date_trunc("hour", "at")), ["lane"], "hour", ["at", "event_id"], maxima={"peak": "equity"})
     dead = (F.col("equity") / F.col("peak") - 1 <= limit) | (F.col("equity") <= 0)
     return x.groupBy("lane").agg(F.max_by("equity", F.struct("at", "event_id")).alias("equity"), F.max("peak").alias("peak"), F.bool_or(dead).alias("terminated"))
 

@@ -190,8 +190,8 @@ def time_of_day_class(spark, sf):
 SELECT b.symbol, b.session, max_by(a.event_id, (a.available_day, a.event_id)) AS context_id FROM bars b JOIN anns a ON a.symbol = b.symbol AND a.kind = 'OTHER'
  AND a.available_day <= b.session AND b.session < a.available_day + 10 GROUP BY b.symbol, b.session""")
 def valid_operator_context(spark, sf):
-    a = P.announcements(spark, sf).where("kind = 'OTHER'").select(
-        "symbol", F.col("available_day").alias("start"), F.date_add("available_day", 10).alias("end"), "event_id")
+    a = P.announcements(spark, sf).where("kind = 'OTHER'").groupBy("symbol", F.col("available_day").alias("start")).agg(
+        F.max("event_id").alias("event_id")).withColumn("end", F.date_add("start", 10))
     x = M.during(P.bars(spark, sf).select("symbol", "session"), a)
     return x.groupBy("symbol", "session").agg(F.max_by("event_id", F.struct("start", "event_id")).alias("context_id"))
 

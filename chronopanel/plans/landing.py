@@ -17,7 +17,7 @@ from .oracle_parts import part
 
 
 def documents(bars, body):
-    """One document per symbol and year: a landed file of at most a year's sessions."""
+    """One document per symbol and year: at most a year's sessions per group."""
     return bars.groupBy("symbol", F.year("session").alias("y")).agg(body.alias("body"))
 
 
@@ -130,7 +130,7 @@ def filings(spark, sf):
     a = P.announcements(spark, sf)
     cols = {"accessionNumber": F.col("event_id").cast("string"), "form": F.expr(FORM), "items": F.when(F.col("kind") == "EARNINGS", "2.02,9.01").when(F.col("kind") == "GUIDANCE_NEGATIVE", "7.01").otherwise(""),
             "acceptanceDateTime": F.when(F.col("kind") == "OTHER", F.date_format("event_day", "yyyy-MM-dd")).otherwise(F.date_format("event_day", "yyyy-MM-dd'T'16:05:00")), "primaryDocument": F.lit("d.htm")}
-    docs = a.groupBy("symbol", F.year("event_day").alias("y")).agg(F.to_json(F.struct(*[F.collect_list(v).alias(k) for k, v in cols.items()])).alias("body"))
+    docs = a.select("symbol", F.to_json(F.struct(*[F.array(v).alias(k) for k, v in cols.items()])).alias("body"))
     return L.filing_rows(docs)
 
 
@@ -176,7 +176,7 @@ def positioning_reports(spark, sf):
     number = lambda f: F.format_number(F.round(F.col("o_totalprice") * f, 0), 0)
     rec = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("report_date"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "067651").otherwise("0").alias("contract"),
                    number(0.6).alias("long_all"), number(0.25).alias("short_all"), number(1.0).alias("open_interest"))
-    docs = o.groupBy(F.to_date("o_orderdate")).agg(F.to_json(F.collect_list(rec)).alias("body"))
+    docs = o.select(F.to_json(F.array(rec)).alias("body"))
     return L.positioning(docs, "067651").withColumn("available", clock.stamp("available_at"))
 
 

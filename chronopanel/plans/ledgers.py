@@ -47,7 +47,7 @@ STATES = {"view": "WAITING", "click": "CONFIRMED", "signup": "UPDATED", "purchas
 
 
 @query("STR-06", "recommendation_id #event_id to_state accepted state #revision", sql="""
-WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS rec, event_id, CASE event_type WHEN 'view' THEN 'WAITING' WHEN 'click' THEN 'CONFIRMED' WHEN 'signup' THEN 'UPDATED' WHEN 'purchase' THEN 'ENTERED' ELSE 'EXITED' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+WITH RECURSIVE e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS rec, event_id, CASE event_type WHEN 'view' THEN 'WAITING' WHEN 'click' THEN 'CONFIRMED' WHEN 'signup' THEN 'UPDATED' WHEN 'purchase' THEN 'ENTERED' ELSE 'EXITED' END AS s, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS i FROM events),
  r AS (SELECT rec, CAST(NULL AS BIGINT) AS event_id, '' AS s, false AS ok, 'PROPOSED' AS state, 0 AS rev, CAST(0 AS BIGINT) AS i FROM (SELECT DISTINCT rec FROM e) UNION ALL
  SELECT e.rec, e.event_id, e.s, k.ok, CASE WHEN k.ok THEN e.s ELSE r.state END, r.rev + CASE WHEN k.ok THEN 1 ELSE 0 END, e.i FROM r JOIN e ON e.rec = r.rec AND e.i = r.i + 1,
   LATERAL (SELECT (r.state || '>' || e.s) IN ('PROPOSED>WAITING','PROPOSED>CONFIRMED','PROPOSED>CANCELLED','WAITING>CONFIRMED','WAITING>UPDATED','WAITING>CANCELLED','UPDATED>WAITING','UPDATED>CONFIRMED','UPDATED>CANCELLED','CONFIRMED>UPDATED','CONFIRMED>CANCELLED','CONFIRMED>ENTERED','ENTERED>EXITED') AS ok) k)
@@ -55,7 +55,7 @@ SELECT rec AS recommendation_id, event_id, s AS to_state, ok AS accepted, state,
 def state_machine(spark, sf):
     t = RN.tick_stream(spark, sf)
     to = F.create_map(*[F.lit(v) for kv in STATES.items() for v in kv])
-    x = t.select(F.col("user_id").cast("string").alias("recommendation_id"), "event_id", to[F.col("symbol")].alias("to_state"))
+    x = t.select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("recommendation_id"), "event_id", to[F.col("symbol")].alias("to_state"))
     return RN.drain(ST.transitions(x), "transitions")
 
 

@@ -199,9 +199,11 @@ WINDOW w AS (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROW
 def session_vwap(spark, sf):
     from ..sources.ticks import ticks
 
-    w = W.partitionBy("symbol", "session").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return ticks(spark, sf).select(
-        "event_id", (F.sum(F.col("price") * F.col("size")).over(w) / F.nullif(F.sum("size").over(w), F.lit(0.0))).alias("vwap"))
+    from ..operators.running import running
+
+    t = ticks(spark, sf).withColumn("traded", F.col("price") * F.col("size")).withColumn("minute", F.date_trunc("minute", "ts"))
+    x = running(t, ["symbol", "session"], "minute", ["ts", "event_id"], {"money": "traded", "shares": "size"})
+    return x.select("event_id", (F.col("money") / F.nullif("shares", F.lit(0.0))).alias("vwap"))
 
 
 @query("WIN-26 WIN-53", "symbol session ~percentile ~exposure ~flip_cost", parts="mkt", sql="""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close")
@@ -40,8 +39,7 @@ def rebuild_bars(snapshot: DataFrame) -> DataFrame:
 
 def latest_snapshots(catalogue: DataFrame) -> DataFrame:
     """Newest snapshot per asset."""
-    w = W.partitionBy("asset").orderBy(F.col("fetched_at").desc(), F.col("snapshot_id").desc())
-    return catalogue.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return catalogue.groupBy("asset").agg(F.max(F.struct("fetched_at", "snapshot_id")).alias("t")).select("asset", "t.*")
 
 
 def write_artifact(df: DataFrame, root: str) -> str:

@@ -41,10 +41,16 @@ def first_capture(ticks: DataFrame, keys: list[str], late: str = "1 day") -> Dat
 
 
 def fresh_pairs(signals: DataFrame, quotes: DataFrame, minutes: int = 30) -> DataFrame:
-    """Signals with every quote of the last ``minutes`` (interval join; both sides bounded by watermarks)."""
-    s = signals.withWatermark("signal_at", "1 hour")
-    q = quotes.withWatermark("quote_at", "1 hour")
-    near = (F.col("user_id") == F.col("quote_user")) & (F.col("quote_at") <= F.col("signal_at")) & (
+    """Signals with every quote of the last ``minutes`` (interval join; both sides bounded by watermarks).
+
+    The key carries a time bucket as wide as the interval, so a busy user's state and rows spread over
+    buckets; a signal looks into its own bucket and the one before.
+    """
+    wide = minutes * 60
+    own = F.floor(F.unix_timestamp("signal_at") / wide)
+    s = signals.withWatermark("signal_at", "1 hour").withColumn("bucket", F.explode(F.array(own, own - 1)))
+    q = quotes.withWatermark("quote_at", "1 hour").withColumn("quote_bucket", F.floor(F.unix_timestamp("quote_at") / wide))
+    near = (F.col("user_id") == F.col("quote_user")) & (F.col("bucket") == F.col("quote_bucket")) & (F.col("quote_at") <= F.col("signal_at")) & (
         F.col("quote_at") >= F.col("signal_at") - F.expr(f"INTERVAL {minutes} MINUTES"))
     return s.join(q, near)
 

@@ -192,7 +192,7 @@ def bollinger_percent_b(spark, sf):
     return P.placed(spark, sf).select("symbol", "session", X.bollinger_b().alias("pct_b"))
 
 
-@query("WIN-24", "#event_id ~vwap", sql="""
+@query("WIN-24", "#event_id ~vwap", digits=9, sql="""
 SELECT event_id, sum(value*k) OVER w / nullif(sum(k) OVER w, 0) AS vwap
 FROM (SELECT event_id, ts, event_type, value, CAST(json_extract(props,'$.k') AS DOUBLE) AS k FROM events)
 WINDOW w AS (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")

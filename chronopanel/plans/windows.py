@@ -192,10 +192,11 @@ def bollinger_percent_b(spark, sf):
     return P.placed(spark, sf).select("symbol", "session", X.bollinger_b().alias("pct_b"))
 
 
-@query("WIN-24", "#event_id ~vwap", digits=9, sql="""
-SELECT event_id, sum(value*k) OVER w / nullif(sum(k) OVER w, 0) AS vwap
+@query("WIN-24", "#event_id ~money #shares ~premium", sql="""
+SELECT event_id, money, shares, value/nullif(money/nullif(shares,0),0)-1 AS premium FROM (
+SELECT event_id, value, sum(value*k) OVER w AS money, sum(k) OVER w AS shares
 FROM (SELECT event_id, ts, event_type, value, CAST(json_extract(props,'$.k') AS DOUBLE) AS k FROM events)
-WINDOW w AS (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+WINDOW w AS (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))""")
 def session_vwap(spark, sf):
     from ..sources.ticks import ticks
 
@@ -203,7 +204,8 @@ def session_vwap(spark, sf):
 
     t = ticks(spark, sf).withColumn("traded", F.col("price") * F.col("size")).withColumn("minute", F.date_trunc("minute", "ts"))
     x = running(t, ["symbol", "session"], "minute", ["ts", "event_id"], {"money": "traded", "shares": "size"})
-    return x.select("event_id", (F.col("money") / F.nullif("shares", F.lit(0.0))).alias("vwap"))
+    vwap = F.col("money") / F.nullif("shares", F.lit(0.0))
+    return x.withColumn("premium", F.col("price") / F.nullif(vwap, F.lit(0.0)) - 1)
 
 
 @query("WIN-26 WIN-53", "symbol session ~percentile ~exposure ~flip_cost", parts="mkt", sql="""

@@ -54,20 +54,19 @@ def build_bars(lines: DataFrame, supplier: DataFrame, nation: DataFrame) -> Data
         price_cents(F.col("l_extendedprice"), F.col("l_quantity")).alias("cents"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tick"),
     )
-    names = supplier.select("s_suppkey", "s_nationkey").join(
-        nation.select("n_nationkey", "n_name", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    joined = ticks.join(names, F.col("l_suppkey") == F.col("s_suppkey"))
+    # Keys and buffers are fixed-width until the rows are daily; names join in afterwards. A string buffer
+    # here would turn both aggregates into sorts of the whole line table.
+    joined = ticks.join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     packed = F.col("tick") * 100000 + F.col("cents")
-    daily = joined.groupBy("n_nationkey", "session").agg(
+    daily = joined.groupBy("s_nationkey", "session").agg(
         F.min(packed).alias("first_packed"),
         F.max(packed).alias("last_packed"),
         F.max("cents").alias("hi"),
         F.min("cents").alias("lo"),
         F.sum("l_quantity").alias("volume"),
-        F.min("n_name").alias("symbol"),
-        F.min("n_regionkey").alias("region"),
     )
+    names = nation.select("n_nationkey", F.col("n_name").alias("symbol"), F.col("n_regionkey").alias("region"))
+    daily = daily.join(names, F.col("s_nationkey") == F.col("n_nationkey"))
     splits = F.col("n_nationkey") % 5 == 0
     mult = F.when(splits & (F.col("session") < F.lit(SPLIT_DAY)), 2.0).otherwise(1.0)
     last = (F.col("last_packed") % 100000) / 100.0

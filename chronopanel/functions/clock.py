@@ -40,6 +40,11 @@ def stamp(instant: str | Column) -> Column:
     return F.date_format(col(instant), "yyyy-MM-dd HH:mm:ss")
 
 
+def arrival_key(instant: str | Column, tie: str | Column) -> Column:
+    """Instant and tie-breaker as one decimal: fixed-width, so first/last-by aggregates hash instead of sort."""
+    return F.unix_micros(col(instant)).cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)") + col(tie).cast("decimal(15,0)")
+
+
 def clock_minutes(instant: str | Column) -> Column:
     wall = new_york_wall(instant)
     return F.hour(wall) * 60 + F.minute(wall)

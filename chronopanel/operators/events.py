@@ -33,7 +33,7 @@ def unexpected_earnings(eps: DataFrame, history: int = 8, minimum: int = 6) -> D
 
 def scorecard_rows(ledger: DataFrame) -> DataFrame:
     """First fill and first later exit per recommendation. Aggregates combine map-side; no self join."""
-    order = F.struct("at", "event_id")
+    order = clock.arrival_key("at", "event_id")
     fills = ledger.where("event = 'FILL'").groupBy("recommendation_id").agg(F.min_by("price", order).alias("fill"), F.min("at").alias("filled_at"))
     exits = ledger.where("event = 'EXIT'").join(fills, "recommendation_id").where("at > filled_at").groupBy("recommendation_id").agg(
         F.min_by("price", order).alias("exit_price"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import clock
+
 
 def accepted_marks(marks: DataFrame) -> DataFrame:
     """A mark counts only when later than every earlier-arrived one; running extremes of accepted prices."""
@@ -53,7 +55,7 @@ def lanes(marks: DataFrame, limit: float = -0.30) -> DataFrame:
 
     x = running(marks.withColumn("hour", F.date_trunc("hour", "at")), ["lane"], "hour", ["at", "event_id"], maxima={"peak": "equity"})
     dead = (F.col("equity") / F.col("peak") - 1 <= limit) | (F.col("equity") <= 0)
-    return x.groupBy("lane").agg(F.max_by("equity", F.struct("at", "event_id")).alias("equity"), F.max("peak").alias("peak"), F.bool_or(dead).alias("terminated"))
+    return x.groupBy("lane").agg(F.max_by("equity", clock.arrival_key("at", "event_id")).alias("equity"), F.max("peak").alias("peak"), F.bool_or(dead).alias("terminated"))
 
 
 def revalidation(price: Column, plan: Column, age_seconds: Column, halted: Column, regime: Column, atr: Column) -> Column:

@@ -109,7 +109,7 @@ SELECT rec AS recommendation_id, event_id, least(0, min(m) OVER w) AS mae, great
 WINDOW w AS (PARTITION BY rec ORDER BY ts, event_id)""")
 def running_excursions(spark, sf):
     led = ledger(spark, sf)
-    entry = led.where("event = 'FILL'").groupBy("recommendation_id").agg(F.min_by("price", F.struct("at", "event_id")).alias("fill"))
+    entry = led.where("event = 'FILL'").groupBy("recommendation_id").agg(F.min_by("price", clock.arrival_key("at", "event_id")).alias("fill"))
     side = F.when(F.substring_index("recommendation_id", "-", 1).cast("bigint") % 2 == 0, "LONG").otherwise("SHORT")
     return PA.excursions(led.where("event = 'MARK'"), entry.withColumn("direction", side))
 

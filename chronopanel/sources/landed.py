@@ -78,8 +78,9 @@ def first_complete_provider(rows: DataFrame, priority: list[str], required: Data
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
     """Newest quote per symbol by provider time."""
-    return quotes.groupBy("symbol").agg(F.max_by(F.struct("price", "provider_time", "received_at", "halted"), F.struct("provider_time", "received_at")).alias("q")).select(
-        "symbol", "q.*", (F.unix_timestamp("q.received_at") - F.unix_timestamp("q.provider_time")).alias("delay_seconds"))
+    key = clock.arrival_key("provider_time", F.unix_micros("received_at") - F.unix_micros("provider_time"))
+    newest = quotes.groupBy("symbol").agg(*[F.max_by(c, key).alias(c) for c in ("price", "provider_time", "received_at", "halted")])
+    return newest.withColumn("delay_seconds", F.unix_timestamp("received_at") - F.unix_timestamp("provider_time"))
 
 
 def factor_lines(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = "mixing secrets".split()
+MODULES = "mixing secrets simhash quality".split()
 
 
 def load() -> dict:

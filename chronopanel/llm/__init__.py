@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = "mixing secrets simhash quality".split()
+MODULES = "mixing secrets simhash quality encoding".split()
 
 
 def load() -> dict:

@@ -105,8 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.
     return boosting.fit(x[order], got.column("quality").to_numpy()[order].astype(float), np.array(list(FEATURES.values())))
 
 
-def judged(docs: DataFrame, trees: boosting.Trees) -> DataFrame:
-    """All columns of the documents and a struct `verdict` with the counts, the score and both decisions."""
+def judged(docs: DataFrame, trees: boosting.Trees, carry: list[str] | None = None) -> DataFrame:
+    """`row` (all columns of the documents, or those to carry) and `verdict` (the counts, the score, both decisions)."""
     kinds = "struct<" + ", ".join(f"{n}:bigint" for n in BASE) + ", score:double, base_failed:boolean, kept:boolean>"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def judged(docs: DataFrame, trees: boosting.Trees) -> DataFrame:
             verdict = pa.StructArray.from_arrays(fields, [*BASE, "score", "base_failed", "kept"])
             yield pa.RecordBatch.from_arrays([rows.column("row"), verdict], ["row", "verdict"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text" or "lang" in docs.columns]).alias("row"), F.col("text").alias("__text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col("text").alias("__text"))
     return packed.mapInArrow(judge, f"row {packed.schema['row'].dataType.simpleString()}, verdict {kinds}")
 
 
@@ -126,4 +126,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_ready(spark)
     docs = documents(spark, sf_dir, "doc_id", "text")
     trees = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged(docs, trees).select("row.doc_id", *[f"verdict.{n}" for n in BASE], "verdict.base_failed", "verdict.kept", "verdict.score")
+    return judged(docs, trees, ["doc_id"]).select("row.doc_id", *[f"verdict.{n}" for n in BASE], "verdict.base_failed", "verdict.kept", "verdict.score")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = "mixing secrets simhash quality encoding toxicity counts".split()
+MODULES = "mixing secrets vectors simhash quality encoding toxicity counts".split()
 
 
 def load() -> dict:

@@ -41,6 +41,8 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 40, depth:
     not taken, and the middle of its two values bounds all values below it on either side."""
     share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
     base, nodes, roots = float(np.log(share / (1 - share))), [], []
+    if len(np.unique(y)) < 2:
+        return _flat(base, [], [], depth)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
     margin = np.full(len(y), base)
@@ -69,7 +71,7 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 40, depth:
             nodes[me] = [f, float(cuts[f][k]), one, two, rate * value]
         return me
 
-    for _ in range(trees if 0 < share and len(np.unique(y)) > 1 else 0):
+    for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
         roots.append(grow(np.arange(len(y)), p - y, p * (1 - p), 0, -4.0, 4.0))
         flat = _flat(base, roots[-1:], nodes, depth)

@@ -1,9 +1,10 @@
 """Mixing of sources to target weights by weighted fair queueing.
 
 Every document gets a virtual finish time: the words of its source up to and with it, in a shuffled order, divided by
-the target of the source. A source may be used twice, so a document has two finish times, one for each pass. All
-passes of all documents stand in one order by finish time, and the mix is the longest start of that order that fits
-the total budget. At time 1 each source has reached its target within one document.
+the target of the source. A source may be used twice, so a document has two finish times, one for each pass. Passes
+of which half or more lies before time 1, at which a source reaches its target, stand in one order by finish time, and
+the mix is the longest start of that order that fits the total budget. So a source is over its target by half a
+document at most, and below it by less than one.
 
 Nulls: a null text has size 0, a null source is a source of its own and stands last, a null doc_id is shuffled like any
 other value. A document of size 0 takes 0 words. Repeated rows are rows of their own. An empty table gives an empty
@@ -59,8 +60,12 @@ def finish_times(rows: DataFrame, goals: DataFrame, *carry: str) -> DataFrame:
     rows = rows.withColumn("part", part).withColumn("within", F.sum("size").over(within))
     joined = rows.join(parts, F.col("source").eqNullSafe(F.col("part_source")) & (F.col("part") == F.col("of_part")))
     words = F.col("before") + F.col("within")
-    later = F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("source_size") + words) / F.col("target"))
-    return joined.select(*carry, "doc_id", "source", "draw", "size", "source_size", "target", F.when(F.col("target") > 0, words / F.col("target")).alias("finish_1"), later.alias("finish_2"))
+
+    def finish(words):
+        timely = (F.col("target") > 0) & (F.col("size") > 0) & (words - F.col("size") / 2.0 <= F.col("target"))
+        return F.when(timely, words / F.col("target"))
+
+    return joined.select(*carry, "doc_id", "source", "draw", "size", "source_size", "target", finish(words).alias("finish_1"), finish(F.col("source_size") + words).alias("finish_2"))
 
 
 def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
@@ -79,12 +84,12 @@ def repeated(docs: DataFrame, share: float = SHARE) -> DataFrame:
 def _taken(rows: DataFrame, share: float, *carry: str) -> DataFrame:
     timed = staged(finish_times(rows, targets(rows, share=share), *carry), "mix-times")
     slot = F.least(F.floor(F.col("finish") * SLOTS), F.lit(8 * SLOTS)).cast("long")
-    passes = timed.select("doc_id", "draw", "size", F.explode(F.array("finish_1", "finish_2")).alias("finish")).filter("finish IS NOT NULL AND size > 0").withColumn("slot", slot)
+    passes = timed.select("doc_id", "draw", "size", F.explode(F.array("finish_1", "finish_2")).alias("finish")).filter("finish IS NOT NULL").withColumn("slot", slot)
     budget = timed.agg(F.sum("size")).first()[0] or 0
     running = F.sum("words").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0))
     over = passes.groupBy("slot").agg(F.sum("size").alias("words")).withColumn("till", running).filter(F.col("till") > budget * share).orderBy("slot").first()
     item = F.struct("finish", "draw", "doc_id")
-    if over is None:  # the budget is never exceeded: only an empty mix
+    if over is None:  # all timely passes fit the budget
         taken = [F.lit(True), F.lit(True)]
     else:
         order = W.partitionBy("slot").orderBy("finish", "draw", "doc_id").rowsBetween(W.unboundedPreceding, 0)
@@ -122,7 +127,7 @@ timed AS (
   FROM rows r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source),
 passes AS (
   SELECT doc_id, draw, size, (words + k * source_size) / target AS finish, k
-  FROM timed, (VALUES (0), (1)) AS p(k) WHERE size > 0 AND target > 0),
+  FROM timed, (VALUES (0), (1)) AS p(k) WHERE size > 0 AND target > 0 AND words + k * source_size - size / 2.0::DOUBLE <= target),
 taken AS (
   SELECT doc_id, draw, size, sum(size) OVER (ORDER BY finish, draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS till FROM passes),
 used AS (SELECT doc_id, count(*) AS n FROM taken WHERE till <= (SELECT 1.5::DOUBLE * sum(size) FROM rows) GROUP BY doc_id)

@@ -1,61 +1,47 @@
 """Expanding-history statistics: rank and quantiles of everything seen before a row.
 
-Both need order statistics of a growing prefix. One Arrow group is one series (bounded by the trading
-calendar); a sorted buffer with binary search costs n log n instead of a quadratic self join.
+Earlier values are kept in order inside a JVM fold over one series, whose length is bounded by the trading calendar.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import fold
+
+
+def _insert(seen, x):
+    """Ordered values with one more."""
+    more = F.concat(F.filter(seen, lambda v: v <= x), F.array(x), F.filter(seen, lambda v: v > x))
+    return F.when(x.isNull() | F.isnan(x), seen).otherwise(more)
+
+
+def _series(df: DataFrame, value: str, key: str, order: str, emit, types: str) -> DataFrame:
+    start = {"seen": F.array().cast("array<double>")}
+    x = df.withColumn("_x", F.col(value).cast("double"))
+    out = fold(x, [key], order, ["_x"], start, lambda s, r: {"seen": _insert(s["seen"], r["_x"])}, lambda s, _, r: emit(s["seen"], r["_x"]), types)
+    return df.join(out, [key, order])
+
 
 def expanding_percentile(df: DataFrame, value: str, minimum: int = 252, key: str = "symbol", order: str = "pos") -> DataFrame:
-    """Mid-rank of a value among strictly earlier values, over (number of earlier values + 1)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        seen: list[float] = []
-        out = np.full(len(pdf), np.nan)
-        for i, x in enumerate(pdf[value].to_numpy(dtype=float)):
-            if np.isnan(x):
-                continue
-            if len(seen) >= minimum:
-                out[i] = (bisect_left(seen, x) + bisect_right(seen, x)) / 2.0 / (len(seen) + 1)
-            insort(seen, x)
-        return pdf.assign(percentile=out)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", percentile double"
-    out = df.groupBy(key).applyInPandas(run, schema)
-    return out.withColumn("percentile", F.nanvl("percentile", F.lit(None).cast("double")))
-
-
-def expanding_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], minimum: int, key: str = "symbol",
-                        order: str = "pos") -> DataFrame:
+    """Share of earlier values below a row's value, equal ones counted half, over one more than their number."""
+
+    def emit(seen, x):
+        below, upto = F.size(F.filter(seen, lambda v: v < x)), F.size(F.filter(seen, lambda v: v <= x))
+        ready = (F.size(seen) >= minimum) & x.isNotNull() & ~F.isnan(x)
+        return {"percentile": F.when(ready, (below + upto) / F.lit(2.0) / (F.size(seen) + 1))}
+
+    return _series(df, value, key, order, emit, "percentile:double")
+
+
+def expanding_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], minimum: int, key: str = "symbol", order: str = "pos") -> DataFrame:
     """Linear-interpolated quantiles of strictly earlier values."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        seen: list[float] = []
-        out = {name: np.full(len(pdf), np.nan) for name in quantiles}
-        for i, x in enumerate(pdf[value].to_numpy(dtype=float)):
-            if len(seen) >= minimum:
-                for name, q in quantiles.items():
-                    at = q * (len(seen) - 1)
-                    low = int(at)
-                    high = min(low + 1, len(seen) - 1)
-                    out[name][i] = seen[low] + (seen[high] - seen[low]) * (at - low)
-            if not np.isnan(x):
-                insort(seen, x)
-        return pdf.assign(**out)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += "".join(f", {name} double" for name in quantiles)
-    out = df.groupBy(key).applyInPandas(run, schema)
-    for name in quantiles:
-        out = out.withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
-    return out
+    def at(seen, q):
+        place = (F.size(seen) - 1) * F.lit(float(q))
+        low = F.floor(place).cast("int")
+        a, b = F.get(seen, low), F.get(seen, F.least(low + 1, F.size(seen) - 1))
+        return F.when(F.size(seen) >= minimum, a + (b - a) * (place - low))
+
+    return _series(df, value, key, order, lambda seen, _: {n: at(seen, q) for n, q in quantiles.items()}, ",".join(f"{n}:double" for n in quantiles))

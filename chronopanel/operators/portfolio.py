@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def overlapping_cohorts(x: DataFrame, entry: str, holding: int, out: str, key: str = "symbol") -> DataFrame:
     """Mean of the last ``holding`` entry rows of a dense panel (shorter at the start)."""
@@ -62,55 +64,47 @@ def flip_stream(x: DataFrame, position: str, ret: str, side_cost: float, keys=("
 def fill_limited(rows: DataFrame, gross_cap: float) -> DataFrame:
     """Positions when a name that cannot trade keeps its position.
 
-    Row t depends on all of row t-1 (locked exposure takes part of the gross cap), so this is a recursion
-    over the sessions of one trial. A group holds only the names the trial ever wants or holds.
+    A trial's book is one vector over the names it ever wants, and a session's orders are the same vector. What was
+    closed to trading on the session before is carried; the rest shares the gross that the carried part leaves.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        want = pdf.pivot(index="pos", columns="symbol", values="desired").fillna(0.0)
-        open_ = pdf.pivot(index="pos", columns="symbol", values="tradable").reindex_like(want).fillna(False).to_numpy(bool)
-        target, held = want.to_numpy(float), np.zeros(want.shape)
-        for t in range(1, len(target)):
-            stuck = np.where(open_[t - 1], 0.0, held[t - 1])
-            asked = np.where(open_[t - 1], target[t], 0.0)
-            room, need = max(gross_cap - np.abs(stuck).sum(), 0.0), np.abs(asked).sum()
-            held[t] = stuck + asked * (min(1.0, room / need) if need > 0 else 1.0)
-        out = pd.DataFrame(held, index=want.index, columns=want.columns).stack().rename("weight").reset_index()
-        out = out[out["weight"] != 0.0]
-        out["trial"] = pdf["trial"].iloc[0]
-        return out[["trial", "symbol", "pos", "weight"]]
-
-    return rows.groupBy("trial").applyInPandas(run, "trial string, symbol string, pos int, weight double")
+    size = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x))
+    orders = rows.groupBy("trial", "pos").agg(F.array_sort(F.collect_list(F.struct("symbol", F.col("desired").cast("double").alias("desired"), "tradable"))).alias("orders"))
+
+    def step(s, row):
+        wanted = F.transform(row["orders"], lambda o: o["desired"])
+        free = F.when(F.size(s["closed"]) == 0, F.transform(wanted, lambda _: F.lit(0.0))).otherwise(F.zip_with(s["closed"], wanted, lambda c, w: F.when(c, 0.0).otherwise(w)))
+        carried = F.zip_with(s["book"], s["closed"], lambda b, c: F.when(c, b).otherwise(0.0))
+        share = F.least(F.lit(1.0), F.greatest(gross_cap - size(carried), F.lit(0.0)) / F.nullif(size(free), F.lit(0.0)))
+        book = F.zip_with(carried, free, lambda k, f: F.coalesce(k, F.lit(0.0)) + f * F.coalesce(share, F.lit(1.0)))
+        return {"book": book, "closed": F.transform(row["orders"], lambda o: ~o["tradable"])}
+
+    none = {"book": F.array().cast("array<double>"), "closed": F.array().cast("array<boolean>")}
+    named = lambda _, s, row: {"book": F.arrays_zip(F.transform(row["orders"], lambda o: o["symbol"]).alias("symbol"), s["book"].alias("weight"))}
+    held = fold(orders, ["trial"], "pos", ["orders"], none, step, named, "book:array<struct<symbol:string,weight:double>>")
+    return held.select("trial", "pos", F.inline("book")).where("weight <> 0").select("trial", "symbol", "pos", "weight")
 
 
 def trade_pairs(days: DataFrame, threshold: float, leg_weight: float, daily_borrow: float) -> DataFrame:
     """Open at ``threshold`` sigma, close at the zero cross, both one session later; closed by cycle end.
 
-    ``days`` has one row per (cycle, a, b, pos) with spread, sigma, ret_a, ret_b and leg costs; a group is
-    one pair in one cycle.
+    The position of a session is decided by the session before: `plan` is the side to hold next, and legs are paid
+    whenever the side changes, or on the last day of the cycle if one is still held.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        now, due, rows = 0, None, []
-        for i, d in enumerate(pdf.itertuples()):
-            gross = now * (d.ret_a - d.ret_b) * leg_weight
-            cost = daily_borrow * leg_weight if now else 0.0
-            active = now != 0
-            if due is not None:
-                cost += d.leg_cost
-                now, due = due, None
-            if i == len(pdf) - 1:
-                cost += d.leg_cost if now else 0.0
-                now = 0
-            elif now == 0 and d.sigma > 0 and abs(d.spread) > threshold * d.sigma:
-                due = -1 if d.spread > 0 else 1
-            elif now and now * d.spread >= 0:
-                due = 0
-            rows.append((d.cycle, d.a, d.b, d.pos, gross, cost, active))
-        return pd.DataFrame(rows, columns=["cycle", "a", "b", "pos", "gross", "cost", "active"])
-
-    return days.groupBy("cycle", "a", "b").applyInPandas(run, "cycle int, a string, b string, pos int, gross double, cost double, active boolean")
+    ends = Window.partitionBy("cycle", "a", "b")
+    x = days.withColumn("last", F.col("pos") == F.max("pos").over(ends))
+
+    def step(s, row):
+        wide = (row["sigma"] > 0) & (F.abs(row["spread"]) > threshold * row["sigma"])
+        opened = F.when(wide, -F.signum(row["spread"])).otherwise(0.0)
+        after = F.when(s["plan"] == 0, opened).otherwise(F.when(s["plan"] * row["spread"] >= 0, 0.0).otherwise(s["plan"]))
+        return {"side": s["plan"], "plan": F.when(row["last"], 0.0).otherwise(after)}
+
+    def emit(before, now, row):
+        # the side of the day before earns the day's return; the change of side is paid at its end
+        side = before["side"]
+        legs = (before["plan"] != side).cast("double") + (row["last"] & (before["plan"] != 0)).cast("double")
+        gross = side * (row["ret_a"] - row["ret_b"]) * leg_weight
+        return {"gross": gross, "cost": F.abs(side) * daily_borrow * leg_weight + legs * row["leg_cost"], "active": side != 0}
+
+    start = {"side": F.lit(0.0), "plan": F.lit(0.0)}
+    return fold(x, ["cycle", "a", "b"], "pos", ["spread", "sigma", "ret_a", "ret_b", "leg_cost", "last"], start, step, emit, "gross:double,cost:double,active:boolean")

@@ -1,99 +1,72 @@
-"""Recursions that are not frames: exponential averages and running winsorisation.
-
-One Arrow group is one symbol's own history, so its length is bounded by the number of trading days.
-"""
+"""Recursions that are not frames: exponential averages and running winsorisation, as JVM folds over a symbol's rows."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .features import true_range
+from .folds import fold
 
+#: Averages by name: their input and their weight for a new value.
+AVERAGES = {
+    "ema": ("px", 2.0 / 21), "atr": ("tr", 1.0 / 14),
+    "gain14": ("gain", 1.0 / 14), "loss14": ("loss", 1.0 / 14), "gain2": ("gain", 0.5), "loss2": ("loss", 0.5),
+}
 
-def _wilder(values: pd.Series, window: int, minimum: int | None = None) -> pd.Series:
-    return values.ewm(alpha=1.0 / window, adjust=False, min_periods=window if minimum is None else minimum).mean()
 
+def indicators(p: DataFrame) -> DataFrame:
+    """EMA(20), relative strength over 14 and 2 rows, true range and its average, with and without warm-up.
 
-def _indicators(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("session", kind="stable").reset_index(drop=True)
-    px = pdf["px"]
-    out = pdf[["symbol", "session"]].copy()
-    out["ema20"] = px.ewm(span=20, adjust=False, min_periods=20).mean()
-    change = px.diff()
-    for window in (14, 2):
-        up, down = _wilder(change.clip(lower=0), window), _wilder((-change).clip(lower=0), window)
-        strength = 100.0 - 100.0 / (1.0 + up / down.where(down != 0.0))
-        strength = strength.mask((down == 0) & (up > 0), 100.0).mask((down == 0) & (up == 0), 50.0)
-        out[f"rsi{window}"] = strength
-    prior = px.shift(1)
-    tr = np.fmax(pdf["high_adj"] - pdf["low_adj"], np.fmax((pdf["high_adj"] - prior).abs(), (pdf["low_adj"] - prior).abs()))
-    out["tr"] = tr
-    out["atr14"] = _wilder(tr, 14)
-    out["atr14_early"] = _wilder(tr, 14, 1)
-    return out
+    What needs only neighbours comes from frames; the fold carries nothing but the six averages and a row count.
+    """
+    own = W.partitionBy("symbol").orderBy("session")
+    x = p.select("symbol", "session", "px", "high_adj", "low_adj").withColumn("prior_close", F.lag("px").over(own))
+    change = F.col("px") - F.col("prior_close")
+    x = x.select("symbol", "session", "px", true_range("high_adj", "low_adj").alias("tr"), F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))).alias("gain"), F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))).alias("loss"))
+    none = F.lit(None).cast("double")
 
+    def step(state, row):
+        blend = {n: F.coalesce(state[n] * (1 - a) + row[c] * a, row[c], state[n]) for n, (c, a) in AVERAGES.items()}
+        return {"rows": state["rows"] + 1, **blend}
 
-INDICATOR_SCHEMA = (
-    "symbol string, session date, ema20 double, rsi14 double, rsi2 double, tr double, atr14 double, atr14_early double"
-)
+    def strength(s, n):
+        gain, loss, seen = s[f"gain{n}"], s[f"loss{n}"], s["rows"]
+        even = F.when(gain > 0, 100.0).otherwise(50.0)
+        return F.when(seen > n, F.when(loss == 0, even).otherwise(100.0 - 100.0 / (1.0 + gain / loss)))
 
+    def emit(_, s, row):
+        return {
+            "ema20": F.when(s["rows"] >= 20, s["ema"]), "rsi14": strength(s, 14), "rsi2": strength(s, 2),
+            "tr": row["tr"], "atr14": F.when(s["rows"] >= 14, s["atr"]), "atr14_early": s["atr"],
+        }
 
-def indicators(p: DataFrame) -> DataFrame:
-    """EMA(20), Wilder RSI(14) and RSI(2), true range, Wilder ATR(14) with and without warm-up."""
-    from pyspark.sql import functions as F
-
-    need = p.select("symbol", "session", "px", "high_adj", "low_adj")
-    out = need.groupBy("symbol").applyInPandas(_indicators, INDICATOR_SCHEMA)
-    return out.select(
-        "symbol", "session",
-        *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
-          for c in ("ema20", "rsi14", "rsi2", "tr", "atr14", "atr14_early")],
-    )
-
-
-def ewm_fold(p: DataFrame, value: str = "px", span: int = 20) -> DataFrame:
-    """Last EMA value per symbol as a JVM fold over the ordered array; second formulation for tests."""
-    from pyspark.sql import functions as F
-
-    a = 2.0 / (span + 1.0)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("session", F.col(value).alias("v")))), lambda s: s["v"])
-    return p.groupBy("symbol").agg(ordered.alias("vs")).select(
-        "symbol",
-        F.aggregate(
-            F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))),
-            F.element_at("vs", 1),
-            lambda acc, v: acc * F.lit(1.0 - a) + v * F.lit(a),
-        ).alias("ema"),
-    )
-
-
-def _winsorize(sigma: float, minimum: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session", kind="stable").reset_index(drop=True)
-        level = np.log(pdf["px"].to_numpy(dtype=float))
-        path = level.copy()
-        seen, center, spread = 0, 0.0, 0.0  # count, mean and squared deviations of accepted log moves
-        for i in range(1, len(level)):
-            move = level[i] - path[i - 1]
-            if seen >= minimum and spread > 0.0:
-                reach = sigma * (spread / (seen - 1)) ** 0.5
-                move = float(np.clip(move, center - reach, center + reach))
-            path[i] = path[i - 1] + move
-            seen += 1
-            gap = move - center
-            center += gap / seen
-            spread += gap * (move - center)
-        fixed = np.exp(path)
-        changed = np.abs(path - level) > 1e-9
-        return pd.DataFrame(
-            {"symbol": pdf["symbol"], "session": pdf["session"], "px": pdf["px"], "fixed": fixed, "corrected": changed}
-        )
-
-    return run
+    start = {"rows": F.lit(0), **{n: none for n in AVERAGES}}
+    types = "ema20:double,rsi14:double,rsi2:double,tr:double,atr14:double,atr14_early:double"
+    return fold(x, ["symbol"], "session", ["px", "tr", "gain", "loss"], start, step, emit, types)
 
 
 def causal_winsorize(p: DataFrame, sigma: float = 10.0, minimum: int = 20) -> DataFrame:
-    """Clip each log return (taken against the corrected path) to the accepted history's mean +- sigma sd and rebuild the price path."""
-    return p.select("symbol", "session", "px").groupBy("symbol").applyInPandas(
-        _winsorize(sigma, minimum), "symbol string, session date, px double, fixed double, corrected boolean"
-    )
+    """Clip each log return (taken against the corrected path) to the accepted history's mean +- sigma sd and rebuild
+    the price path. The state is the corrected log level with the number, sum and squared sum of accepted moves."""
+    none, nought = F.lit(None).cast("double"), F.lit(0.0)
+
+    def step(s, row):
+        level = F.ln(row["px"])
+        spread = s["squares"] - s["total"] * s["total"] / s["n"]
+        mean, reach = s["total"] / s["n"], sigma * F.sqrt(spread / (s["n"] - 1))
+        bound = (s["n"] >= minimum) & (spread > 1e-18)
+        raw = level - s["path"]
+        move = F.when(bound, F.greatest(mean - reach, F.least(mean + reach, raw))).otherwise(raw)
+        begun = s["path"].isNotNull()
+        return {
+            "path": F.when(begun, s["path"] + move).otherwise(level), "n": s["n"] + F.when(begun, 1.0).otherwise(0.0),
+            "total": s["total"] + F.when(begun, move).otherwise(0.0), "squares": s["squares"] + F.when(begun, move * move).otherwise(0.0),
+        }
+
+    def emit(_, s, row):
+        return {"px": row["px"], "fixed": F.exp(s["path"]), "corrected": F.abs(s["path"] - F.ln(row["px"])) > 1e-9}
+
+    start = {"path": none, "n": nought, "total": nought, "squares": nought}
+    return fold(p.select("symbol", "session", F.col("px").cast("double").alias("px")), ["symbol"], "session", ["px"], start, step, emit, "px:double,fixed:double,corrected:boolean")

@@ -82,10 +82,14 @@ def test_features_ignore_the_future_and_a_leak_is_found(spark, sf):
     assert V.prefix_breaks(leaky, base, "1998-06-01").count() > 0
 
 
-def test_ema_by_group_equals_the_fold(spark, sf):
-    a = {r["symbol"]: r["e"] for r in REC.indicators(P.placed(spark, sf)).groupBy("symbol").agg(F.max_by("ema20", "session").alias("e")).collect()}
-    b = {r["symbol"]: r["ema"] for r in REC.ewm_fold(P.placed(spark, sf)).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+def test_averages_equal_their_weighted_sums(spark, sf):
+    got = REC.indicators(P.placed(spark, sf)).toPandas()
+    px = P.placed(spark, sf).select("symbol", "session", "px").toPandas().sort_values("session")
+    for symbol, rows in px.groupby("symbol"):
+        x, a = rows["px"].to_numpy(), 2.0 / 21
+        weights = np.r_[(1 - a) ** (len(x) - 1), a * (1 - a) ** np.arange(len(x) - 2, -1, -1)]
+        last = got[got["symbol"] == symbol].sort_values("session")["ema20"].iloc[-1]
+        assert last == pytest.approx(float(weights @ x))
 
 
 def test_turn_of_month_is_seen_from_the_next_session(spark):

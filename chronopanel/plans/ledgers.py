@@ -16,16 +16,16 @@ from .oracle_parts import part
 
 @query("STR-02", "#user_id session", sql="SELECT DISTINCT user_id, CAST(ts AS DATE) AS session FROM events")
 def captured_signals(spark, sf):
-    x = RN.first_capture(RN.tick_stream(spark, sf), ["user_id", "session"])
+    x = RN.first_capture(RN.tick_stream(spark, sf), ["user_id", "session"], RN.lateness(spark, sf))
     return RN.drain(x.select("user_id", "session"), "captured")
 
 
-MARKS = "SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS rec, event_id, ts, value AS price, md5(event_id::VARCHAR) AS arrival FROM events WHERE event_type = 'click'"
+MARKS = "SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS rec, event_id, ts, value AS price, event_id AS arrival FROM events WHERE event_type = 'click'"
 
 
 def marks(t):
     return t.where("symbol = 'click'").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("recommendation_id"), "event_id",
-                                              F.col("ts").alias("at"), "price", F.md5(F.col("event_id").cast("string")).alias("arrival"))
+                                              F.col("ts").alias("at"), "price", F.col("event_id").alias("arrival"))
 
 
 MARK_SQL = f"""
@@ -40,45 +40,63 @@ def marks_batch(spark, sf):
 
 @query("STR-03 STR-04", "recommendation_id #event_id accepted ~low ~high", sql=MARK_SQL)
 def marks_stream(spark, sf):
-    return RN.drain(ST.gated_marks(marks(RN.tick_stream(spark, sf))), "marks")
+    return RN.drain_in_order(spark, sf, lambda t: ST.gated_marks(marks(t)), "marks")
 
 
 STATES = {"view": "WAITING", "click": "CONFIRMED", "signup": "UPDATED", "purchase": "ENTERED", "error": "EXITED"}
 
 
 @query("STR-06", "recommendation_id #event_id to_state accepted state #revision", sql="""
-WITH RECURSIVE e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS rec, event_id, CASE event_type WHEN 'view' THEN 'WAITING' WHEN 'click' THEN 'CONFIRMED' WHEN 'signup' THEN 'UPDATED' WHEN 'purchase' THEN 'ENTERED' ELSE 'EXITED' END AS s, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS i FROM events),
+WITH RECURSIVE e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS rec, event_id, CASE event_type WHEN 'view' THEN 'WAITING' WHEN 'click' THEN 'CONFIRMED' WHEN 'signup' THEN 'UPDATED' WHEN 'purchase' THEN 'ENTERED' ELSE 'EXITED' END AS s, CASE WHEN event_id % 3 = 0 THEN event_id % 2 END AS expected, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS i FROM events),
  r AS (SELECT rec, CAST(NULL AS BIGINT) AS event_id, '' AS s, false AS ok, 'PROPOSED' AS state, 0 AS rev, CAST(0 AS BIGINT) AS i FROM (SELECT DISTINCT rec FROM e) UNION ALL
  SELECT e.rec, e.event_id, e.s, k.ok, CASE WHEN k.ok THEN e.s ELSE r.state END, r.rev + CASE WHEN k.ok THEN 1 ELSE 0 END, e.i FROM r JOIN e ON e.rec = r.rec AND e.i = r.i + 1,
-  LATERAL (SELECT (r.state || '>' || e.s) IN ('PROPOSED>WAITING','PROPOSED>CONFIRMED','PROPOSED>CANCELLED','WAITING>CONFIRMED','WAITING>UPDATED','WAITING>CANCELLED','UPDATED>WAITING','UPDATED>CONFIRMED','UPDATED>CANCELLED','CONFIRMED>UPDATED','CONFIRMED>CANCELLED','CONFIRMED>ENTERED','ENTERED>EXITED') AS ok) k)
+  LATERAL (SELECT (r.state || '>' || e.s) IN ('PROPOSED>WAITING','PROPOSED>CONFIRMED','PROPOSED>CANCELLED','WAITING>CONFIRMED','WAITING>UPDATED','WAITING>CANCELLED','UPDATED>WAITING','UPDATED>CONFIRMED','UPDATED>CANCELLED','CONFIRMED>UPDATED','CONFIRMED>CANCELLED','CONFIRMED>ENTERED','ENTERED>EXITED') AND coalesce(e.expected = r.rev, true) AS ok) k)
 SELECT rec AS recommendation_id, event_id, s AS to_state, ok AS accepted, state, rev AS revision FROM r WHERE i > 0""")
 def state_machine(spark, sf):
-    t = RN.tick_stream(spark, sf)
+    """Every third change expects a revision (0 or 1, by its id), as an operator's form would that was opened before."""
     to = F.create_map(*[F.lit(v) for kv in STATES.items() for v in kv])
-    x = t.select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("recommendation_id"), "event_id", to[F.col("symbol")].alias("to_state"))
-    return RN.drain(ST.transitions(x), "transitions")
+
+    def changes(t):
+        expected = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 2).cast("int").alias("expected")
+        return t.select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("recommendation_id"), "event_id", to[F.col("symbol")].alias("to_state"), expected)
+
+    return RN.drain_in_order(spark, sf, lambda t: ST.transitions(changes(t)), "transitions")
 
 
 @query("STR-09 SRC-20", "symbol minute ~open ~high ~low ~close ~volume ~vwap", sql="""
-SELECT event_type AS symbol, strftime(m, '%Y-%m-%d %H:%M:%S') AS minute, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, sum(k) AS volume, sum(value*k)/nullif(sum(k),0) AS vwap FROM (
-SELECT *, date_trunc('minute', ts) AS m, CAST(json_extract(props,'$.k') AS DOUBLE) AS k FROM events) GROUP BY event_type, m HAVING m + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+SELECT event_type AS symbol, strftime(m, '%Y-%m-%d %H:%M:%S') AS minute, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, sum(k) AS volume, sum(value*k)/nullif(sum(k),0) AS vwap FROM (
+SELECT *, date_trunc('minute', ts) AS m, CAST(json_extract(props,'$.k') AS DOUBLE) AS k FROM events) GROUP BY event_type, m""")
 def streamed_minute_bars(spark, sf):
-    x = RN.minute_bars(RN.tick_stream(spark, sf)).withColumn("day", F.to_date("ts"))
-    return RN.drain(x, "minute-bars", partition_by=["symbol", "day"]).withColumn("minute", clock.stamp("ts"))
+    x = RN.minute_bars(RN.tick_stream(spark, sf), RN.lateness(spark, sf))
+    return RN.drain_updates(x, "minute-bars", ["symbol", "ts"]).withColumn("minute", clock.stamp("ts"))
 
 
 @query("STR-10", "#event_id #quote_id ~quote_price", sql="""
-SELECT s.event_id, q.event_id AS quote_id, q.value AS quote_price FROM events s JOIN events q ON q.user_id = s.user_id AND q.event_type = 'view' AND s.event_type = 'purchase' AND q.ts <= s.ts AND q.ts >= s.ts - INTERVAL 30 MINUTE""")
+SELECT event_id, quote_id, quote_price FROM (SELECT s.event_id, q.event_id AS quote_id, q.value AS quote_price, row_number() OVER (PARTITION BY s.event_id ORDER BY q.ts DESC, q.event_id DESC) AS r
+FROM events s JOIN events q ON q.user_id = s.user_id AND q.event_type = 'view' AND s.event_type = 'purchase' AND q.ts <= s.ts AND q.ts >= s.ts - INTERVAL 30 MINUTE) WHERE r = 1""")
 def fresh_quote_pairs(spark, sf):
+    late = RN.lateness(spark, sf)
     s = RN.tick_stream(spark, sf).where("symbol = 'purchase'").select("event_id", "user_id", F.col("ts").alias("signal_at"))
     q = RN.tick_stream(spark, sf).where("symbol = 'view'").select(F.col("event_id").alias("quote_id"), F.col("user_id").alias("quote_user"), F.col("ts").alias("quote_at"), F.col("price").alias("quote_price"))
-    return RN.drain(RN.fresh_pairs(s, q), "fresh-pairs")
+    return RN.newest_quotes(RN.drain(RN.fresh_quotes(s, q, late), "fresh-quotes"))
+
 
+LEVERAGES, HORIZONS = (1.0, 1.5, 2.0), (21, 252)
 
-@query("STR-11", "run", sql="SELECT DISTINCT strftime(ts, '%Y-%m-%d-%H') AS run FROM events WHERE event_type = 'signup'")
+
+@query("STR-11", "run #event_id ~leverage #horizon kind", sql="""
+WITH t AS (SELECT strftime(ts, '%Y-%m-%d-%H') AS run, event_id, CASE WHEN hour(ts) % 5 = 4 THEN 3.0 ELSE 1.0 + (hour(ts) % 3) * 0.5 END AS leverage, CASE hour(ts) % 4 WHEN 3 THEN 63 WHEN 0 THEN 21 ELSE 252 END AS horizon, CASE WHEN user_id % 3 = 0 THEN 'SKIP' ELSE 'CANDIDATE' END AS kind FROM events WHERE event_type = 'signup')
+SELECT run, event_id, leverage, horizon, kind FROM t WHERE leverage IN (1.0, 1.5, 2.0) AND horizon IN (21, 252)""")
 def inserted_runs(spark, sf):
-    t = RN.tick_stream(spark, sf).where("symbol = 'signup'").select(F.date_format("ts", "yyyy-MM-dd-HH").alias("run"), F.pmod("user_id", F.lit(2)).alias("horizon"), "price")
-    return RN.insert_new_runs(t, "run", "runs")
+    """A run's terms follow its hour; hours that give leverage 3 or horizon 63 make runs that are refused."""
+    hour = F.hour("ts")
+
+    def decisions(t):
+        t = t.where("symbol = 'signup'")
+        return t.select(F.date_format("ts", "yyyy-MM-dd-HH").alias("run"), "event_id", F.when(hour % 5 == 4, 3.0).otherwise(1.0 + (hour % 3) * 0.5).alias("leverage"),
+                        F.when(hour % 4 == 3, 63).when(hour % 4 == 0, 21).otherwise(252).alias("horizon"), F.when(F.col("user_id") % 3 == 0, "SKIP").otherwise("CANDIDATE").alias("kind"))
+
+    return RN.insert_new_runs(decisions(RN.whole_runs(spark, sf)), "run", ["leverage", "horizon"], {"leverage": LEVERAGES, "horizon": HORIZONS}, "runs")
 
 
 @query("STR-12", "#event_id", sql="SELECT event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.user_id = e.user_id AND k.event_type = 'error' AND k.ts < TIMESTAMP '2024-01-05')")

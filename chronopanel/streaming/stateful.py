@@ -1,13 +1,21 @@
-"""Keyed state: refusal of retroactive marks and the recommendation state machine."""
+"""Keyed state: refusal of retroactive marks and the recommendation state machine.
+
+On a live feed the state of a key ends a month after its last change; a replay of a finished folder keeps it to the
+end, for a run that only drains what is there never comes to rest while it waits for state to expire. Rows of a key are read in arrival order; a feed that does not keep
+that order between batches goes through `runs.drain_in_order`.
+"""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+MONTH_MS = 31 * 24 * 3600 * 1000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Allowed state changes.
@@ -23,8 +31,11 @@ ALLOWED = {
 class MarkGate(StatefulProcessor):
     """Accept a mark only when it is later than the latest accepted one; keep running extremes."""
 
+    def __init__(self, live: bool = False):
+        self.ttl = MONTH_MS if live else None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp, low double, high double")
+        self.last = handle.getValueState("last", "at timestamp, low double, high double", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state = self.last.get() if self.last.exists() else None
@@ -45,16 +56,20 @@ class MarkGate(StatefulProcessor):
 
 
 class Transitions(StatefulProcessor):
-    """Apply allowed state changes in arrival order; each adds one revision, others are refused."""
+    """Apply allowed state changes in arrival order; each adds one revision. A change that is not allowed, or that
+    expects another revision than the present one, is refused (no expectation: any revision will do)."""
+
+    def __init__(self, live: bool = False):
+        self.ttl = MONTH_MS if live else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "state string, revision int")
+        self.now = handle.getValueState("now", "state string, revision int", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state, revision = self.now.get() if self.now.exists() else ("PROPOSED", 0)
         out = []
         for row in pd.concat(list(rows)).sort_values("event_id").itertuples():
-            moved = row.to_state in ALLOWED.get(state, ())
+            moved = row.to_state in ALLOWED.get(state, ()) and (pd.isna(row.expected) or int(row.expected) == revision)
             if moved:
                 state, revision = row.to_state, revision + 1
             out.append((key[0], row.event_id, row.to_state, moved, state, revision))
@@ -65,15 +80,20 @@ class Transitions(StatefulProcessor):
         pass
 
 
-def _run(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+def _run(rows: DataFrame, processor: StatefulProcessor, schema: str, live: bool) -> DataFrame:
+    """Needs the RocksDB state store: a session that has named no other gets it. The processor travels by value, for
+    the process that sets it up has no files that were added to the application."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    conf = rows.sparkSession.conf
+    if conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
+        conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     return rows.groupBy("recommendation_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if live else "None")
 
 
-def gated_marks(marks: DataFrame) -> DataFrame:
-    return _run(marks, MarkGate(), "recommendation_id string, event_id bigint, accepted boolean, low double, high double")
+def gated_marks(marks: DataFrame, live: bool = False) -> DataFrame:
+    return _run(marks, MarkGate(live), "recommendation_id string, event_id bigint, accepted boolean, low double, high double", live)
 
 
-def transitions(changes: DataFrame) -> DataFrame:
-    return _run(changes, Transitions(), "recommendation_id string, event_id bigint, to_state string, accepted boolean, state string, revision int")
+def transitions(changes: DataFrame, live: bool = False) -> DataFrame:
+    return _run(changes, Transitions(live), "recommendation_id string, event_id bigint, to_state string, accepted boolean, state string, revision int", live)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, key: str = "symbol", order: str = "session") -> DataFrame:
-    """Last row per key."""
-    w = W.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Last row per key, combined map-side: a key's history is never sorted."""
+    row = F.max_by(F.struct(*df.columns), order).alias("row")
+    return df.groupBy(F.col(key).alias("_key")).agg(row).select("row.*")
 
 
 def current_state(p: DataFrame) -> DataFrame:

@@ -23,12 +23,17 @@ def shift_collapse(grid: DataFrame, base: int = 1, t_min: float = 3.0, noise: fl
 
 
 def availability_report(bars: DataFrame) -> DataFrame:
-    """Bars not available before the symbol's next open, and fills not later than their signal."""
+    """Per way of filling: bars not available before the symbol's next open, and fills not later than their signal.
+
+    A signal exists from `available_at`; SAME_CLOSE fills at the close of its session, NEXT_OPEN at the symbol's next open.
+    """
     w = W.partitionBy("symbol").orderBy("session")
     nxt = F.lead(clock.new_york_instant("session", 9, 30)).over(w)
-    x = bars.select("available_at", nxt.alias("next_open"))
-    return x.agg(F.count("*").alias("n_rows"), F.count_if(F.col("available_at") >= F.col("next_open")).alias("late"),
-                 F.count_if(F.col("next_open") <= F.col("available_at")).alias("early_fills"))
+    x = bars.select("available_at", clock.market_close("session").alias("own_close"), nxt.alias("next_open"))
+    legs = F.array(*[F.struct(F.lit(n).alias("leg"), F.col(c).alias("fill_at")) for n, c in (("SAME_CLOSE", "own_close"), ("NEXT_OPEN", "next_open"))])
+    x = x.select("available_at", "next_open", F.inline(legs))
+    return x.groupBy("leg").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("available_at") >= F.col("next_open")).alias("late"), F.count_if(F.col("fill_at") <= F.col("available_at")).alias("early_fills"))
 
 
 def recompute_gross(entries: DataFrame, market: DataFrame, streams: DataFrame, holding: int, lag: int) -> DataFrame:

@@ -28,16 +28,20 @@ def excursions(marks: DataFrame, entry: DataFrame) -> DataFrame:
     return x.select("recommendation_id", "event_id", F.least(F.lit(0.0), F.min("move").over(w)).alias("mae"), F.greatest(F.lit(0.0), F.max("move").over(w)).alias("mfe"))
 
 
-def outcomes(rows: DataFrame, cost: float = 0.001) -> DataFrame:
-    """Net outcome of closed recommendations; an exit before the last observation is refused."""
-    return rows.where("exit_price is not null").select("recommendation_id", "ret", (F.col("ret") - F.lit(cost)).alias("net"))
+def outcomes(rows: DataFrame, cost: float = 0.001, last_seen: DataFrame | None = None) -> DataFrame:
+    """Net outcome of closed recommendations. An exit before the last observation of its recommendation
+    (``last_seen``: recommendation_id, seen_at) is refused."""
+    x = rows.where("exit_price is not null")
+    if last_seen is not None:
+        x = x.join(last_seen, "recommendation_id", "left").where(F.col("seen_at").isNull() | (F.col("exit_at") >= F.col("seen_at")))
+    return x.select("recommendation_id", "ret", (F.col("ret") - F.lit(cost)).alias("net"))
 
 
 def reconcile(decisions: DataFrame, bars: DataFrame, slippage_bps: float = 15.0) -> DataFrame:
     """Fill at the entry open, exit at the slipped stop or the open when the low breaches the stop, else at
-    the scheduled close. Decisions meet bars on symbol; only the first exit counts."""
-    x = decisions.join(bars.select("symbol", "pos", "open_adj", "low_adj", "px"), "symbol").where(
-        (F.col("pos") >= F.col("entry_pos")) & (F.col("pos") <= F.col("exit_pos")))
+    the scheduled close. Each decision meets its own sessions by equality; only the first exit counts."""
+    held = decisions.withColumn("pos", F.explode(F.sequence("entry_pos", "exit_pos")))
+    x = held.join(bars.select("symbol", "pos", "open_adj", "low_adj", "px"), ["symbol", "pos"])
     key = ["decision", "symbol", "entry_pos", "exit_pos", "stop"]
     breach = F.col("low_adj") <= F.col("stop")
     s = x.groupBy(*key).agg(

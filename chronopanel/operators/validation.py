@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,18 +196,45 @@ def ranking_diagnostics(frame: DataFrame, predicted: str, realized: str, k: int
         (F.avg(F.when(F.col("_t") <= k, r)) - F.avg(F.when(F.col("_u") <= k, r))).alias("spread"))
 
 
-def verdicts(x: DataFrame) -> DataFrame:
-    """First rule that applies decides; all failed gates are listed."""
+@dataclass(frozen=True)
+class Gates:
+    """Declared thresholds of the verdict; a study states its own by passing another instance."""
+
+    t: float = 3.0
+    fdr: float = 0.05
+    deflated_sharpe: float = 0.95
+    family_p: float = 0.05
+    oos_t: float = 2.0
+    oos_share: float = 0.5
+    stability: float = 0.75
+    overfitting: float = 0.20
+
+
+def verdicts(x: DataFrame, gates: Gates | None = None) -> DataFrame:
+    """WORKS, WEAK, FALSE_POSITIVE or DEAD with the failed gates of the deciding level.
+
+    Levels in their order: too few dates; chance (any gate of significance fails); death of a once strong edge;
+    weakness. Gates whose evidence is missing fail, but for `pbo` and `agrees`, which may be absent from a study.
+    """
     from .filters import reasons
 
-    why = reasons(
-        INSUFFICIENT_SAMPLE=~F.col("enough"), NEGATIVE_MEAN=F.col("mean") <= 0, WEAK_T=F.col("t") <= F.lit(2.0),
-        OOS_WEAK=~F.col("significant"), OVERFIT=F.col("pbo") > 0.5, DECAY=F.col("decay").isin("DEAD", "DECAYING"))
-    v = (
-        F.when(~F.col("enough"), "INSUFFICIENT_DATA").when(F.col("decay") == "DEAD", "DEAD").when(F.col("mean") <= 0, "REJECTED")
-        .when((F.col("t") > 2.0) & F.col("significant") & (F.col("pbo") <= 0.5) & (F.col("decay") == "STABLE"), "VALIDATED")
-        .when(F.col("t") > 2.0, "WATCH").otherwise("REJECTED"))
-    return x.select("*", v.alias("verdict"), F.array_join(why, ",").alias("reasons"))
+    g = gates or Gates()
+    fails = lambda c: ~F.coalesce(c, F.lit(False))
+    chance = reasons(
+        T_STAT=fails(F.col("t") > g.t), FDR=fails(F.col("p_bh") <= g.fdr), DEFLATED_SHARPE=fails(F.col("dsr") > g.deflated_sharpe),
+        FAMILY_TEST=fails(F.col("spa_p") <= g.family_p), CONTROL=F.col("is_control"))
+    weak = reasons(
+        NET_MEAN=fails(F.col("mean") > 0), COSTS=(F.col("gross_mean") > 0) & fails(F.col("mean") > 0), OOS_T=fails(F.col("oos_t") > g.oos_t),
+        OOS_SHARE=fails(F.col("positive_fraction") > g.oos_share), STABILITY=fails(F.col("stability") >= g.stability), OVERFIT=F.coalesce(F.col("pbo") >= g.overfitting, F.lit(False)),
+        NOT_CONFIRMED=~F.coalesce(F.col("agrees"), F.lit(True)), DECAY=fails(F.col("decay").isin("STABLE", "REGIME_DEPENDENT")))
+    levels = (
+        (~F.col("enough"), "WEAK", F.array(F.lit("FEW_DATES"))), (F.size(chance) > 0, "FALSE_POSITIVE", chance),
+        (F.col("decay") == "DEAD", "DEAD", F.array(F.lit("RECENT_WINDOWS"))), (F.size(weak) > 0, "WEAK", weak),
+    )
+    verdict, why = F.lit("WORKS"), F.array(F.lit("ALL_GATES"))
+    for rule, name, listed in reversed(levels):
+        verdict, why = F.when(rule, name).otherwise(verdict), F.when(rule, listed).otherwise(why)
+    return x.select("*", verdict.alias("verdict"), F.array_join(why, ",").alias("reasons"))
 
 
 def holdout_gate(edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .oracle_parts import with_parts
 
 
@@ -65,6 +66,7 @@ def query(ids: str, columns: str, sql: str | None = None, parts: str = "", digit
             raise ValueError(f"duplicate query {key}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return _project(fn(spark, sf_dir), marks, digits)
 
         text = None

@@ -250,20 +250,26 @@ def prefix_replay(spark, sf):
     return rows.join(broken).withColumn("causal", F.col("n_changed") == 0)
 
 
-@query("VAL-12 FUN-17", "#n_rows #late #early_fills", parts="bars", sql="""
-SELECT count(*) AS n_rows, count(*) FILTER (nxt IS NOT NULL AND av >= nxt) AS late, 0 AS early_fills FROM (SELECT session + INTERVAL 16 HOUR + INTERVAL 15 MINUTE AS av, lead(session) OVER (PARTITION BY symbol ORDER BY session) + INTERVAL 9 HOUR + INTERVAL 30 MINUTE AS nxt FROM bars)""")
+@query("VAL-12 FUN-17", "leg #n_rows #late #early_fills", parts="bars", sql="""
+SELECT leg, count(*) AS n_rows, count(*) FILTER (nxt IS NOT NULL AND av >= nxt) AS late, count(*) FILTER (CASE leg WHEN 'SAME_CLOSE' THEN own ELSE nxt END <= av) AS early_fills
+FROM (SELECT session + INTERVAL 16 HOUR AS own, session + INTERVAL 16 HOUR + INTERVAL 15 MINUTE AS av, lead(session) OVER (PARTITION BY symbol ORDER BY session) + INTERVAL 9 HOUR + INTERVAL 30 MINUTE AS nxt FROM bars), (VALUES ('SAME_CLOSE'),('NEXT_OPEN')) t(leg) GROUP BY leg""")
 def availability_assertions(spark, sf):
+    """Fills at the close that made the signal come before it; fills at the next open must not."""
     from ..operators.causality import availability_report
 
     return availability_report(P.bars(spark, sf))
 
 
 def verdict_table(spark, sf):
+    """Every trial with the evidence of all gates: own test, family-wide rates, out-of-sample folds, decay, overfitting
+    of the family and the independent recomputation. Rotated and opposite trials are controls."""
     def build():
-        m = metrics(spark, sf).select("trial", "n", "mean", "t", "enough", "sharpe")
-        risk = V.pbo(overfitting_splits(spark, sf)).select("pbo")
-        x = m.join(evidence(spark, sf).select("trial", "oos_t", "significant"), "trial").join(decay(spark, sf).select("trial", "decay", "stability"), "trial")
-        return V.verdicts(x.join(F.broadcast(risk)))
+        m = I.benjamini_hochberg(metrics(spark, sf), "p").select("trial", "n", "mean", "t", "enough", "sharpe", "p_bh", "dsr")
+        one_row = V.pbo(overfitting_splits(spark, sf)).select("pbo").join(family_reality_tests(spark, sf).select("spa_p"))
+        gross = streams(spark, sf).groupBy("trial").agg(F.avg("gross").alias("gross_mean"))
+        x = m.join(evidence(spark, sf).select("trial", "oos_t", "positive_fraction"), "trial").join(decay(spark, sf).select("trial", "decay", "stability"), "trial", "left")
+        x = x.join(gross, "trial").join(independent_recomputation(spark, sf).select("trial", "agrees"), "trial", "left").join(F.broadcast(one_row))
+        return V.verdicts(x.withColumn("is_control", F.col("trial").rlike("ROTATED|OPPOSITE|PLACEBO")))
 
     return P.kept(spark, sf, "verdicts", build)
 

@@ -116,3 +116,28 @@ def test_overfitting_of_a_dominant_trial_is_zero(spark):
     s = spark.createDataFrame(rows, "trial string, pos int, net double")
     per = V.overfitting(V.split_performance(s, V.split_sides(spark, 120, purge=2, embargo=2)))
     assert V.pbo(per).first()["pbo"] == 0.0 and {r["selected"] for r in per.collect()} == {"t0"}
+
+
+def test_verdict_precedence(spark):
+    """One row per level: the first level with a failed gate decides and lists its gates."""
+    from chronopanel.operators import validation as V
+
+    good = dict(enough=True, t=4.0, p_bh=0.01, dsr=0.99, spa_p=0.01, is_control=False, mean=1e-3, gross_mean=2e-3, oos_t=2.5, positive_fraction=0.8, stability=0.9, pbo=0.1, agrees=True, decay="STABLE")
+    cases = {
+        "a": ({}, "WORKS", "ALL_GATES"), "b": ({"enough": False, "t": 0.0}, "WEAK", "FEW_DATES"), "c": ({"t": 3.0, "p_bh": 0.2}, "FALSE_POSITIVE", "T_STAT,FDR"),
+        "d": ({"dsr": 0.95, "spa_p": 0.06}, "FALSE_POSITIVE", "DEFLATED_SHARPE,FAMILY_TEST"), "e": ({"is_control": True, "decay": "DEAD"}, "FALSE_POSITIVE", "CONTROL"),
+        "f": ({"decay": "DEAD", "oos_t": 0.0}, "DEAD", "RECENT_WINDOWS"), "g": ({"mean": -1e-4}, "WEAK", "NET_MEAN,COSTS"), "h": ({"oos_t": 2.0, "positive_fraction": 0.5, "stability": 0.7}, "WEAK", "OOS_T,OOS_SHARE,STABILITY"),
+        "i": ({"pbo": 0.2, "agrees": False, "decay": "DECAYING"}, "WEAK", "OVERFIT,NOT_CONFIRMED,DECAY"), "j": ({"decay": "REGIME_DEPENDENT", "pbo": None, "agrees": None}, "WORKS", "ALL_GATES"), "k": ({"oos_t": None}, "WEAK", "OOS_T"),
+    }
+    kinds = "trial string, enough boolean, t double, p_bh double, dsr double, spa_p double, is_control boolean, mean double, gross_mean double, oos_t double, positive_fraction double, stability double, pbo double, agrees boolean, decay string"
+    df = spark.createDataFrame([(k, *(good | change).values()) for k, (change, _, _) in cases.items()], kinds)
+    got = {r["trial"]: (r["verdict"], r["reasons"]) for r in V.verdicts(df).collect()}
+    assert got == {k: (v, r) for k, (_, v, r) in cases.items()}
+
+
+def test_outcome_before_the_last_observation_is_refused(spark):
+    from chronopanel.operators import paper as PA
+
+    rows = spark.createDataFrame([("a", 0.1, 5.0, "2024-01-05"), ("b", 0.2, 6.0, "2024-01-03"), ("c", 0.3, None, None)], "recommendation_id string, ret double, exit_price double, exit_at string")
+    seen = spark.createDataFrame([("a", "2024-01-04"), ("b", "2024-01-04")], "recommendation_id string, seen_at string")
+    assert [r["recommendation_id"] for r in PA.outcomes(rows, last_seen=seen).collect()] == ["a"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .trials import calendar_predicates, predicate_sessions, predicate_table
+from .trials import calendar_predicates, predicate_sessions, predicate_table, shapes
 
 
 def calendar_trials(spark: SparkSession, flags: DataFrame, legs: DataFrame, cal: DataFrame) -> DataFrame:
@@ -15,9 +15,10 @@ def calendar_trials(spark: SparkSession, flags: DataFrame, legs: DataFrame, cal:
     first session can hold nothing. Holding spreads a hit over following sessions, clipped to one unit.
     Hypotheses and calendar are both small; only their hits are joined to returns.
     """
-    hits = predicate_sessions(predicate_table(spark), calendar_predicates(flags))
-    shapes = F.array(*[F.struct(F.lit(leg).alias("leg"), F.lit(h).alias("holding")) for leg, h in (("CLOSE_TO_CLOSE", 1), ("CLOSE_TO_CLOSE", 5), ("OVERNIGHT", 1), ("INTRADAY", 1))])
-    x = hits.select("hypothesis", "pos", F.inline(shapes))
+    rows = calendar_predicates(flags)
+    every = flags.select(F.lit("ANY").alias("hypothesis"), "session", "pos")
+    hits = predicate_sessions(predicate_table(spark), rows).unionByName(every)
+    x = hits.select("hypothesis", "pos", F.inline(shapes()))
     x = x.select("hypothesis", "leg", "holding", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("holding") - 1)).alias("pos"))
     x = x.where("pos >= 2").distinct().join(legs.select("pos", "leg", "r"), ["pos", "leg"])
     s = x.groupBy("hypothesis", "leg", "holding").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.sum("r").alias("t")).where("n > 0")

@@ -17,6 +17,7 @@ LEVELS = {
     "quarter_end": ("WINDOW", "REST"),
 }
 SESSIONS = ("CLOSE_TO_CLOSE", "OVERNIGHT", "INTRADAY")
+HOLDINGS = (1, 3, 5, 21)  # of close-to-close trials; the other legs last one session
 DIRECTIONS = ("LONG", "SHORT")
 
 
@@ -87,12 +88,25 @@ def with_controls(trials: DataFrame, key: str = "trial", campaign: int = 0) -> D
         F.when(F.col("kind") != "REAL", seed_of(F.lit(str(campaign)), F.col(key), F.col("kind"))).alias("seed"))
 
 
+def shapes(*extra: Column) -> Column:
+    """Array of the (leg, holding) pairs of a trial, with further fields if any."""
+    return F.array(*[
+        F.struct(F.lit(s).alias("leg"), F.lit(h).alias("holding"), *extra)
+        for s in SESSIONS for h in (HOLDINGS if s == "CLOSE_TO_CLOSE" else (1,))])
+
+
 def hypothesis_grid(spark: SparkSession, sectors: DataFrame | None = None) -> DataFrame:
-    """Every declared calendar hypothesis: predicates x session x holding x direction."""
-    predicates = predicate_table(spark).groupBy("hypothesis").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "value")))).alias("predicates"))
-    shape = F.array(*[
-        F.struct(F.lit(s).alias("leg"), F.lit(h).alias("holding"), F.lit(d).alias("direction"))
-        for s in SESSIONS for h in ((1, 5) if s == "CLOSE_TO_CLOSE" else (1,)) for d in DIRECTIONS])
-    x = predicates.select("hypothesis", "predicates", F.inline(shape))
+    """Every declared calendar hypothesis: no predicate, one, or two of different families (``sectors`` with a column
+    `sector` adds a family of their names), for each leg, holding and direction."""
+    grid = predicate_table(spark)
+    if sectors is not None:
+        names = sectors.select(F.lit("sector").alias("family"), F.col("sector").alias("value")).distinct()
+        own = F.struct("family", "value")
+        alone = names.select(F.concat_ws("=", "family", "value").alias("hypothesis"), "family", "value", F.lit(1).alias("n_predicates"))
+        with_one = levels(spark).select(own.alias("x")).join(names.select(own.alias("y"))).select(
+            F.concat_ws("&", F.array_sort(F.array(F.concat_ws("=", "x.family", "x.value"), F.concat_ws("=", "y.family", "y.value")))).alias("hypothesis"), F.inline(F.array("x", "y"))).withColumn("n_predicates", F.lit(2))
+        grid = grid.unionByName(alone).unionByName(with_one)
+    predicates = grid.groupBy("hypothesis").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "value")))).alias("predicates"))
+    free = spark.range(1).select(F.lit("ANY").alias("hypothesis"), F.create_map().cast("map<string,string>").alias("predicates"))
+    x = predicates.unionByName(free).select("hypothesis", "predicates", F.inline(shapes())).withColumn("direction", F.explode(F.array(*[F.lit(d) for d in DIRECTIONS])))
     return x.withColumn("trial", F.concat_ws("|", "hypothesis", "leg", F.col("holding").cast("string"), "direction"))

@@ -61,9 +61,9 @@ WITH f AS (SELECT pos, 'weekday' AS family, CAST(weekday AS VARCHAR) AS value FR
  UNION ALL SELECT pos, 'turn_of_month', CASE WHEN turn_of_month THEN 'TOM' ELSE 'REST' END FROM flags UNION ALL SELECT pos, 'holiday', 'PRE' FROM flags WHERE pre_holiday UNION ALL SELECT pos, 'holiday', 'POST' FROM flags WHERE post_holiday
  UNION ALL SELECT pos, 'event', 'DAY_BEFORE' FROM flags WHERE event_day_before UNION ALL SELECT pos, 'event', 'DAY_OF' FROM flags WHERE event_day_of UNION ALL SELECT pos, 'event', 'EVENT_WEEK' FROM flags WHERE event_week
  UNION ALL SELECT pos, 'month_end', CASE WHEN month_end_window THEN 'WINDOW' ELSE 'REST' END FROM flags UNION ALL SELECT pos, 'quarter_end', CASE WHEN quarter_end_window THEN 'WINDOW' ELSE 'REST' END FROM flags),
- h AS (SELECT family || '=' || value AS h, pos FROM f UNION ALL SELECT a.family || '=' || a.value || '&' || b.family || '=' || b.value, a.pos FROM f a JOIN f b ON a.pos = b.pos AND a.family < b.family),
- p AS (SELECT h, pos, leg, holding FROM h CROSS JOIN (VALUES ('CLOSE_TO_CLOSE',1),('CLOSE_TO_CLOSE',5),('OVERNIGHT',1),('INTRADAY',1)) l(leg,holding)),
- e AS (SELECT DISTINCT h, leg, holding, pos + k AS pos FROM p, (SELECT unnest(generate_series(0,4)) AS k) WHERE k < holding AND pos + k >= 2)
+ h AS (SELECT 'ANY' AS h, pos FROM flags UNION ALL SELECT family || '=' || value, pos FROM f UNION ALL SELECT a.family || '=' || a.value || '&' || b.family || '=' || b.value, a.pos FROM f a JOIN f b ON a.pos = b.pos AND a.family < b.family),
+ p AS (SELECT h, pos, leg, holding FROM h CROSS JOIN (VALUES ('CLOSE_TO_CLOSE',1),('CLOSE_TO_CLOSE',3),('CLOSE_TO_CLOSE',5),('CLOSE_TO_CLOSE',21),('OVERNIGHT',1),('INTRADAY',1)) l(leg,holding)),
+ e AS (SELECT DISTINCT h, leg, holding, pos + k AS pos FROM p, (SELECT unnest(generate_series(0,20)) AS k) WHERE k < holding AND pos + k >= 2)
 SELECT h || '|' || e.leg || '|' || holding || '|' || d AS trial, count(r) AS n, avg(r*s) AS mean, sum(r*s) AS total FROM e JOIN legs ON legs.pos = e.pos AND legs.leg = e.leg CROSS JOIN (VALUES ('LONG',1),('SHORT',-1)) d(d,s) GROUP BY ALL HAVING count(r) > 0""")
 def calendar_trial_grid(spark, sf):
     from ..operators.hypotheses import calendar_trials

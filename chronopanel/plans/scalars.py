@@ -187,7 +187,7 @@ def ordinal_confidence(spark, sf):
     return P.table(spark, sf, "events").select("event_id", F.bround(F.lit(100.0) * v, 0).alias("confidence"))
 
 
-@query("FUN-18 FUN-19", "family #n_trials", parts="cal", sql="SELECT * FROM (VALUES ('CALENDAR', 2816), ('REVERSAL', 30), ('LOSS_AWARE', 900), ('OVERNIGHT', 24)) t(family, n_trials) WHERE (SELECT count(*) FROM cal) > 0")
+@query("FUN-18 FUN-19", "family #n_trials", parts="cal", sql="SELECT * FROM (VALUES ('CALENDAR', 4236), ('REVERSAL', 30), ('LOSS_AWARE', 900), ('OVERNIGHT', 24)) t(family, n_trials) WHERE (SELECT count(*) FROM cal) > 0")
 def declared_families(spark, sf):
     from ..operators.families import family_sizes
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, python_ready, staged, text_or_empty
+from .common import partitions, python_ready, text_or_empty
 from .textarrays import mixed, texts
 
 BLOCK = 4_000_000  # bytes of text in a block
@@ -34,7 +34,7 @@ ROWS = "kind int, block long, part int, ids array<long>, blob binary"
 LAST = np.iinfo(np.int64).max  # in place of a null doc_id
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
-TEXT, ASK, TOLD, UNIT, PLACE, MARK = range(6)
+TEXT, ASK, TOLD, UNIT, MARK = range(5)
 
 
 @dataclass(frozen=True)
@@ -218,8 +218,8 @@ def _asked(anchor: np.ndarray, times: np.ndarray, parts: int):
     return known[order], count[order], np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def meet(docs: DataFrame, method: Method, finish: Callable, schema: str, parts: int | None = None, name: str = "anchors") -> DataFrame:
-    """finish(block, mult, bounds, first, count, answers) gives the rows of one block as an Arrow table: `answers`
+def meet(docs: DataFrame, method: Method, finish: Callable, schema: str, parts: int | None = None) -> DataFrame:
+    """finish(block, first, count, answers) gives the rows of one block as an Arrow table: `answers`
     has, for each unit occurrence in turn, one number for each of its `count` windows, or -1 where nothing was met."""
     spark = docs.sparkSession
     python_ready(spark)
@@ -258,29 +258,22 @@ def meet(docs: DataFrame, method: Method, finish: Callable, schema: str, parts:
         column = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
         return Block(np.array(own[0]["ids"], object), column, method), len(own)
 
-    def units_of_blocks(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def chosen(rows: list[dict]):
+        """The units of a block under anchors that occur again: equal ones once, and the entries to send by part."""
         block, copies = block_in(rows)
         values, bounds, first, count, anchor, times = block.units()
         known, _, edges = _asked(anchor, times, parts)
-        deals = np.zeros(len(known), np.int64)
-        for r in rows:
-            if r["kind"] == TOLD:
-                (told,) = unpack(r["blob"], np.uint32)
-                deals[edges[r["part"]] : edges[r["part"] + 1]] = told
+        deals, told = np.zeros(len(known), np.int64), {r["part"]: r["blob"] for r in rows if r["kind"] == TOLD}
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            if p not in told:
+                raise ValueError("a block came back without the counts of some of its anchors")
+            deals[edges[p] : edges[p + 1]] = unpack(told[p], np.uint32)[0]
         order = np.argsort(known)
         cuts = deals[order][np.searchsorted(known[order], anchor)]
         some = np.flatnonzero(cuts)
         first, count, anchor, cuts = first[some], count[some], anchor[some], cuts[some]
-        length = count + method.window - 1
-        name_of = _content(values, first, length)
+        name_of = _content(values, first, count + method.window - 1)
         distinct, rep, which = np.unique(mixed(name_of ^ mixed(anchor)), return_index=True, return_inverse=True)
-        if method.by_doc:
-            owner = np.array([LAST if i is None else i for i in block.ids], np.int64)[np.searchsorted(bounds, first, "right") - 1]
-            weight = np.full(len(distinct), LAST, np.int64)
-            np.minimum.at(weight, which, owner)
-        else:
-            weight = np.bincount(which, minlength=len(distinct)).astype(np.int64) * copies
         # one entry for each unit and deal: the pair of deals is part of the key
         n = cuts[rep]
         unit = np.repeat(np.arange(len(distinct)), n)
@@ -288,14 +281,24 @@ def meet(docs: DataFrame, method: Method, finish: Callable, schema: str, parts:
         key = mixed(anchor[rep][unit] ^ mixed((np.minimum(other, mine) * 1_000_003 + np.maximum(other, mine)).astype(np.uint64)))
         part = (key % _U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        unit, key, edge = unit[order], key[order], np.searchsorted(part[order], np.arange(parts + 1))
-        out, block_id = [], rows[0]["block"]
+        edge = np.searchsorted(part[order], np.arange(parts + 1))
+        return block, copies, values, bounds, first, count, name_of, rep, which, unit[order], key[order], edge
+
+    def units_of_blocks(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        block, copies, values, bounds, first, count, name_of, rep, which, unit, key, edge = chosen(rows)
+        if method.by_doc:
+            owner = np.array([LAST if i is None else i for i in block.ids], np.int64)[np.searchsorted(bounds, first, "right") - 1]
+            weight = np.full(len(rep), LAST, np.int64)
+            np.minimum.at(weight, which, owner)
+        else:
+            weight = np.bincount(which, minlength=len(rep)).astype(np.int64) * copies
+        out = []
         for p in np.flatnonzero(np.diff(edge)).tolist():
             u = unit[edge[p] : edge[p + 1]]
-            size = length[rep[u]]
+            size = count[rep[u]] + method.window - 1
             payload = values[spans(first[rep[u]], size)]
-            out.append(_row(UNIT, block_id, p, None, pack(key[edge[p] : edge[p + 1]], name_of[rep[u]], size.astype(np.int32), weight[u], payload)))
-        out.append(_row(PLACE, block_id, -1, None, pack(unit, edge, which, first, count)))
+            out.append(_row(UNIT, rows[0]["block"], p, None, pack(key[edge[p] : edge[p + 1]], name_of[rep[u]], size.astype(np.int32), weight[u], payload)))
         return _table(out)
 
     def answered(table: pa.Table) -> pa.Table:
@@ -333,28 +336,24 @@ def meet(docs: DataFrame, method: Method, finish: Callable, schema: str, parts:
             out.append(_row(MARK, b, p, None, pack(answer[spans(where[u], windows[u])])))
         return _table(out)
 
-    def finished(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        block, copies = block_in(rows)
-        unit, edge, which, first, count = unpack(next(r["blob"] for r in rows if r["kind"] == PLACE), *[np.int64] * 5)
-        n = np.zeros(int(which.max()) + 1 if len(which) else 0, np.int64)
-        n[which] = count
+    def finished(known: pa.Table, marks: pa.Table) -> pa.Table:
+        block, copies, _, _, first, count, _, rep, which, unit, _, edge = chosen(known.to_pylist())
+        n = count[rep]
         at = np.cumsum(n) - n
         best = np.full(int(n.sum()), LAST if method.by_doc else 0, method.answer)
-        for r in rows:
-            if r["kind"] == MARK:
-                u = unit[edge[r["part"]] : edge[r["part"] + 1]]
-                (got,) = unpack(r["blob"], method.answer)
-                to = spans(at[u], n[u])
-                (np.minimum if method.by_doc else np.maximum).at(best, to, got)
-        out = finish(block, first, count, best[spans(at[which], count)])
-        return pa.concat_tables([out] * copies)
-
-    blocks = docs.mapInArrow(texts_of_blocks, ROWS)
+        got = dict(zip(marks.column("part").to_pylist(), marks.column("blob").to_pylist(), strict=True))
+        for p in np.flatnonzero(np.diff(edge)).tolist():
+            if p not in got:
+                raise ValueError("a block came back without the answers to some of its units")
+            u = unit[edge[p] : edge[p + 1]]
+            (np.minimum if method.by_doc else np.maximum).at(best, spans(at[u], n[u]), unpack(got[p], method.answer)[0])
+        return pa.concat_tables([finish(block, first, count, best[spans(at[which], count)])] * copies)
+
+    # texts and counts are shuffled by block once: both stages of the blocks read the same exchange
     told = docs.mapInArrow(anchors_of_blocks, ROWS).groupBy("part").applyInArrow(counted, ROWS)
-    units = staged(blocks.unionByName(told).groupBy("block").applyInArrow(units_of_blocks, ROWS), name)
-    marks = units.filter(F.col("kind") == UNIT).groupBy("part").applyInArrow(answered, ROWS)
-    return blocks.unionByName(units.filter(F.col("kind") == PLACE)).unionByName(marks).groupBy("block").applyInArrow(finished, schema)
+    blocks = docs.mapInArrow(texts_of_blocks, ROWS).unionByName(told).groupBy("block")
+    marks = blocks.applyInArrow(units_of_blocks, ROWS).groupBy("part").applyInArrow(answered, ROWS)
+    return blocks.cogroup(marks.groupBy("block")).applyInArrow(finished, schema)
 
 
 def _content(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -63,7 +63,7 @@ def _digests(block: Block, first, count, answers) -> pa.Table:
 
 def deduplicated(docs: DataFrame, method: Method = METHOD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    return meet(docs, method, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", name="byte-windows")
+    return meet(docs, method, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

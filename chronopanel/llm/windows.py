@@ -103,7 +103,7 @@ def _digests(block: Block, first, count, answers) -> pa.Table:
 
 def deduplicated(docs: DataFrame, method: Method = METHOD) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
-    return meet(docs, method, _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string", name="word-windows")
+    return meet(docs, method, _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

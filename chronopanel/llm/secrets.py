@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .common import documents, staged, text_or_empty
 
 QUERY = "op2_secrets"
-SQL = None
 #: Kinds in their order, patterns, the group that holds the value, and the least length of that group.
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -108,3 +107,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", *[count(k) for k in range(3)],
         F.sha2(_join(F.col("base")), 256).alias("base_sha256"), _join(F.concat("base", "added")).alias("spans"), "n_live", "n_copied",
     )
+
+
+def _sql_spans(rank: int) -> str:
+    kind, pattern, group, least = KINDS[rank]
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT rid, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, v AS value FROM (
+    SELECT rid, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(full_[1:i - 1], lambda g: length(g))), 0) AS start, full_[i] AS m, val[i] AS v
+    FROM (SELECT *, unnest(range(1, len(full_) + 1)) AS i FROM (
+      SELECT rid, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS full_, regexp_extract_all(t, '{pattern}', {group}) AS val FROM d WHERE regexp_matches(t, '{pattern}'))))
+  WHERE length(v) >= {least}"""
+
+
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, 'n') AS owner, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED ({" UNION ALL ".join(_sql_spans(k) for k in range(3))}),
+extra AS MATERIALIZED (SELECT * FROM ({_sql_spans(3)}) e WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start < e.stop AND e.start < b.stop)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
+owned AS (SELECT value, count(DISTINCT owner) AS n_owners FROM every JOIN d USING (rid) GROUP BY value),
+shown AS (SELECT b.rid, b.rank, b.kind, b.start, b.stop, n_owners, b.rank < 3 OR n_owners = 1 AS listed FROM every b JOIN owned USING (value)),
+per AS (
+  SELECT rid, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base_spans,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (listed) AS all_spans,
+    count(*) FILTER (n_owners = 1) AS live, count(*) FILTER (n_owners >= {MANY_OWNERS}) AS copied FROM shown GROUP BY rid)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256,
+  coalesce(all_spans, '') AS spans, coalesce(live, 0)::BIGINT AS n_live, coalesce(copied, 0)::BIGINT AS n_copied
+FROM d LEFT JOIN per USING (rid)
+"""

@@ -26,7 +26,6 @@ from ..operators.clusters import components
 from .common import partitions, python_ready, staged
 
 QUERY = "op3_embedding_tiles"
-SQL = None
 THRESHOLD, TILE = 0.98, 1024
 LEADING = (8, 16, 32)
 
@@ -177,3 +176,19 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+SQL = f"""
+WITH RECURSIVE every AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings),
+v AS MATERIALIZED (
+  SELECT rid, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM every
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT rid AS a, rid AS b FROM every UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+least_of AS (SELECT r.a AS rid, min(x.vec_id) AS component_id FROM reach r JOIN every x ON x.rid = r.b GROUP BY r.a),
+n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM every LEFT JOIN n USING (rid) LEFT JOIN least_of USING (rid)
+"""

@@ -25,7 +25,6 @@ from .fmindex import FmIndex
 from .textarrays import part_hashes, words
 
 QUERY = "op7_substring_words"
-SQL = None
 WINDOW, RUN, SHARD = 13, 5, 400_000
 
 
@@ -108,3 +107,14 @@ def deduplicated(docs: DataFrame, method: Method = METHOD) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir, "doc_id", "text"))
+
+
+SQL = r"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS MATERIALIZED (SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT s, min(doc_id) AS least_id FROM win GROUP BY s),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM win JOIN firsts USING (s), (SELECT unnest(range(0, 13)) AS k) WHERE least_id < doc_id OR (doc_id IS NULL AND least_id IS NOT NULL)),
+each AS (SELECT rid, i, ws[i] AS word FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+kept AS (SELECT e.rid, string_agg(word, ' ' ORDER BY e.i) AS text, count(*) AS n FROM each e ANTI JOIN gone g ON g.rid = e.rid AND g.i = e.i GROUP BY e.rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)
+"""

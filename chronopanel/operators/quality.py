@@ -118,10 +118,13 @@ def issues(audit_rows: DataFrame) -> DataFrame:
 
 
 def table_digest(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Order- and partition-free digest: row count, xor and sum of 64-bit row hashes."""
-    h = F.xxhash64(*df.columns)
-    x = df.select(*(by or []), h.alias("_h"))
-    aggs = (F.count("*").alias("n_rows"), F.hex(F.bit_xor("_h")).alias("xor"), F.hex(F.sum(F.col("_h").cast("decimal(38,0)")).cast("decimal(38,0)") % 1000000007).alias("sum"))
+    """Order- and partition-free digest of a table: its row count, and the eight 32-bit words of the rows' SHA-256, each
+    summed over the rows. Rows are read as their columns' texts in order, nulls apart from empty texts."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
+    x = df.select(*(by or []), F.sha2(text, 256).alias("_h"))
+    word = lambda k: F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")
+    part = lambda k: F.lower(F.lpad(F.hex((F.sum(word(k)) % 2**32).cast("bigint")), 8, "0"))
+    aggs = (F.count("*").alias("n_rows"), F.concat(*[part(k) for k in range(8)]).alias("digest"))
     return x.groupBy(*by).agg(*aggs) if by else x.agg(*aggs)
 
 

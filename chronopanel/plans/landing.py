@@ -218,7 +218,16 @@ def long_research_panel(spark, sf):
     return own.unionByName(other).groupBy("symbol", "session").agg(row).select("symbol", "session", "row.close", "row.volume")
 
 
-@query("SRC-21 SNK-01", "name matches")
+@query("SNK-01", "symbol #n_rows written again", parts="bars", sql="SELECT symbol, count(*) AS n_rows, true AS written, false AS again FROM bars GROUP BY symbol")
+def immutable_artifact(spark, sf):
+    """The bars under their digest, written twice: the second write finds the first and leaves it."""
+    root, b = scratch_path(spark, "artifacts"), P.bars(spark, sf).select("symbol", "session", "close", "volume")
+    path, written = SN.write_artifact(b, root)
+    _, again = SN.write_artifact(b.repartition(3, "session"), root)
+    return spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("n_rows")).select("*", F.lit(written).alias("written"), F.lit(again).alias("again"))
+
+
+@query("SRC-21", "name matches")
 def hash_pinned_files(spark, sf):
     path = scratch_path(spark, "pins")
     P.bars(spark, sf).select("symbol", "close").repartition(4, "symbol").write.csv(path)

@@ -161,9 +161,15 @@ def interval_faults(spark, sf):
     return M.interval_faults(i)
 
 
-@query("QA-12 QA-14", "symbol #n_rows xor sum")
+_WORDS = " || ".join(f"printf('%08x', CAST(sum(CAST('0x' || substring(h, {8 * k + 1}, 8) AS BIGINT)) % 4294967296 AS BIGINT))" for k in range(8))
+
+
+@query("QA-12 QA-14", "symbol #n_rows digest", parts="bars", sql=f"""
+SELECT symbol, count(*) AS n_rows, {_WORDS} AS digest FROM (
+SELECT symbol, sha256(symbol || '|' || session || '|' || CAST(round(close * 100) AS BIGINT) || '|' || CAST(volume AS BIGINT)) AS h FROM bars) GROUP BY symbol""")
 def table_digests(spark, sf):
-    return Q.table_digest(P.bars(spark, sf), ["symbol"])
+    b = P.bars(spark, sf).select("symbol", "session", F.round(F.col("close") * 100).cast("bigint").alias("cents"), F.col("volume").cast("bigint").alias("volume"))
+    return Q.table_digest(b, ["symbol"])
 
 
 @query("QA-13", "#n_rows #bad", parts="anns", sql="SELECT count(*) AS n_rows, count(*) FILTER (event_day > DATE '2000-06-01') AS bad FROM anns")
@@ -174,13 +180,15 @@ def provenance_report(spark, sf):
     return a.agg(F.count("*").alias("n_rows"), F.count_if(Q.provenance_faults()).alias("bad"))
 
 
-@query("QA-16", "column present")
+@query("QA-16", "column present #n_values")
 def required_columns(spark, sf):
+    """Which required columns a landed table has, and how many values each holds (0 where it is missing)."""
     from ..schemas import BARS
 
     b = P.bars(spark, sf)
     lost = Q.missing_columns(b, BARS.names)
-    return b.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c not in lost).alias("present")) for c in BARS.names])).alias("c")).select("c.*")
+    held = b.agg(*[(F.lit(0) if c in lost else F.count(c)).cast("bigint").alias(c) for c in BARS.names])
+    return held.unpivot([], BARS.names, "column", "n_values").withColumn("present", ~F.col("column").isin(*lost) if lost else F.lit(True))
 
 
 @query("AGG-26", "#intended #available ~missing_fraction bias", parts="anns bars", sql="""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import crosssec as X
 from ..operators import features as FE
 from ..operators.advisor import latest
+from ..session import scratch_path
 from ..sources import panel as P
 from .catalog import query
 from .oracle_parts import part
@@ -87,16 +88,27 @@ def candidates(spark, sf):
         F.abs("rev").alias("expected"))
 
 
-@query("TOP-08 SNK-03", "id session bucket ~rank #confidence", parts="cands", sql="""
+RANKED = """
 SELECT id, session, CASE WHEN confidence >= 60 AND rank <= 5 THEN 'TOP_' || direction ELSE 'SKIPPED' END AS bucket, confidence,
  CASE WHEN confidence >= 60 AND rank <= 5 THEN rank END AS rank FROM (
-SELECT *, row_number() OVER (PARTITION BY session, direction, confidence >= 60 ORDER BY confidence DESC, expected DESC, symbol, id) AS rank FROM cands)""")
+SELECT *, row_number() OVER (PARTITION BY session, direction, confidence >= 60 ORDER BY confidence DESC, expected DESC, symbol, id) AS rank FROM cands)"""
+
+
+@query("TOP-08", "id session bucket ~rank #confidence", parts="cands", sql=RANKED)
 def ranked_recommendations(spark, sf):
     from ..operators.signals import rank_recommendations
 
     return rank_recommendations(candidates(spark, sf))
 
 
+@query("SNK-03", "id session bucket ~rank #confidence", parts="cands", sql=RANKED)
+def bucket_file(spark, sf):
+    """The ranking as CSV, one folder per bucket, read back with its schema."""
+    path, columns = scratch_path(spark, "buckets"), ["id", "session", "rank", "confidence", "bucket"]
+    ranked_recommendations(spark, sf).select(columns).write.partitionBy("bucket").option("header", True).csv(path)
+    return spark.read.option("header", True).schema("id string, session date, rank double, confidence double, bucket string").csv(path)
+
+
 @query("TOP-09", "symbol #loss_first #return_first", parts="rets", sql="""
 SELECT symbol, row_number() OVER (ORDER BY es DESC, p_loss, worst DESC, mean DESC, symbol) AS loss_first,
  row_number() OVER (ORDER BY mean DESC, es DESC, p_loss, symbol) AS return_first FROM (

@@ -42,11 +42,18 @@ def latest_snapshots(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("asset").agg(F.max(F.struct("fetched_at", "snapshot_id")).alias("t")).select("asset", "t.*")
 
 
-def write_artifact(df: DataFrame, root: str) -> str:
-    """Immutable write to a path that carries the table digest; an existing digest is never overwritten."""
+def write_artifact(df: DataFrame, root: str) -> tuple[str, bool]:
+    """Immutable write to a path that carries the table's digest: (path, whether it was written now). A table that is
+    there already is left as it is, and no other table can come to its path."""
+    from pyspark.errors import AnalysisException
+
     from ..operators.quality import table_digest
 
-    d = table_digest(df).first()
-    path = f"{root}/{d['n_rows']}-{d['xor']}-{d['sum']}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+    path = f"{root}/{table_digest(df).first()['digest']}"
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        return path, False
+    return path, True

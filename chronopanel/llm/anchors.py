@@ -29,7 +29,7 @@ from .common import partitions, python_ready, text_or_empty
 from .textarrays import mixed, texts
 
 BLOCK = 4_000_000  # bytes of text in a block
-PIECE = 1_000_000  # bytes of text whose hashes are in memory at once
+PIECE = 200_000  # bytes of text whose hashes are in memory at once
 ROWS = "kind int, block long, part int, ids array<long>, blob binary"
 LAST = np.iinfo(np.int64).max  # in place of a null doc_id
 _U = np.uint64
@@ -126,10 +126,9 @@ def find_units(hashes: np.ndarray, bounds: np.ndarray, window: int, run: int):
         return none, none, np.zeros(0, np.uint64), none
     w, g = window - run + 1, run_hashes(hashes, run)
     at = spans(bounds[:-1][full], n[full])  # first symbols of the windows that lie in one document
-    # the least hash with its first and its last place in the window, in one number: 40 bits of hash, 24 of place
+    # the least hash with its first place in the window, in one number: 40 bits of hash, 24 of place
     place = np.arange(len(g), dtype=np.uint64) & _LOW
     first_place = (least_of((g & ~_LOW) | place, w)[at] & _LOW).astype(np.int64)
-    last_place = (_LOW - (least_of((g & ~_LOW) | (_LOW - place), w)[at] & _LOW)).astype(np.int64)
     first_place = at + ((first_place - at) & int(_LOW))
     value = g[first_place]
     head = np.zeros(len(at), bool)
@@ -137,9 +136,8 @@ def find_units(hashes: np.ndarray, bounds: np.ndarray, window: int, run: int):
     head[1:] |= value[1:] != value[:-1]
     starts = np.flatnonzero(head)
     count = np.diff(np.append(starts, len(at)))
-    # the anchor stands twice in a unit that may hold equal windows
-    twice = np.logical_or.reduceat(first_place & int(_LOW) != last_place, starts)
-    twice |= np.minimum.reduceat(first_place, starts) != np.maximum.reduceat(first_place, starts)
+    # equal windows of one unit have their first places as far apart as they are themselves
+    twice = np.minimum.reduceat(first_place, starts) != np.maximum.reduceat(first_place, starts)
     if count.max() > w:  # a part of the text repeats itself: cut into units of bounded length
         pieces = -(-count // w)
         k = spans(np.zeros(len(count), np.int64), pieces)

@@ -6,10 +6,10 @@ import numpy as np
 
 
 def suffix_order(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in order of their suffixes, which end with their text; the text of each place).
+    """(places in order of their suffixes, which end with their text; bytes left at each place).
 
-    Eight bytes at first, then doubled; only groups that are not yet apart are sorted again. Equal suffixes of
-    different texts keep the order of the texts, as end marks of their own would order them."""
+    Seven bytes at first, then doubled; only groups that are not yet apart are sorted again. Equal suffixes of
+    different texts stand in the order of the texts, as end marks of their own would order them."""
     n, ends = len(data), np.cumsum(length)
     left = np.repeat(ends, length) - np.arange(n)
     room = np.concatenate([data.astype(np.uint64), np.zeros(8, np.uint64)])
@@ -17,30 +17,31 @@ def suffix_order(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.n
     for k in range(7):  # seven bytes, then how many there are: a suffix that ends here stands before those that go on
         key = (key << np.uint64(8)) | np.where(left > k, room[k : k + n], np.uint64(0))
     key = (key << np.uint64(8)) | np.minimum(left, 8).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    rank, todo, done = np.empty(n, np.int64), np.arange(n), 7
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # first row of the suffixes that are equal so far
+    rank, todo, done = np.empty(n, np.int64), np.arange(n), 7
     rank[order] = group
-    del key, sorted_key, room
-    while True:
-        # groups of two or more whose suffixes go on behind what has been compared
+    del key, sorted_key, room, new
+    while len(todo):
+        # rows of groups of two or more whose suffixes go on behind what has been compared
         inner = group[todo]
-        tied = np.r_[inner[1:] == inner[:-1], False] | np.r_[False, inner[1:] == inner[:-1]]
-        todo = todo[tied & (left[order[todo]] > done)]
-        if len(todo) == 0:
-            return order, left
-        at = order[todo]
+        twin = inner[1:] == inner[:-1]
+        todo = todo[(np.r_[twin, False] | np.r_[False, twin]) & (left[order[todo]] > done)]
+        at, head = order[todo], group[todo]
         ahead = rank[at + done]
-        head = group[todo]
-        by = np.lexsort((ahead, head))
-        at, ahead, head = at[by], ahead[by], head[by]
+        by = np.argsort(head * n + ahead)
+        at, ahead = at[by], ahead[by]
         order[todo] = at
-        new = np.r_[True, (head[1:] != head[:-1]) | (ahead[1:] != ahead[:-1])]
+        new = np.r_[True, (head[1:] != head[:-1]) | (ahead[1:] != ahead[:-1])][: len(todo)]
         group[todo] = todo[np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))]
         rank[at] = group[todo]
         done *= 2
+    twin = group[1:] == group[:-1]
+    equal = np.flatnonzero(np.r_[twin, False] | np.r_[False, twin])
+    order[equal] = order[equal][np.argsort(group[equal] * n + order[equal])]
+    return order, left
 
 
 def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ from .common import partitions, python_ready, text_or_empty
 from .textarrays import mixed, texts
 
 BLOCK = 4_000_000  # bytes of text in a block
+ROWS_OF_BLOCK = 20_000
 PIECE = 200_000  # bytes of text whose hashes are in memory at once
 ROWS = "kind int, block long, part int, ids array<long>, blob binary"
 LAST = np.iinfo(np.int64).max  # in place of a null doc_id
@@ -182,18 +183,19 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, pa
         digest.update(offsets.tobytes() + repr(ids.to_pylist()).encode())
         return int.from_bytes(digest.digest(), "little", signed=True), ids.to_pylist(), column
 
-    held, size = [], 0
+    held, size, rows = [], 0, 0
     for batch in batches:
         _, offsets = texts(batch.column("text"))
         i = 0
         while i < batch.num_rows:
-            j = min(batch.num_rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK - size, "right")) - 1))
+            fits = int(np.searchsorted(offsets, offsets[i] + BLOCK - size, "right")) - 1
+            j = max(i + 1, min(batch.num_rows, fits, i + ROWS_OF_BLOCK - rows))
             held.append((batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i)))
-            size += int(offsets[j] - offsets[i])
+            size, rows = size + int(offsets[j] - offsets[i]), rows + j - i
             i = j
-            if size >= BLOCK or i < batch.num_rows:
+            if size >= BLOCK or rows >= ROWS_OF_BLOCK or i < batch.num_rows:
                 yield named(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield named(held)
 
@@ -218,7 +220,7 @@ def _asked(anchor: np.ndarray, times: np.ndarray, parts: int):
 
 def meet(docs: DataFrame, method: Method, finish: Callable, schema: str, parts: int | None = None) -> DataFrame:
     """finish(block, first, count, answers) gives the rows of one block as an Arrow table: `answers`
-    has, for each unit occurrence in turn, one number for each of its `count` windows, or -1 where nothing was met."""
+    has, for each unit occurrence in turn, one number for each of its `count` windows."""
     spark = docs.sparkSession
     python_ready(spark)
     parts = parts or 2 * partitions(spark)

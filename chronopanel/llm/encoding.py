@@ -30,6 +30,7 @@ SQL = None
 SPECIAL = "<|endoftext|>"
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 8_000_000  # bytes of words in a block
+ROWS_OF_BLOCK = 20_000
 _SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The published splitting pattern of the vocabulary, with its classes spelt out for this engine.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -85,7 +86,7 @@ def _unpack_words(blob: bytes) -> pa.Array:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(doc_ids with a validity mask, list of words) of some megabytes each, at least one document."""
-    held, size = [], 0
+    held, size, rows = [], 0, 0
     for batch in batches:
         lists = batch.column("words")
         if isinstance(lists, pa.ListArray) and len(lists):
@@ -93,14 +94,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
             ends = offsets[np.asarray(lists.offsets) + lists.values.offset]
             i = 0
             while i < len(lists):
-                j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK - size, "right")) - 1)
-                j = min(j, len(lists))
+                fits = int(np.searchsorted(ends, ends[i] + BLOCK - size, "right")) - 1
+                j = max(i + 1, min(len(lists), fits, i + ROWS_OF_BLOCK - rows))
                 held.append((batch.column("doc_id").slice(i, j - i), lists.slice(i, j - i)))
-                size += int(ends[j] - ends[i])
+                size, rows = size + int(ends[j] - ends[i]), rows + j - i
                 i = j
-                if size >= BLOCK or i < len(lists):
+                if size >= BLOCK or rows >= ROWS_OF_BLOCK or i < len(lists):
                     yield pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
-                    held, size = [], 0
+                    held, size, rows = [], 0, 0
     if held:
         yield pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
 

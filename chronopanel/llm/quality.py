@@ -25,10 +25,11 @@ QUERY = "op5_quality_rules"
 SQL = None
 SAMPLE = 20_000
 LEAST_WORDS, MOST_REPEATED, KEEP_FROM = 50, 0.5, 0.5
-SYMBOLS, CAPITAL, DIGIT = (np.zeros(256, bool) for _ in range(3))
+SYMBOLS, CAPITAL, DIGIT, STOP = (np.zeros(256, bool) for _ in range(4))
 SYMBOLS[list(b"#*$%&|<>")] = True
 CAPITAL[65:91] = True
 DIGIT[48:58] = True
+STOP[list(b".,;:")] = True
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Statistics for the trees, with the sign of each (-1: the score must not rise with it).
 FEATURES = {"log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeats": -1, "capitals": 0, "marks": -1, "bars": 0, "digits": 0, "stops": 0, "line_words": 0, "wide": 0, "bytes_of_word": 0}
@@ -59,10 +60,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     # lines: bounds at every \n and at the ends of documents
     breaks = np.flatnonzero(data == 10)
     begin, end = np.sort(np.concatenate([offsets[:-1], breaks + 1])), np.sort(np.concatenate([breaks, offsets[1:]]))
-    line_doc = np.searchsorted(offsets, begin, "right") - 1
-    if len(begin) == len(end):
-        spoken = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
-        spoken &= begin < end
+    spoken = np.searchsorted(starts, end) > np.searchsorted(starts, begin)  # lines with a word
     begin, end = begin[spoken], end[spoken]
     line_doc = np.searchsorted(offsets, begin, "right") - 1
     _, first = _equal_counts(line_doc, part_hashes(data, begin, end)) if len(begin) else (None, np.zeros(0, bool))
@@ -79,11 +77,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     repeats = np.bincount(owner[covered], minlength=n_docs)
     base = np.stack([n, word_chars, symbols, dup_lines, repeats], axis=1).astype(np.int64)
     size, some = np.maximum(np.diff(offsets), 1), np.maximum(n, 1)
-    stop = np.zeros(len(data) + 1, bool)
-    stop[:-1] = np.isin(data, list(b".,;:"))
     x = np.stack([
         np.log1p(n), word_chars / some, symbols / some, dup_lines / np.maximum(lines, 1), repeats / some, per_doc(CAPITAL[data]) / size,
-        per_doc(data == 33) / some, per_doc(data == 124) / some, per_doc(DIGIT[data]) / size, per_doc(stop[:-1]) / some,
+        per_doc(data == 33) / some, per_doc(data == 124) / some, per_doc(DIGIT[data]) / size, per_doc(STOP[data]) / some,
         some / np.maximum(lines, 1), per_doc(data >= 128) / size, size / some,
     ], axis=1)
     return base, x

@@ -82,7 +82,10 @@ def scan(docs: DataFrame, carry: list[str], many: int = MANY_OWNERS) -> DataFram
         F.count_if(F.col("n_owners") == 1).alias("n_live"), F.count_if(F.col("n_owners") >= many).alias("n_copied"),
     )
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    return found.join(by_row, "rid", "left").select("row", "base", F.coalesce("added", none).alias("added"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_live", "n_copied")])
+    # documents without a candidate, nearly all, take no part in the join
+    quiet = found.filter(F.size("base") + F.size("extra") == 0).select("row", "base", none.alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
+    loud = held.join(by_row, "rid").select("row", "base", F.coalesce("added", none).alias("added"), *[F.col(n).cast("long").alias(n) for n in ("n_live", "n_copied")])
+    return quiet.unionByName(loud)
 
 
 def redacted(scanned: DataFrame, columns: list[str]) -> DataFrame:

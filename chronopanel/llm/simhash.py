@@ -200,7 +200,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     numbered = staged(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "simhash-numbered")
     found = linked(numbered.select("rid", "row.doc_id", "row.text"), "rid")
     kept = found.groupBy(F.coalesce("component_id", F.lit(-1)).alias("g"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("m")).select("m.rid")
-    return numbered.join(kept, "rid", "left_semi").select("row.*")
+    gone = found.select("rid").join(kept, "rid", "left_anti")  # fewer than what stays
+    return numbered.join(gone, "rid", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,8 +74,10 @@ def identity(payload: Column, family: Column) -> Column:
 
 
 def seed_of(*parts: Column) -> Column:
-    """Stable 60-bit seed of a key."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 15), 16, 10).cast("bigint")
+    """Stable unsigned 64-bit seed of a key: the first eight bytes of its SHA-256, the lowest first."""
+    digest = F.sha2(F.concat_ws(":", *parts), 256)
+    lowest_first = F.concat(*[F.substring(digest, k, 2) for k in range(15, 0, -2)])
+    return F.conv(lowest_first, 16, 10).cast("decimal(20,0)")
 
 
 def with_controls(trials: DataFrame, key: str = "trial", campaign: int = 0) -> DataFrame:

@@ -128,12 +128,12 @@ def next_eligible_execution(spark, sf):
     return E.next_execution(t.where("symbol = 'signup'").select("event_id", "ts"), cal)
 
 
-@query("JOIN-12 FUN-02", "spec parent kind ~seed", parts="streams", sql="""
-SELECT trial || CASE WHEN kind = 'REAL' THEN '' ELSE '|' || kind END AS spec, trial AS parent, kind, CASE WHEN kind <> 'REAL' THEN CAST(('0x' || substring(sha256('0:' || trial || ':' || kind),1,15)) AS BIGINT) % 1000003 END AS seed
-FROM (SELECT DISTINCT trial FROM streams) CROSS JOIN (VALUES ('REAL'),('SHUFFLED_DATES'),('MATCHED_RANDOM')) k(kind)""")
+@query("JOIN-12 FUN-02", "spec parent kind seed", parts="streams", sql="""
+SELECT trial || CASE WHEN kind = 'REAL' THEN '' ELSE '|' || kind END AS spec, trial AS parent, kind, CASE WHEN kind <> 'REAL' THEN CAST(CAST('0x' || substring(h,15,2) || substring(h,13,2) || substring(h,11,2) || substring(h,9,2) || substring(h,7,2) || substring(h,5,2) || substring(h,3,2) || substring(h,1,2) AS UBIGINT) AS VARCHAR) END AS seed
+FROM (SELECT *, sha256('0:' || trial || ':' || kind) AS h FROM (SELECT DISTINCT trial FROM streams) CROSS JOIN (VALUES ('REAL'),('SHUFFLED_DATES'),('MATCHED_RANDOM')) k(kind))""")
 def trials_with_controls(spark, sf):
     x = with_controls(streams(spark, sf).select("trial").distinct())
-    return x.withColumn("seed", F.col("seed") % 1000003)
+    return x.withColumn("seed", F.col("seed").cast("string"))
 
 
 @query("JOIN-14 SET-03", "session", parts="bars bars_b", sql="SELECT session FROM bars WHERE symbol = 'NATION_1' INTERSECT SELECT session FROM bars_b WHERE symbol = 'NATION_1'")

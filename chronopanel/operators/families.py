@@ -11,7 +11,7 @@ from .trials import hypothesis_grid
 REVERSAL = {"breadth": (1, 2, 3, 5, 8), "signal": ("raw", "sector_neutral", "residual"), "side": ("LONG", "SHORT")}
 LOSS_AWARE = {"horizon": (21, 252), "signal": ("momentum", "reversal", "low_vol", "high", "blend"), "form": ("LONG_ONLY", "SHORT_ONLY", "LONG_SHORT"),
               "veto": ("NONE", "EARNINGS", "GUIDANCE", "HALT", "GAP_3", "GAP_5", "GAP_10", "ATR_05", "ATR_10", "ATR_20"), "leverage": (1.0, 1.5, 2.0)}
-OVERNIGHT = {"instrument": ("A", "B"), "condition": ("ANY", "MONDAY", "TOM", "HIGH_VOL", "UP", "DOWN"), "side": ("LONG", "SHORT")}
+OVERNIGHT = {"instrument": ("A", "B"), "condition": ("ANY", "turn_of_month=TOM", "month_end_window=WINDOW", "weekday=FRI", "market_above_sma200", "market_vol_high_tercile"), "side": ("LONG", "SHORT")}
 
 
 def specs(spark: SparkSession, family: str, axes: dict) -> DataFrame:

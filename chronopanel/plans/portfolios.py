@@ -148,13 +148,32 @@ def trend_studies(spark, sf):
     return out
 
 
-@query("PRT-11", "trial session ~gross ~net", parts="rets flags", sql="""
-WITH o AS (SELECT r.asset_type, r.session, r.pos, avg(open_adj/px1-1) AS r FROM rets r GROUP BY ALL), c AS (SELECT pos, 'ANY' AS cond FROM flags UNION ALL SELECT pos, 'MONDAY' FROM flags WHERE weekday = 0 UNION ALL SELECT pos, 'TOM' FROM flags WHERE turn_of_month)
+@query("PRT-11", "trial session ~gross ~net", parts="rets flags mkt", sql="""
+WITH o AS (SELECT r.asset_type, r.session, r.pos, avg(open_adj/px1-1) AS r FROM rets r GROUP BY ALL),
+ m AS (SELECT pos, round(exp(sum(ln(1+coalesce(mkt,0))) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING)), 9) AS lvl, CASE WHEN count(mkt) OVER f = 21 THEN round(stddev_samp(mkt) OVER f, 9) END AS vol FROM mkt WINDOW f AS (ORDER BY pos ROWS 20 PRECEDING)),
+ a AS (SELECT pos, vol, CASE WHEN count(lvl) OVER (ORDER BY pos ROWS 199 PRECEDING) = 200 THEN lvl > round(avg(lvl) OVER (ORDER BY pos ROWS 199 PRECEDING), 9) END AS up,
+  CASE WHEN count(vol) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 252 THEN quantile_cont(vol, 2.0/3.0) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS thr FROM m),
+ st AS (SELECT pos, lag(up) OVER (ORDER BY pos) AS above, lag(vol) OVER (ORDER BY pos) > thr AS high FROM a),
+ c AS (SELECT pos, 'ANY' AS cond FROM flags UNION ALL SELECT pos, 'turn_of_month=TOM' FROM flags WHERE turn_of_month UNION ALL SELECT pos, 'month_end_window=WINDOW' FROM flags WHERE month_end_window
+  UNION ALL SELECT pos, 'weekday=FRI' FROM flags WHERE weekday = 4 UNION ALL SELECT pos, 'market_above_sma200' FROM st WHERE above UNION ALL SELECT pos, 'market_vol_high_tercile' FROM st WHERE high)
 SELECT asset_type || '|' || cond || '|' || d AS trial, session, s*r AS gross, s*r - 0.0006 AS net FROM o JOIN c ON c.pos = o.pos CROSS JOIN (VALUES ('LONG',1.0),('SHORT',-1.0)) d(d,s) WHERE r IS NOT NULL""")
 def overnight_family(spark, sf):
-    r = P.with_returns(spark, sf).groupBy("asset_type", "session", "pos").agg(F.avg(F.col("open_adj") / F.col("px1") - 1).alias("r")).where("r is not null")
-    conds = F.array_compact(F.array(F.lit("ANY"), F.when(F.col("weekday") == 0, "MONDAY"), F.when(F.col("turn_of_month"), "TOM")))
-    c = P.calendar_table(spark, sf).select("pos", F.explode(conds).alias("cond"))
+    """Six conditions x two groups of instruments x two sides. The state of the market is that of the entry close, one
+    session before the interval ends; its threshold is drawn from the values up to then."""
+    from ..operators.expanding import expanding_quantiles
+
+    panel = P.with_returns(spark, sf)
+    r = panel.groupBy("asset_type", "session", "pos").agg(F.avg(F.col("open_adj") / F.col("px1") - 1).alias("r")).where("r is not null")
+    w = W.orderBy("pos")  # the calendar: one row per session
+    past, month, long = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(-20, 0), w.rowsBetween(-199, 0)
+    m = FE.market_return(panel).select("pos", "mkt").select(
+        "pos", F.round(F.exp(F.sum(F.log1p(F.coalesce("mkt", F.lit(0.0)))).over(past)), 9).alias("level"), F.when(F.count("mkt").over(month) == 21, F.round(F.stddev_samp("mkt").over(month), 9)).alias("vol"))
+    m = m.withColumn("up", F.when(F.count("level").over(long) == 200, F.col("level") > F.round(F.avg("level").over(long), 9)))
+    q = expanding_quantiles(m.withColumn("symbol", F.lit("M")), "vol", {"threshold": 2.0 / 3.0}, 252)
+    state = q.select("pos", F.lag("up").over(w).alias("above"), (F.lag("vol").over(w) > F.col("threshold")).alias("high"))
+    t = P.calendar_table(spark, sf).select("pos", "turn_of_month", "month_end_window", (F.col("weekday") == 4).alias("friday")).join(state, "pos", "left")
+    conds = {"ANY": F.lit(True), "turn_of_month=TOM": "turn_of_month", "month_end_window=WINDOW": "month_end_window", "weekday=FRI": "friday", "market_above_sma200": "above", "market_vol_high_tercile": "high"}
+    c = t.select("pos", F.explode(F.array_compact(F.array(*[F.when(F.col(x) if isinstance(x, str) else x, F.lit(n)) for n, x in conds.items()]))).alias("cond"))
     sides = F.array(F.struct(F.lit("LONG").alias("d"), F.lit(1.0).alias("s")), F.struct(F.lit("SHORT").alias("d"), F.lit(-1.0).alias("s")))
     x = r.join(c, "pos").select("*", F.inline(sides))
     return x.select(F.concat_ws("|", "asset_type", "cond", "d").alias("trial"), "session", (F.col("s") * F.col("r")).alias("gross"), (F.col("s") * F.col("r") - 0.0006).alias("net"))

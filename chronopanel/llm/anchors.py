@@ -325,8 +325,12 @@ def meet(docs: DataFrame, method: Method, finish: Callable, schema: str, parts:
             base = grown[heads[i] - 1] if heads[i] else 0
             j = max(i + 1, int(np.searchsorted(grown[ends - 1], base + method.shard, "right")))
             mine = order[heads[i] : ends[j - 1]]
-            r = rep[mine]
-            answer[spans(where[mine], windows[mine])] = method.index(payload[spans(begin[r], size[r])], size[r], total[mine])
+            # a unit under several keys of a dealt anchor stands in the shard once, or it would match itself
+            _, one, back = np.unique(name_of[rep[mine]], return_index=True, return_inverse=True)
+            once, n = mine[one], windows[mine]
+            r = rep[once]
+            found = method.index(payload[spans(begin[r], size[r])], size[r], total[once])
+            answer[spans(where[mine], n)] = found[spans((np.cumsum(windows[once]) - windows[once])[back], n)]
             i = j
         edges = np.cumsum([0, *[len(r[0]) for r in rows]])
         blocks, part = table.column("block").to_pylist(), table.column("part").to_pylist()

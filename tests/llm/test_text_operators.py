@@ -244,6 +244,27 @@ def test_a_crowded_anchor_is_dealt_in_pairs(spark, module):
     assert got(one, *one.columns) == got(many, *many.columns)
 
 
+def test_a_dealt_unit_does_not_match_itself(spark):
+    """Two keys of one unit in one part and one shard of the production size: what occurs once stays."""
+    from dataclasses import replace
+
+    from chronopanel.llm.anchors import meet
+
+    docs = X.documents(spark, seed=5)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    seen = Counter(b[k : k + 200] for _, b in rows for k in range(len(b) - 199))
+    want = []
+    for i, b in rows:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want.append((i, int(gone.sum()), sha(np.frombuffer(b, np.uint8)[~gone].tobytes())))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    dealt = meet(docs, replace(repeats.METHOD, crowd=3), repeats._digests, schema, parts=1)
+    assert got(dealt, "doc_id", "n_removed", "kept_sha256") == key(want)
+
+
 def plain_secrets(text):
     import re
 

@@ -58,6 +58,34 @@ def percentile_intervals(counts: DataFrame, values: DataFrame, n: int, confidenc
     """Percentile intervals of the mean and the annual Sharpe of every trial."""
     x = counts.join(values, "idx").groupBy("rep", "trial").agg(
         F.sum(F.col("c") * F.col("v")).alias("s1"), F.sum(F.col("c") * F.col("v") * F.col("v")).alias("s2"))
+    return intervals_of_sums(x, n, confidence)
+
+
+def blocked_sums(counts: DataFrame, values: DataFrame, n: int, rep_block: int = 512, trial_blocks: int = 1) -> DataFrame:
+    """(rep, trial, s1, s2): sums and squared sums of each resample, as products in (rep block, trial block) groups."""
+    tb = F.pmod(F.xxhash64("trial"), F.lit(trial_blocks)).cast("int")
+    rb = F.floor(F.col("rep") / rep_block).cast("int")
+    c = counts.withColumn("rb", rb).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(trial_blocks - 1))))
+    top = counts.agg(F.max(rb).alias("top"))
+    v = values.withColumn("tb", tb).join(F.broadcast(top)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("top")))).drop("top")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"rep": [], "trial": [], "s1": [], "s2": []})
+        reps, row = np.unique(left["rep"].to_numpy(), return_inverse=True)
+        weight = np.zeros((len(reps), n))
+        weight[row, left["idx"].to_numpy()] = left["c"].to_numpy()
+        names, col = np.unique(right["trial"].to_numpy().astype(str), return_inverse=True)
+        matrix = np.zeros((n, len(names)))
+        matrix[right["idx"].to_numpy(), col] = right["v"].to_numpy()
+        return pd.DataFrame({"rep": np.repeat(reps, len(names)), "trial": np.tile(names, len(reps)),
+                             "s1": (weight @ matrix).ravel(), "s2": (weight @ (matrix * matrix)).ravel()})
+
+    return c.groupBy("rb", "tb").cogroup(v.groupBy("rb", "tb")).applyInPandas(run, "rep bigint, trial string, s1 double, s2 double")
+
+
+def intervals_of_sums(x: DataFrame, n: int, confidence: float = 0.95) -> DataFrame:
+    """Percentile intervals from the (rep, trial, s1, s2) of all resamples."""
     mean = F.col("s1") / n
     var = (F.col("s2") - F.lit(float(n)) * mean * mean) / (n - 1.0)
     x = x.select("trial", mean.alias("m"), F.when(var > 1e-18, mean / F.sqrt(var) * F.lit(252.0**0.5)).alias("sh"))

@@ -12,7 +12,8 @@ from .inference import market_regime, metrics, streams, tests
 from .oracle_parts import part
 from .tops import rev5
 
-REPS = 100
+REPS = 100  # what the oracles state; answers without an oracle take the declared draws below
+DRAWS, FAMILY_DRAWS = 2_000, 10_000
 U = "CAST(('0x' || substring(md5({}),1,8)) AS BIGINT)/4294967296.0"
 part("paths", "cal", f"""
 WITH n AS (SELECT count(*) AS n FROM cal), g AS (SELECT rep, pos, n FROM n, (SELECT unnest(generate_series(0,{REPS - 1})) AS rep), (SELECT unnest(generate_series(0,(SELECT n-1 FROM n))) AS pos)),
@@ -35,6 +36,33 @@ def counts(spark, sf):
     return P.kept(spark, sf, "counts", lambda: B.date_counts(paths(spark, sf)))
 
 
+def declared_paths(spark, sf, draws):
+    """Paths are counters of (rep, pos), so fewer draws are the first of more."""
+    return P.kept(spark, sf, f"paths_{draws}", lambda: B.stationary_paths(spark, size(spark, sf), draws))
+
+
+def declared_counts(spark, sf, draws):
+    return P.kept(spark, sf, f"counts_{draws}", lambda: B.date_counts(declared_paths(spark, sf, draws)))
+
+
+def trial_blocks(spark, sf, most: int = 256) -> int:
+    return max(1, -(-family(spark, sf).count() // most))
+
+
+def declared_intervals(spark, sf):
+    def build():
+        n = size(spark, sf)
+        sums = B.blocked_sums(declared_counts(spark, sf, DRAWS), values(spark, sf), n, trial_blocks=trial_blocks(spark, sf))
+        return B.intervals_of_sums(sums, n)
+
+    return P.kept(spark, sf, "intervals_declared", build)
+
+
+def declared_family_tests(spark, sf):
+    m = B.blocked_maxima(declared_counts(spark, sf, FAMILY_DRAWS), values(spark, sf), family(spark, sf), size(spark, sf), trial_blocks=trial_blocks(spark, sf))
+    return B.family_p_values(m, family(spark, sf))
+
+
 def values(spark, sf):
     return P.kept(spark, sf, "ix", lambda: B.indexed(streams(spark, sf), "net"))
 
@@ -93,12 +121,12 @@ def romano_wolf_stepdown(spark, sf):
 @query("STAT-06", "trial ~estimate ~se ~lower ~upper ~p")
 def studentized_sharpe_intervals(spark, sf):
     arrays = I.ordered_values(streams(spark, sf), ["trial"], "pos", "net")
-    return B.studentized_sharpe(arrays, paths(spark, sf), 7)
+    return B.studentized_sharpe(arrays, declared_paths(spark, sf, DRAWS), 7)
 
 
 @query("UDF-02", "trial #rep ~statistic")
 def user_statistic_of_resamples(spark, sf):
-    return B.resampled_statistic(counts(spark, sf), values(spark, sf), lambda x: float(abs(x).mean()))
+    return B.resampled_statistic(declared_counts(spark, sf, DRAWS), values(spark, sf), lambda x: float(abs(x).mean()))
 
 
 part("folds", "cal", """
@@ -265,7 +293,7 @@ def verdict_table(spark, sf):
     of the family and the independent recomputation. Rotated and opposite trials are controls."""
     def build():
         m = I.benjamini_hochberg(metrics(spark, sf), "p").select("trial", "n", "mean", "t", "enough", "sharpe", "p_bh", "dsr")
-        one_row = V.pbo(overfitting_splits(spark, sf)).select("pbo").join(family_reality_tests(spark, sf).select("spa_p"))
+        one_row = V.pbo(overfitting_splits(spark, sf)).select("pbo").join(declared_family_tests(spark, sf).select("spa_p"))
         gross = streams(spark, sf).groupBy("trial").agg(F.avg("gross").alias("gross_mean"))
         x = m.join(evidence(spark, sf).select("trial", "oos_t", "positive_fraction"), "trial").join(decay(spark, sf).select("trial", "decay", "stability"), "trial", "left")
         x = x.join(gross, "trial").join(independent_recomputation(spark, sf).select("trial", "agrees"), "trial", "left").join(F.broadcast(one_row))
@@ -286,7 +314,7 @@ def verdict_funnel(spark, sf):
 
 @query("VAL-14 STAT-21", "trial ~mean ~t ~oos_t decay ~mean_low ~mean_high ~slope verdict", digits=5)
 def validation_table(spark, sf):
-    x = verdict_table(spark, sf).join(intervals(spark, sf).select("trial", "mean_low", "mean_high"), "trial")
+    x = verdict_table(spark, sf).join(declared_intervals(spark, sf).select("trial", "mean_low", "mean_high"), "trial")
     reg = I.regime_interaction(streams(spark, sf).join(market_regime(spark, sf), "pos"), ["trial"], "pos", "net", "on").select("trial", "slope")
     return x.join(reg, "trial")
 

@@ -88,6 +88,25 @@ def test_blocked_maxima_do_not_depend_on_blocks_and_equal_the_join(spark):
     assert np.allclose(one, many) and np.allclose(one, joined)
 
 
+def test_blocked_sums_equal_the_join(spark):
+    v = B.indexed(family_fixture(spark), "net")
+    counts = B.date_counts(B.stationary_paths(spark, 120, 40))
+    joined = B.percentile_intervals(counts, v, 120).orderBy("trial").toPandas()
+    for blocks in (dict(), dict(rep_block=7, trial_blocks=3)):
+        out = B.intervals_of_sums(B.blocked_sums(counts, v, 120, **blocks), 120).orderBy("trial").toPandas()
+        assert list(out["trial"]) == list(joined["trial"]) and list(out["n_reps"]) == [40] * len(out)
+        assert np.allclose(out.drop(columns=["trial"]), joined.drop(columns=["trial"]))
+
+
+def test_answers_without_an_oracle_take_the_declared_draws(spark, sf):
+    from chronopanel.plans import load, validation
+
+    n = load()["user_statistic_of_resamples"].run(spark, sf).select("rep").distinct().count()
+    assert n == 2000
+    assert validation.declared_intervals(spark, sf).select("n_reps").distinct().collect() == [(2000,)]
+    assert validation.declared_family_tests(spark, sf).first()["n_reps"] == 10000
+
+
 def test_stepdown_rejects_only_the_planted_strategy(spark):
     s = family_fixture(spark, 300, 3)
     v = B.indexed(s, "net")

@@ -56,4 +56,5 @@ def take_or_skip(spark, sf):
 def purged_model_study(spark, sf):
     folds = expanding_folds(P.calendar(spark, sf), 5)
     specs = {"ridge": R.linear_ranker(0.1), "boosted": R.boosted_ranker(3, 2)}
-    return R.purged_study(frame(spark, sf), folds, specs, [0, 1])[1]
+    ids = [r["fold"] for r in folds.select("fold").orderBy("fold").collect()]
+    return R.purged_study(frame(spark, sf), folds, specs, ids)[1]

@@ -115,6 +115,17 @@ def test_stepdown_rejects_only_the_planted_strategy(spark):
     assert out["t0"] < 0.05 and out["t1"] > 0.05 and out["t2"] > 0.05
 
 
+def test_model_study_runs_all_folds_of_the_fold_table(spark, sf, monkeypatch):
+    from chronopanel.plans import models
+
+    years, seen = models.expanding_folds, []
+    monkeypatch.setattr(models, "expanding_folds", lambda df, n: years(df, n - 3))
+    monkeypatch.setattr(models.R, "purged_study", lambda frame, folds, specs, ids: (None, seen.append((folds, ids))))
+    models.purged_model_study(spark, sf)
+    folds, ids = seen[0]
+    assert sorted(r["fold"] for r in folds.collect()) == ids and len(ids) > 2
+
+
 def test_paths_have_the_block_structure(spark):
     p = B.stationary_paths(spark, 50, 30).orderBy("rep", "pos").toPandas()
     assert p["idx"].between(0, 49).all() and len(p) == 1500

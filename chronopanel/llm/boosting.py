@@ -39,10 +39,10 @@ class Trees:
 def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 1.0, ridge: float = 1.0) -> Trees:
     """signs: -1 or 1 where the score must not rise or fall with a feature, else 0. A split that breaks its sign is
     not taken, and the middle of its two values bounds all values below it on either side."""
-    share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
+    if len(np.unique(y)) < 2:  # nothing to tell apart: 0.5 for all
+        return _flat(0.0, [], [], depth)
+    share = np.clip(y.mean(), 0.01, 0.99)
     base, nodes, roots = float(np.log(share / (1 - share))), [], []
-    if len(np.unique(y)) < 2:
-        return _flat(base, [], [], depth)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
     margin = np.full(len(y), base)

@@ -143,6 +143,14 @@ def test_boosting_learns_and_keeps_its_signs():
     assert (np.diff(trees.score(probe).reshape(50, 40), axis=1) <= 1e-12).all()
 
 
+@pytest.mark.parametrize("label", [0.0, 1.0])
+def test_boosting_of_one_kind_of_label_does_not_decide(label):
+    from chronopanel.llm.boosting import fit
+
+    x = np.arange(40.0).reshape(10, 4)
+    assert (fit(x, np.full(10, label), np.zeros(4, int)).score(x) == 0.5).all()
+
+
 def test_quality_held_out(spark, tmp_path):
     rng = np.random.default_rng(0)
     import random

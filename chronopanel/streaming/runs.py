@@ -87,7 +87,8 @@ def drain_in_order(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame]
     schema = None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = events if low is None else events.where(F.col(order) >= low)
-        part = part if high is None else part.where(F.col(order) < high)
+        if high is not None:  # rows without an order come first
+            part = part.where(F.coalesce(F.col(order) < high, F.lit(True)))
         part.write.mode("append").parquet(folder)
         stream = build(as_ticks(spark.readStream.schema(events.schema).parquet(folder)))
         schema = stream.schema

@@ -61,3 +61,14 @@ def test_a_stored_run_is_not_written_again(spark, tmp_path):
     # a sink that holds the run under another batch refuses it
     os.rename(f"{tmp_path}/sink/batch=0", f"{tmp_path}/sink/batch=77")
     assert insert([("a", 1.0, 21, 3), ("d", 1.5, 252, 1)], "two") == [*first[:2], ("d", 1.5, 252, 1)]
+
+
+def test_ordered_replay_keeps_rows_without_an_order(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from chronopanel.streaming import runs
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.withColumn("event_id", F.when(F.col("event_id") % 10 > 0, F.col("event_id"))).write.parquet(f"{tmp_path}/events.parquet")
+    out = runs.drain_in_order(spark, str(tmp_path), lambda t: t.select("event_id"), "nulls")
+    assert out.count() == events.count() and out.where("event_id is null").count() > 0

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = "mixing secrets vectors simhash quality toxicity windows encoding repeats counts".split()
+MODULES = "mixing secrets vectors simhash quality toxicity windows encoding repeats counts manifest".split()
 
 
 def load() -> dict:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = "mixing secrets vectors simhash quality toxicity windows encoding repeats counts negatives manifest".split()
+MODULES = "mixing secrets vectors simhash quality toxicity windows encoding repeats counts negatives spots manifest".split()
 
 
 def load() -> dict:

@@ -79,19 +79,19 @@ def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
 
 
 def before_each(docs: DataFrame) -> DataFrame:
-    """The mark of each document (giver), that of the document before it in descending order (taker), and a third of
-    the taker's length. The first comes after the last."""
+    """The mark of each document (giver), mark and doc_id of the document before it in descending order (taker), and a
+    third of the taker's length. The first comes after the last."""
     order = [F.col("doc_id").desc_nulls_last(), F.col("mark")]
     keys = docs.groupBy("doc_id", "mark").agg(F.max(F.length("body")).alias("n"))
     ranged = staged(keys.repartitionByRange(partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()), "spots-order")
-    within, item = W.partitionBy("part").orderBy(*order), F.struct("mark", "n")
+    within, item = W.partitionBy("part").orderBy(*order), F.struct("mark", "n", "doc_id")
     rows = ranged.select("*", F.lag(item).over(within).alias("prior"), F.lead("mark").over(within).isNull().alias("last"))
     # one row for each range
     along = W.orderBy("part")
     ends = rows.filter("last").select("part", item.alias("end"))
     ends = ends.select(F.col("part").alias("of"), F.coalesce(F.lag("end").over(along), F.last("end").over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("end"))
     prior = F.coalesce("prior", "end")
-    return rows.join(ends, F.col("part") == F.col("of")).select(F.col("mark").alias("giver"), prior["mark"].alias("taker"), F.floor(prior["n"] / 3).cast("int").alias("third"))
+    return rows.join(ends, F.col("part") == F.col("of")).select(F.col("mark").alias("giver"), prior["mark"].alias("taker"), prior["doc_id"].alias("taker_id"), F.floor(prior["n"] / 3).cast("int").alias("third"))
 
 
 def likeness_of_next(docs: DataFrame) -> DataFrame:
@@ -99,9 +99,11 @@ def likeness_of_next(docs: DataFrame) -> DataFrame:
     body = text_or_empty()
     mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(body.cast("binary")))
     docs = docs.select("doc_id", body.alias("body"), mark.alias("mark"))
-    sent = docs.join(before_each(docs), F.col("mark") == F.col("giver")).groupBy("taker").agg(
-        F.any_value(F.struct(F.substring("body", F.lit(1), F.col("third")).alias("head"), hashes(spots(F.col("body"))).alias("set"))).alias("next"))
-    met = docs.join(sent, F.col("mark") == F.col("taker"))
+    # both joins read (body, mark) alone, so one shuffle of the texts serves the two
+    texts = docs.select("body", "mark")
+    sent = texts.join(before_each(docs), F.col("mark") == F.col("giver")).groupBy("taker").agg(
+        F.any_value(F.struct(F.col("taker_id").alias("doc_id"), F.substring("body", F.lit(1), F.col("third")).alias("head"), hashes(spots(F.col("body"))).alias("set"))).alias("next"))
+    met = texts.join(sent, F.col("mark") == F.col("taker")).withColumn("doc_id", F.col("next.doc_id"))
     n = F.length("body")
     edited = F.concat(F.substring("body", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("next.head"))
     rows = met.select("doc_id", n.cast("long").alias("n_chars"), "body", edited.alias("edited"), F.col("next.set").alias("next_set"))

@@ -184,56 +184,81 @@ def romano_wolf(means: DataFrame, family: DataFrame, reps: int) -> DataFrame:
     return p.select("trial", "t", "raw", F.least(F.lit(1.0), F.max("raw").over(up)).alias("p_rw"))
 
 
-def studentized_sharpe(streams_arrays: DataFrame, paths: DataFrame, lags: int, confidence: float = 0.95,
-                       trial_blocks: int = 8) -> DataFrame:
-    """Studentised interval of the annual Sharpe: each rep is divided by the HAC error of its influence.
-
-    Reps meet trials in (rep block, trial block) groups; a group holds 64 paths and its trials' values.
+def sharpe_influence(m: np.ndarray, per_year: float = 252.0) -> tuple[np.ndarray, np.ndarray]:
+    """Annual Sharpe of each row and the influence of each value on it (values on the last axis)."""
+    mean = m.mean(axis=-1, keepdims=True)
+    c = m - mean
+    var = (c * c).mean(axis=-1, keepdims=True)
+    sd = np.sqrt(var)
+    n = m.shape[-1]
+    est = per_year**0.5 * mean[..., 0] / (sd[..., 0] * (n / (n - 1.0)) ** 0.5)
+    return est, per_year**0.5 * (c / sd - mean * (c * c - var) / (2.0 * sd**3))
+
+
+def hac_errors(infl: np.ndarray, lags: int) -> np.ndarray:
+    """Bartlett standard error of the mean of each row."""
+    g, n = infl - infl.mean(axis=-1, keepdims=True), infl.shape[-1]
+    lrv = (g * g).mean(axis=-1)
+    for k in range(1, lags + 1):
+        lrv = lrv + 2.0 * (1.0 - k / (lags + 1.0)) * (g[..., k:] * g[..., :-k]).sum(axis=-1) / n
+    return np.sqrt(np.maximum(lrv, 0.0) / n)
+
+
+def studentized_sharpe(pairs: DataFrame, paths: DataFrame, lags: int, confidence: float = 0.95, trial_blocks: int = 8) -> DataFrame:
+    """Studentised interval of the annual Sharpe, or of its difference to a benchmark, for each (trial, benchmark).
+
+    `pairs` has arrays `xs` and `bs` of as many sessions as the paths have; `bs` is null where there is no benchmark. A path draws both
+    series at once, and the error of a difference is that of the difference of the influences, so cross terms of the two
+    series at every lag are in it. Reps meet trials in (rep block, trial block) groups; a group holds 64 paths and its
+    trials' values.
     """
     path_rows = paths.groupBy("rep").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda s: s["idx"]).alias("path"))
     blocks = path_rows.withColumn("rb", F.floor(F.col("rep") / 64).cast("int"))
 
-    def influence(m: np.ndarray):
-        mean = m.mean(axis=1, keepdims=True)
-        c = m - mean
-        var = (c * c).mean(axis=1, keepdims=True)
-        sd = np.sqrt(var)
-        scale = 252.0**0.5
-        est = scale * mean[:, 0] / (sd[:, 0] * (m.shape[1] / (m.shape[1] - 1.0)) ** 0.5)
-        infl = scale * (c / sd - mean * (c * c - var) / (2.0 * sd**3))
-        g = infl - infl.mean(axis=1, keepdims=True)
-        lrv = (g * g).mean(axis=1)
-        for k in range(1, lags + 1):
-            lrv += 2.0 * (1.0 - k / (lags + 1.0)) * (g[:, k:] * g[:, :-k]).sum(axis=1) / m.shape[1]
-        return est, np.sqrt(np.maximum(lrv, 0.0) / m.shape[1])
-
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        frames = []
+        out = []
         idx = np.vstack(left["path"].to_numpy()) if len(left) else np.zeros((0, 1), int)
-        for trial, xs in zip(right["trial"], right["xs"], strict=True):
-            x = np.asarray(xs, float)
-            est, se = influence(x[None, :])
+        for trial, name, xs, bs in zip(right["trial"], right["benchmark"], right["xs"], right["bs"], strict=True):
             with np.errstate(divide="ignore", invalid="ignore"):
-                b, bse = influence(x[idx])
-                z = np.where(bse > 0, (b - est[0]) / bse, np.nan)
-            frames.append(pd.DataFrame({"trial": trial, "estimate": est[0], "se": se[0], "z": z}))
-        return pd.concat(frames) if frames else pd.DataFrame({"trial": [], "estimate": [], "se": [], "z": []})
+                est, infl, b, drawn = 0.0, 0.0, 0.0, 0.0
+                for sign, series in ((1.0, xs), (-1.0, bs)):
+                    if series is not None:
+                        x = np.asarray(series, float)
+                        own, again = sharpe_influence(x), sharpe_influence(x[idx])
+                        est, infl, b, drawn = est + sign * own[0], infl + sign * own[1], b + sign * again[0], drawn + sign * again[1]
+                se, bse = hac_errors(infl, lags), hac_errors(drawn, lags)
+                z = np.where(bse > 0, (b - est) / bse, np.nan)
+            out += [(trial, name, float(est), float(se), float(v)) for v in z]
+        return pd.DataFrame(out, columns=["trial", "benchmark", "estimate", "se", "z"])
 
     every = blocks.agg(F.max("rb").alias("top"))
-    right = streams_arrays.join(F.broadcast(every)).select(
-        "trial", "xs", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("rb"), F.pmod(F.xxhash64("trial"), F.lit(trial_blocks)).cast("int").alias("tb"))
+    right = pairs.join(F.broadcast(every)).select(
+        "trial", "benchmark", "xs", "bs", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("rb"), F.pmod(F.xxhash64("trial"), F.lit(trial_blocks)).cast("int").alias("tb"))
     left = blocks.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(trial_blocks - 1))))
     z = left.groupBy("rb", "tb").cogroup(right.groupBy("rb", "tb")).applyInPandas(
-        run, "trial string, estimate double, se double, z double").where("not isnan(z)")
+        run, "trial string, benchmark string, estimate double, se double, z double").where("not isnan(z)")
     a = (1.0 - confidence) / 2.0
-    x = z.groupBy("trial", "estimate", "se").agg(
+    x = z.groupBy("trial", "benchmark", "estimate", "se").agg(
         F.percentile("z", F.lit(a)).alias("lo"), F.percentile("z", F.lit(1 - a)).alias("hi"),
         ((F.count_if(F.abs("z") >= F.abs(F.col("estimate") / F.col("se"))) + 1.0) / (F.count("*") + 1.0)).alias("p"))
-    return x.select("trial", "estimate", "se", (F.col("estimate") - F.col("hi") * F.col("se")).alias("lower"),
+    return x.select("trial", "benchmark", "estimate", "se", (F.col("estimate") - F.col("hi") * F.col("se")).alias("lower"),
                     (F.col("estimate") - F.col("lo") * F.col("se")).alias("upper"), "p")
 
 
+def paired_arrays(streams: DataFrame, value: str, benchmarks: DataFrame | None = None) -> DataFrame:
+    """(trial, benchmark, xs, bs) in session order. `benchmarks` has (benchmark, pos, b); sessions on which a value of
+    the pair is missing are left out of both. The pair NONE has no second series."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    x = streams.where(ok(value)).select("trial", "pos", F.col(value).cast("double").alias("v"))
+    rows = x.select("trial", F.lit("NONE").alias("benchmark"), "pos", "v", F.lit(None).cast("double").alias("b"))
+    if benchmarks is not None:
+        rows = rows.unionByName(x.join(benchmarks.where(ok("b")), "pos").select("trial", "benchmark", "pos", "v", F.col("b").cast("double").alias("b")))
+    g = rows.groupBy("trial", "benchmark").agg(F.array_sort(F.collect_list(F.struct("pos", "v", "b"))).alias("s"))
+    bs = F.when(F.col("benchmark") != "NONE", F.transform("s", lambda r: r["b"]))
+    return g.select("trial", "benchmark", F.transform("s", lambda r: r["v"]).alias("xs"), bs.alias("bs"))
+
+
 def resampled_statistic(counts: DataFrame, values: DataFrame, statistic) -> DataFrame:
     """A user's statistic of each resample: a grouped-aggregate pandas UDF over values repeated by count."""
     from pyspark.sql import types as T

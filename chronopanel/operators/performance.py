@@ -12,6 +12,7 @@ from ..functions.costs import daily_cost
 from .advisor import latest
 from .features import drawdown
 from .frames import over_sessions, shifted
+from .selection import exact_quantiles
 
 
 def performance(x: DataFrame, value: str, bench: str, per_year: float = 252.0) -> DataFrame:
@@ -45,9 +46,9 @@ def eras(r: DataFrame, bounds=ERAS) -> DataFrame:
 
 def magnitude_table(r: DataFrame, value: str) -> DataFrame:
     """101 empirical quantiles of up and of down magnitudes."""
-    x = r.where(F.col(value) != 0).groupBy(F.when(F.col(value) > 0, "UP").otherwise("DOWN").alias("direction")).agg(
-        F.percentile(F.abs(value), F.array(*[F.lit(i / 100.0) for i in range(101)])).alias("q"))
-    return x.select("direction", F.posexplode("q").alias("percent", "magnitude"))
+    x = r.where(F.col(value) != 0).select(F.when(F.col(value) > 0, "UP").otherwise("DOWN").alias("direction"), F.abs(value).alias("magnitude"))
+    q = exact_quantiles(x, ["direction"], "magnitude", [i / 100.0 for i in range(101)])
+    return q.select("direction", F.round(F.col("p") * 100).cast("int").alias("percent"), F.col("quantile").alias("magnitude"))
 
 
 def healing_peers(p: DataFrame) -> DataFrame:

@@ -35,9 +35,10 @@ def positions(entries: DataFrame, holding: int, lag: int, last_pos: DataFrame |
     return x.groupBy("trial", "symbol", "pos").agg(F.sum("w").alias("weight"), F.sum("p").alias("previous"))
 
 
-def evaluate(pos: DataFrame, market: DataFrame, cal: DataFrame, multiplier: float = 1.0, scale: float = 1.0) -> DataFrame:
-    """Daily gross, cost, turnover and net of every trial that traded; idle sessions are zero rows."""
-    x = pos.join(market.select("symbol", "pos", "ret"), ["symbol", "pos"], "left").join(
+def evaluate(pos: DataFrame, market: DataFrame, cal: DataFrame, multiplier: float = 1.0, scale: float = 1.0, returns_at: str = "pos") -> DataFrame:
+    """Daily gross, cost, turnover and net of every trial that traded; idle sessions are zero rows. `returns_at` names
+    the column with the session whose returns a position earns."""
+    x = pos.join(market.select("symbol", F.col("pos").alias(returns_at), "ret"), ["symbol", returns_at], "left").join(
         market.select("symbol", F.col("pos"), "adv20"), ["symbol", "pos"], "left")
     names = market.select("symbol", "asset_type").distinct()
     x = x.join(names, "symbol")

@@ -237,13 +237,6 @@ def verdicts(x: DataFrame, gates: Gates | None = None) -> DataFrame:
     return x.select("*", verdict.alias("verdict"), F.array_join(why, ",").alias("reasons"))
 
 
-def holdout_gate(edges: DataFrame) -> DataFrame:
-    """SIGN_V1: every edge mean positive; CI_V2: every interval above zero."""
-    return edges.agg(
-        F.count("*").alias("n_edges"), F.coalesce(F.bool_and(F.col("mean") > 0), F.lit(False)).alias("sign_v1"),
-        F.coalesce(F.bool_and(F.col("ci_low") > 0), F.lit(False)).alias("ci_v2"))
-
-
 def prefix_breaks(build, df: DataFrame, cut, day: str = "session") -> DataFrame:
     """Rows that change when the input is truncated before ``cut``; empty for a causal feature.
 

@@ -17,7 +17,7 @@ from ..operators import streams as S
 from ..operators.frames import framed, shifted
 from ..sources import panel as P
 from .catalog import query
-from .inference import market, market_regime, metrics, signals, streams
+from .inference import hac_sql, market, market_regime, metrics, signals, streams
 from .oracle_parts import part
 from .tops import monthly_top_fraction, rev5
 
@@ -358,11 +358,56 @@ def placebo_trials(spark, sf):
     return s.withColumn("t_survivor", (t > 3).cast("double"))
 
 
-@query("STAT-26 PRT-08", "spec kind ~mean ~t ~p_bh survivor", digits=5)
+# Controls of every trial: the same positions on exchanged dates, or exchanged symbols on the same dates.
+part("control_seeds", "streams", """
+SELECT trial, kind, trial || '|' || kind AS spec, CAST(CAST('0x' || substring(h,15,2) || substring(h,13,2) || substring(h,11,2) || substring(h,9,2) || substring(h,7,2) || substring(h,5,2) || substring(h,3,2) || substring(h,1,2) AS UBIGINT) AS VARCHAR) AS seed
+FROM (SELECT *, sha256('0:' || trial || ':' || kind) AS h FROM (SELECT DISTINCT trial FROM streams) CROSS JOIN (VALUES ('SHUFFLED_DATES'),('MATCHED_RANDOM')) k(kind))""")
+part("control_streams", "control_seeds cube streams rets cal syms", """
+WITH d AS (SELECT spec, trial, row_number() OVER (PARTITION BY spec ORDER BY md5(seed || ':' || strftime(session,'%Y-%m-%d')), pos) AS pos, pos AS from_pos FROM control_seeds CROSS JOIN cal WHERE kind = 'SHUFFLED_DATES'),
+ l AS (SELECT a.spec, a.trial, a.symbol AS from_symbol, b.symbol FROM (SELECT spec, trial, symbol, row_number() OVER (PARTITION BY spec ORDER BY md5(seed || ':' || symbol), symbol) AS k FROM control_seeds CROSS JOIN syms WHERE kind = 'MATCHED_RANDOM') a
+  JOIN (SELECT symbol, row_number() OVER (ORDER BY symbol) AS k FROM syms) b USING (k)),
+ x AS (SELECT d.spec, d.trial, 'SHUFFLED_DATES' AS kind, c.pos, c.session, c.weight, c.previous, r.ret, c.asset_type, c.adv FROM cube c JOIN d ON d.trial = c.trial AND d.pos = c.pos JOIN rets r ON r.symbol = c.symbol AND r.pos = d.from_pos
+  UNION ALL SELECT l.spec, l.trial, 'MATCHED_RANDOM', c.pos, c.session, c.weight, c.previous, o.ret, o.asset_type, o.adv FROM cube c JOIN l ON l.trial = c.trial AND l.from_symbol = c.symbol JOIN cube o ON o.trial = c.trial AND o.symbol = l.symbol AND o.pos = c.pos)
+SELECT trial AS spec, trial AS parent, 'REAL' AS kind, pos, session, net FROM streams UNION ALL
+SELECT spec, trial, kind, pos, session, sum(coalesce(weight*ret,0)) - sum((abs(weight-previous)*(CASE WHEN asset_type='etf' THEN 1.0 ELSE 3.0 END/2 + least(1.0+10.0*sqrt(abs(weight-previous)*100000.0/adv),50.0) + 1.0) + greatest(-weight,0)*0.003/365.0*10000.0)/10000.0) FROM x GROUP BY ALL""")
+
+
+def control_streams(spark, sf):
+    from ..operators import controls as C
+
+    def build():
+        pos = S.positions(S.reversal_entries(signals(spark, sf)), 5, 2)
+        return C.control_streams(pos, market(spark, sf), P.calendar(spark, sf)).withColumnRenamed("trial", "spec")
+
+    return P.kept(spark, sf, "control-streams", build)
+
+
+def control_tests(spark, sf):
+    return P.kept(spark, sf, "control-tests", lambda: I.hac(control_streams(spark, sf), ["spec", "parent", "kind"], "pos", "net", 5))
+
+
+CONTROL_TESTS = "WITH " + hac_sql("SELECT spec, parent, kind, pos, net AS v FROM control_streams", "spec, parent, kind", 5)
+
+
+@query("STAT-16 STAT-26", "spec parent kind #n ~mean ~t", digits=5, parts="control_streams", sql=CONTROL_TESTS + " SELECT spec, parent, kind, n, mean, t FROM hac")
+def trials_and_controls(spark, sf):
+    """Every trial and its two declared controls under the same test."""
+    return control_tests(spark, sf)
+
+
+@query("AGG-15 STAT-16", "family kind #n_trials #n_survivors ~fraction", parts="control_streams", sql=CONTROL_TESTS + """
+SELECT split_part(parent,'|',1) AS family, kind, count(*) AS n_trials, count(*) FILTER (n >= 100 AND mean > 0 AND t > 3) AS n_survivors, avg(CASE WHEN n >= 100 AND mean > 0 AND t > 3 THEN 1.0 ELSE 0.0 END) AS fraction FROM hac GROUP BY ALL""")
+def family_survival(spark, sf):
+    """Survivors of the gates of sample, sign and t for each signal, and the same fraction of its controls."""
+    from ..operators import controls as C
+
+    rule = (F.col("n") >= 100) & (F.col("mean") > 0) & (F.col("t") > 3)
+    return C.survival(control_tests(spark, sf).withColumn("family", F.split("parent", "\\|")[0]), ["family"], rule)
+
+
+@query("STAT-26 PRT-08", "spec kind ~mean ~t ~p ~p_bh ~dsr survivor", digits=5)
 def discovery_with_controls(spark, sf):
-    real = streams(spark, sf).select("trial", "pos", "net").withColumn("kind", F.lit("REAL"))
-    turned = rotated_streams(spark, sf).select("trial", "pos", "net").withColumn("kind", F.lit("ROTATED"))
-    flip = real.withColumn("net", -F.col("net")).withColumn("kind", F.lit("OPPOSITE"))
-    x = real.unionByName(turned).unionByName(flip).withColumn("spec", F.concat_ws("#", "trial", "kind"))
-    tests = I.with_p(I.hac(x, ["spec", "kind"], "pos", "net", 5)).join(I.summarize(x, ["spec"], "net").drop("n", "mean"), "spec")
+    """The declared gates over the whole family of real trials and controls."""
+    x = control_streams(spark, sf)
+    tests = I.with_p(control_tests(spark, sf)).join(I.summarize(x, ["spec"], "net").drop("n", "mean"), "spec")
     return I.gauntlet(I.deflated(tests))

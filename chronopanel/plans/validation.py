@@ -1,5 +1,6 @@
 """Bootstraps, folds, decay, overfitting, verdicts, causality."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as B
@@ -8,7 +9,7 @@ from ..operators import inference as I
 from ..operators import validation as V
 from ..sources import panel as P
 from .catalog import query
-from .inference import market_regime, metrics, streams, tests
+from .inference import hac_sql, market_regime, metrics, streams, tests
 from .oracle_parts import part
 from .tops import rev5
 
@@ -118,10 +119,19 @@ def romano_wolf_stepdown(spark, sf):
     return B.romano_wolf(means, family(spark, sf), REPS)
 
 
-@query("STAT-06", "trial ~estimate ~se ~lower ~upper ~p")
+@query("STAT-06", "trial benchmark ~estimate ~se ~lower ~upper ~p")
 def studentized_sharpe_intervals(spark, sf):
-    arrays = I.ordered_values(streams(spark, sf), ["trial"], "pos", "net")
-    return B.studentized_sharpe(arrays, declared_paths(spark, sf, DRAWS), 7)
+    """Each trial alone and against the equal-weight market; a set of paths for each number of sessions."""
+    from .portfolios import market_legs
+
+    market = market_legs(spark, sf).where("leg = 'CLOSE_TO_CLOSE' and r is not null").select(F.lit("MARKET").alias("benchmark"), "pos", F.col("r").alias("b"))
+    pairs = P.kept(spark, sf, "sharpe-pairs", lambda: B.paired_arrays(streams(spark, sf), "net", market))
+    out = None
+    for (n,) in pairs.select(F.size("xs")).distinct().collect():
+        of = B.stationary_paths(spark, n, DRAWS)
+        part_ = B.studentized_sharpe(pairs.where(F.size("xs") == n), of, 7)
+        out = part_ if out is None else out.unionByName(part_)
+    return out
 
 
 @query("UDF-02", "trial #rep ~statistic")
@@ -146,17 +156,6 @@ def walk_forward_folds(spark, sf):
         F.count("*").alias("n"), F.min("session").alias("first_session"), F.max("session").alias("last_session"))
 
 
-# Bartlett t of any labelled series: (grp, i-ordered v) -> n, mean, t.
-def hac_sql(rows: str, keys: str, holding: int = 1) -> str:
-    on = " AND ".join(f"b.{k} = a.{k}" for k in keys.split(", "))
-    on_m = " AND ".join(f"m.{k} = a.{k}" for k in keys.split(", "))
-    a_keys = ", ".join(f"a.{k}" for k in keys.split(", "))
-    return f"""c AS (SELECT {keys}, v - avg(v) OVER (PARTITION BY {keys}) AS c, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS i FROM ({rows})),
- m AS (SELECT {keys}, count(*) AS n, avg(v) AS mean, CAST(least(count(*)-1, greatest(floor(4*power(count(*)/100.0,2.0/9.0)),{holding - 1})) AS BIGINT) AS lags FROM ({rows}) GROUP BY {keys}),
- g AS (SELECT {a_keys}, l.k, sum(a.c*b.c) AS g FROM c a JOIN m ON {on_m} JOIN (SELECT unnest(generate_series(0,12)) AS k) l ON l.k <= m.lags JOIN c b ON {on} AND b.i = a.i - l.k GROUP BY {a_keys}, l.k),
- hac AS (SELECT {keys}, n, mean, CASE WHEN sum(CASE WHEN k = 0 THEN g ELSE 2*(1-k/(lags+1.0))*g END) <= 0 THEN 0.0 ELSE mean/sqrt(greatest(sum(CASE WHEN k = 0 THEN g ELSE 2*(1-k/(lags+1.0))*g END),0)/n/n) END AS t FROM m JOIN g USING ({keys}) GROUP BY {keys}, n, mean, lags)"""
-
-
 @query("VAL-02", "trial #n_folds ~positive_fraction #n_oos ~oos_mean ~oos_t majority significant", digits=5, parts="streams folds", sql=f"""
 WITH {hac_sql("SELECT trial, pos, net AS v FROM streams JOIN folds ON session >= test_start AND session < test_stop", "trial", 5)},
  p AS (SELECT trial, count(*) AS n_folds, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS positive_fraction FROM (SELECT trial, fold, avg(net) AS m FROM streams JOIN folds ON session >= test_start AND session < test_stop GROUP BY trial, fold) GROUP BY trial)
@@ -319,12 +318,70 @@ def validation_table(spark, sf):
     return x.join(reg, "trial")
 
 
-@query("VAL-16 VAL-17", "#n_edges sign_v1 ci_v2", parts="streams", sql="""
-SELECT count(*) AS n_edges, bool_and(m > 0) AS sign_v1, bool_and(m - 1.96*sd/sqrt(n) > 0) AS ci_v2 FROM (SELECT trial, avg(net) AS m, stddev_samp(net) AS sd, count(*) AS n FROM streams WHERE session >= DATE '2001-01-01' GROUP BY trial)""")
+SEALED = "2001-01-01"
+part("sealed_days", "cal", f"SELECT session, pos, row_number() OVER (ORDER BY pos)-1 AS idx FROM cal WHERE session >= DATE '{SEALED}'")
+part("frozen", "streams", f"""
+WITH RECURSIVE s AS (SELECT * FROM streams WHERE session < DATE '{SEALED}' AND trial IN (SELECT trial FROM streams WHERE session < DATE '{SEALED}' GROUP BY trial HAVING avg(net) > 0)),
+ e AS (SELECT a.trial AS x, b.trial AS y FROM s a JOIN s b ON a.pos = b.pos GROUP BY ALL HAVING abs(corr(a.net, b.net)) >= 0.7),
+ reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y), c AS (SELECT x AS trial, min(y) AS cluster FROM reach GROUP BY x)
+SELECT trial, 1.0/(SELECT count(DISTINCT cluster) FROM c)/count(*) OVER (PARTITION BY cluster) AS weight FROM c""")
+part("sealed_values", "frozen streams sealed_days mkt", """
+WITH i AS (SELECT s.trial, s.pos, idx, net, weight FROM streams s JOIN frozen USING (trial) JOIN sealed_days w ON w.pos = s.pos),
+ c AS (SELECT pos, idx, sum(net*weight) AS v FROM i GROUP BY ALL),
+ g AS (SELECT pos, coalesce(lag(lvl > avg20) OVER (ORDER BY pos), false) AS on_, lag(avg20) OVER (ORDER BY pos) AS a FROM (SELECT *, CASE WHEN count(*) OVER w = 20 THEN avg(lvl) OVER w END AS avg20 FROM (SELECT pos, round(sum(coalesce(mkt,0)) OVER (ORDER BY pos), 9) AS lvl FROM mkt) WINDOW w AS (ORDER BY pos ROWS 19 PRECEDING)))
+SELECT 'EDGE' AS kind, trial AS series, idx, net AS v FROM i UNION ALL SELECT 'COMPOSITE', 'ALL', idx, v FROM c
+UNION ALL SELECT 'OVERLAY', 'TREND', idx, CASE WHEN on_ THEN 0.0 ELSE -v END FROM c JOIN g USING (pos) WHERE a IS NOT NULL""")
+part("sealed_draws", "sealed_days", f"""
+WITH n AS (SELECT count(*) AS n FROM sealed_days), g AS (SELECT rep, pos, n FROM n, (SELECT unnest(generate_series(0,{DRAWS - 1})) AS rep), (SELECT unnest(generate_series(0,(SELECT n-1 FROM n))) AS pos)),
+ h AS (SELECT *, pos = 0 OR {U.format("'42:r:' || rep || ':' || pos")} < 0.1 AS restart, CAST(floor({U.format("'42:f:' || rep || ':' || pos")}*n) AS BIGINT) AS fresh FROM g),
+ k AS (SELECT *, max(CASE WHEN restart THEN pos END) OVER (PARTITION BY rep ORDER BY pos) AS at FROM h)
+SELECT rep, idx, count(*) AS c FROM (SELECT k.rep, (h.fresh + k.pos - k.at) % k.n AS idx FROM k JOIN h ON h.rep = k.rep AND h.pos = k.at) GROUP BY ALL""")
+part("sealed", "sealed_values sealed_draws sealed_days", """
+WITH b AS (SELECT kind, series, rep, sum(c*v)/(SELECT count(*) FROM sealed_days) AS m, sum(c*v) AS s1, sum(c*v*v) AS s2, (SELECT count(*) FROM sealed_days) AS n FROM sealed_values JOIN sealed_draws USING (idx) GROUP BY kind, series, rep),
+ q AS (SELECT kind, series, quantile_cont(m,0.025) AS mean_low, quantile_cont(m,0.975) AS mean_high, quantile_cont(sh,0.025) AS sharpe_low, quantile_cont(sh,0.975) AS sharpe_high FROM (SELECT *, CASE WHEN (s2-s1*s1/n)/(n-1.0) > 1e-18 THEN m/sqrt((s2-s1*s1/n)/(n-1.0))*sqrt(252.0) END AS sh FROM b) GROUP BY ALL)
+SELECT kind, series, count(*) AS n, avg(v) AS mean, CASE WHEN count(*) >= 20 THEN any_value(mean_low) END AS mean_low, CASE WHEN count(*) >= 20 THEN any_value(mean_high) END AS mean_high,
+ CASE WHEN count(*) >= 20 THEN any_value(sharpe_low) END AS sharpe_low, CASE WHEN count(*) >= 20 THEN any_value(sharpe_high) END AS sharpe_high FROM sealed_values JOIN q USING (kind, series) GROUP BY kind, series""")
+
+
+def sealed(spark, sf):
+    """Edges frozen before the window, their composite and the trend overlay, on one set of declared draws."""
+    from ..operators import holdout as H
+
+    def build():
+        cal = P.calendar(spark, sf).where(F.col("session") >= F.lit(SEALED).cast("date"))
+        window = cal.select("pos", (F.row_number().over(W.orderBy("pos")) - 1).alias("idx"))
+        overlays = market_regime(spark, sf).select(F.lit("TREND").alias("overlay"), "pos", "on")
+        frozen = P.kept(spark, sf, "frozen-edges", lambda: H.frozen_edges(streams(spark, sf), SEALED))
+        return H.evaluate(P.kept(spark, sf, "sealed-series", lambda: H.sealed_series(streams(spark, sf), frozen, overlays, SEALED)), window, DRAWS)
+
+    return P.kept(spark, sf, "sealed", build)
+
+
+@query("VAL-17 ASM-11", "kind series #n ~mean ~mean_low ~mean_high ~sharpe_low ~sharpe_high", digits=5, parts="sealed", sql="SELECT * FROM sealed")
+def sealed_window_evaluation(spark, sf):
+    return sealed(spark, sf)
+
+
+GATE = """
+WITH g AS (SELECT count(*) FILTER (kind = 'EDGE') AS n_edges, coalesce(bool_and(mean > 0) FILTER (kind = 'EDGE'), true) AS edge_positive, count(*) FILTER (kind = 'EDGE') = 0 OR coalesce(bool_and(mean > 0) FILTER (kind = 'COMPOSITE'), false) AS composite_positive,
+ coalesce(bool_and(mean >= 0) FILTER (kind = 'OVERLAY'), true) AS overlays_nonnegative, coalesce(bool_and(coalesce(mean_low > 0, false)) FILTER (kind = 'EDGE'), true) AS e_low, count(*) FILTER (kind = 'EDGE') = 0 OR coalesce(bool_and(coalesce(mean_low > 0, false)) FILTER (kind = 'COMPOSITE'), false) AS c_low FROM sealed),
+ d AS (SELECT 'SIGN_V1' AS evaluator, n_edges, edge_positive, composite_positive, overlays_nonnegative, CAST(NULL AS BOOLEAN) AS edge_low_positive, CAST(NULL AS BOOLEAN) AS composite_low_positive, edge_positive AND composite_positive AND overlays_nonnegative AS research_gate_pass FROM g
+ UNION ALL SELECT 'CI_V2', n_edges, edge_positive, composite_positive, overlays_nonnegative, e_low, c_low, edge_positive AND composite_positive AND overlays_nonnegative AND e_low AND c_low FROM g)"""
+
+
+@query("VAL-16", "evaluator #n_edges edge_positive composite_positive overlays_nonnegative edge_low_positive composite_low_positive research_gate_pass promoted", parts="sealed", sql=GATE + " SELECT *, research_gate_pass AND n_edges > 0 AS promoted FROM d")
 def sealed_window_gate(spark, sf):
-    s = streams(spark, sf).where(F.col("session") >= F.lit("2001-01-01").cast("date"))
-    m = I.summarize(s, ["trial"], "net").withColumn("ci_low", F.col("mean") - F.lit(1.96) * F.col("sd") / F.sqrt("n"))
-    return V.holdout_gate(m)
+    from ..operators import holdout as H
+
+    return H.decide(sealed(spark, sf))
+
+
+@query("VAL-16", "sealed_pass ci_v2_would_pass edge_low_positive composite_low_positive", parts="sealed", sql=GATE + """
+SELECT a.research_gate_pass AS sealed_pass, b.research_gate_pass AS ci_v2_would_pass, b.edge_low_positive, b.composite_low_positive FROM d a, d b WHERE a.evaluator = 'SIGN_V1' AND b.evaluator = 'CI_V2'""")
+def sealed_window_diagnostic(spark, sf):
+    from ..operators import holdout as H
+
+    return H.diagnostic(H.decide(sealed(spark, sf)))
 
 
 @query("VAL-18", "trial ~fold_total ~stream_total agrees", digits=5, parts="streams", sql="SELECT trial, sum(gross) AS fold_total, sum(gross) AS stream_total, true AS agrees FROM streams GROUP BY trial")

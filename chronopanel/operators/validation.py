@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .inference import hac
+from .inference import benjamini_hochberg, hac, regime_interaction, with_p
 
 YEAR = 12
 
@@ -69,9 +69,23 @@ def decay_points(streams: DataFrame, years: int = 5, step_months: int = 12, valu
     return hac(x, ["trial", "w"], "pos", value, holding).where(F.col("n") >= minimum).join(ends, ["trial", "w"])
 
 
-def classify_decay(rolling: DataFrame, fixed: DataFrame, stability_min: float = 0.75) -> DataFrame:
-    """STABLE, DECAYING, DEAD or INSUFFICIENT per trial. A trial has one row per window (years)."""
+def regime_evidence(streams: DataFrame, regime: DataFrame, value: str = "net", holding: int = 1) -> DataFrame:
+    """(trial, p_interaction, active_t): the interaction's p adjusted over the whole family, and the t inside the regime."""
+    x = streams.join(regime, "pos")
+    tests = regime_interaction(x, ["trial"], "pos", value, "on", holding).select("trial", "n", "t")
+    family = benjamini_hochberg(with_p(tests).withColumn("p", F.coalesce("p", F.lit(1.0))), "p").select("trial", F.col("p_bh").alias("p_interaction"))
+    active = hac(x.where("on"), ["trial"], "pos", value, holding).select("trial", F.col("t").alias("active_t"))
+    return family.join(active, "trial", "left")
+
+
+def classify_decay(rolling: DataFrame, fixed: DataFrame, stability_min: float = 0.75, sign: int = 1, regime: DataFrame | None = None) -> DataFrame:
+    """STABLE, DECAYING, DEAD, REGIME_DEPENDENT or INSUFFICIENT per trial. A trial has one row per window (years).
+
+    Means and t are taken in the direction of `sign`. Death comes first; with the evidence of a `regime`, an adjusted
+    interaction below 0.05 with a directed t above 2 inside the regime comes before the other classes.
+    """
     back = W.partitionBy("trial").orderBy(F.col("w").desc())
+    rolling, fixed = (d.withColumn("mean", F.col("mean") * sign).withColumn("t", F.col("t") * sign) for d in (rolling, fixed))
     x = rolling.withColumn("r", F.row_number().over(back)).withColumn("k", F.count("*").over(W.partitionBy("trial")))
     recent, earlier = F.col("r") <= 2, (F.col("r") > 2) & (F.col("t") > 3)
     s = x.groupBy("trial").agg(
@@ -82,24 +96,18 @@ def classify_decay(rolling: DataFrame, fixed: DataFrame, stability_min: float =
         F.count_if(F.col("mean") > 0).alias("same"))
     g = fixed.groupBy("trial").agg(F.count("*").alias("n_fixed"), F.count_if(F.col("mean") > 0).alias("same_fixed"))
     s = s.join(g, "trial", "left")
-    zero = F.lit(0)
+    zero, no = F.lit(0), F.lit(False)
     s = s.withColumn("stability", (F.col("same") + F.coalesce("same_fixed", zero)) / (F.col("n_windows") + F.coalesce("n_fixed", zero)))
     s = s.withColumn("ratio", F.when(F.col("prior_median") > 0, F.col("last_mean") / F.col("prior_median")))
     dead = (F.col("n_windows") >= 3) & F.col("strong_median").isNotNull() & (F.col("recent_t") < 1) & (
         F.col("recent_mean") <= F.lit(0.25) * F.abs("strong_median"))
+    cls = F.when(F.coalesce(dead, no), "DEAD")
+    if regime is not None:
+        s = s.join(regime.select("trial", "p_interaction", "active_t"), "trial", "left")
+        cls = cls.when(F.coalesce((F.col("p_interaction") < 0.05) & (F.col("active_t") * sign > 2), no), "REGIME_DEPENDENT")
     alive = F.col("last_mean") > 0
-    cls = (
-        F.when(F.coalesce(dead, F.lit(False)), "DEAD")
-        .when(F.coalesce((F.col("stability") >= stability_min) & alive & (F.col("ratio") >= 0.5), F.lit(False)), "STABLE")
-        .when(F.coalesce(alive & (F.col("ratio") < 0.5), F.lit(False)), "DECAYING").otherwise("INSUFFICIENT"))
-    return s.withColumn("decay", cls)
-
-
-def array_split_group(i: Column, n: Column, groups: int) -> Column:
-    """Group of row i when n rows are split into nearly equal runs (the first n mod g are one longer)."""
-    base, extra = F.floor(n / groups), n % groups
-    head = extra * (base + 1)
-    return F.when(i < head, F.floor(i / (base + 1))).otherwise(extra + F.floor((i - head) / F.greatest(base, F.lit(1)))).cast("int")
+    cls = cls.when(F.coalesce((F.col("stability") >= stability_min) & alive & (F.col("ratio") >= 0.5), no), "STABLE")
+    return s.withColumn("decay", cls.when(F.coalesce(alive & (F.col("ratio") < 0.5), no), "DECAYING").otherwise("INSUFFICIENT"))
 
 
 def purged_splits(n: int, groups: int = 6, test_groups: int = 2, purge: int = 21, embargo: int = 21):

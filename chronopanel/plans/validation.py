@@ -1,5 +1,7 @@
 """Bootstraps, folds, decay, overfitting, verdicts, causality."""
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from ..operators import features as FE
 from ..operators import inference as I
 from ..operators import validation as V
 from ..sources import panel as P
+from . import oracle_parts
 from .catalog import query
 from .inference import hac_sql, market_regime, metrics, streams, tests
 from .oracle_parts import part
@@ -259,6 +262,20 @@ def decay_classes(spark, sf):
     return decay(spark, sf)
 
 
+@query("VAL-09", "trial ~p_interaction ~active_t decay", digits=5)
+def decay_classes_by_regime(spark, sf):
+    """Decay classes with the market regime's interaction, adjusted over the family."""
+    return regime_decay(spark, sf)
+
+
+def regime_decay(spark, sf):
+    def build():
+        evidence_ = V.regime_evidence(streams(spark, sf), market_regime(spark, sf), "net", 5)
+        return V.classify_decay(points(spark, sf, 12), points(spark, sf, 24), regime=evidence_)
+
+    return P.kept(spark, sf, "regime-decay", build)
+
+
 @query("VAL-10", "symbol ~t_base ~t_shifted collapses", digits=5, parts="rets", sql="WITH " + hac_sql("""SELECT symbol, lagk, pos, coalesce(lag(s, lagk) OVER (PARTITION BY symbol, lagk ORDER BY pos),0)*coalesce(ret,0) AS v FROM (SELECT symbol, pos, ret, coalesce(sign(lead(ret) OVER (PARTITION BY symbol ORDER BY pos)),0) AS s FROM rets), (VALUES (1),(2)) t(lagk)""", "symbol, lagk") + """
 SELECT a.symbol, a.t AS t_base, b.t AS t_shifted, a.t > 3 AND abs(b.t) < 1.96 AS collapses FROM hac a JOIN hac b ON a.symbol = b.symbol AND a.lagk = 1 AND b.lagk = 2""")
 def shift_and_collapse(spark, sf):
@@ -277,6 +294,41 @@ def prefix_replay(spark, sf):
     return rows.join(broken).withColumn("causal", F.col("n_changed") == 0)
 
 
+# The whole chain from returns to entries once more, on a panel without its last sessions.
+def cut_parts() -> None:
+    chain = ("rets", "mkt", "peers", "betas", "reversals", "entries")
+    for name in chain[1:]:
+        needs, text = oracle_parts.PARTS[name]
+        for other in chain:
+            text = re.sub(rf"\b{other}\b(?!_)", f"{other}_cut", text)
+            needs = re.sub(rf"\b{other}\b(?!_)", f"{other}_cut", needs)
+        part(f"{name}_cut", needs, text)
+
+
+part("rets_cut", "rets cal", "SELECT * FROM rets WHERE pos <= (SELECT max(pos) - 25 FROM cal)")
+cut_parts()
+part("cube_later", oracle_parts.PARTS["cube"][0], oracle_parts.PARTS["cube"][1].replace("6 PRECEDING AND 2 PRECEDING", "7 PRECEDING AND 3 PRECEDING"))
+part("streams_later", "cube_later", oracle_parts.PARTS["streams"][1].replace("FROM cube", "FROM cube_later"))
+HELD = "SELECT trial, symbol, pos+2+k AS pos, sum(CASE WHEN k < 5 THEN weight/5 ELSE 0 END) AS weight FROM {} CROSS JOIN (SELECT unnest(generate_series(0,5)) AS k) WHERE pos+2+k <= (SELECT max(pos) - 50 FROM cal) GROUP BY ALL"
+
+
+@query("VAL-11", "trial #n_compared #n_changed ~baseline_t ~extra_lag_t lag_inflation reason causal", digits=5, parts="streams streams_later entries entries_cut cal", sql="WITH " + hac_sql("SELECT trial, 'a' AS leg, pos, net AS v FROM streams UNION ALL SELECT trial, 'b', pos, net FROM streams_later", "trial, leg", 5) + f""",
+ t AS (SELECT trial, max(CASE WHEN leg = 'a' THEN t END) AS baseline_t, max(CASE WHEN leg = 'b' THEN t END) AS extra_lag_t FROM hac GROUP BY trial),
+ d AS (SELECT coalesce(a.trial, b.trial) AS trial, count(a.weight) AS n_compared, count(*) FILTER (NOT coalesce(abs(a.weight-b.weight) <= 1e-12, false)) AS n_changed FROM ({HELD.format('entries')}) a FULL JOIN ({HELD.format('entries_cut')}) b ON a.trial = b.trial AND a.symbol = b.symbol AND a.pos = b.pos GROUP BY 1),
+ r AS (SELECT t.*, coalesce(n_compared,0) AS n_compared, coalesce(n_changed,0) AS n_changed, coalesce(extra_lag_t > baseline_t + 1, false) AS lag_inflation FROM t LEFT JOIN d USING (trial))
+SELECT *, CASE WHEN n_changed > 0 THEN 'CHANGED_WITHOUT_THE_FUTURE' WHEN lag_inflation THEN 'STRONGER_WITH_EXTRA_LAG' ELSE 'PASSED' END AS reason, n_changed = 0 AND NOT lag_inflation AS causal FROM r""")
+def survivor_causality(spark, sf):
+    """Every trial's signals rebuilt from a panel without its last sessions, and its fills one session later."""
+    from ..operators import streams as S
+    from ..operators.causality import survivor_causality as check
+    from .inference import market
+
+    m, cal = market(spark, sf), P.calendar(spark, sf)
+    panel = P.placed(spark, sf)
+    build = lambda d, lag: S.positions(S.reversal_entries(FE.reversal_signals(P.returns_of(d))), 5, lag)
+    return check(build, lambda x: S.evaluate(x, m, cal), panel, size(spark, sf), 5, 2)
+
+
 @query("VAL-12 FUN-17", "leg #n_rows #late #early_fills", parts="bars", sql="""
 SELECT leg, count(*) AS n_rows, count(*) FILTER (nxt IS NOT NULL AND av >= nxt) AS late, count(*) FILTER (CASE leg WHEN 'SAME_CLOSE' THEN own ELSE nxt END <= av) AS early_fills
 FROM (SELECT session + INTERVAL 16 HOUR AS own, session + INTERVAL 16 HOUR + INTERVAL 15 MINUTE AS av, lead(session) OVER (PARTITION BY symbol ORDER BY session) + INTERVAL 9 HOUR + INTERVAL 30 MINUTE AS nxt FROM bars), (VALUES ('SAME_CLOSE'),('NEXT_OPEN')) t(leg) GROUP BY leg""")
@@ -294,7 +346,7 @@ def verdict_table(spark, sf):
         m = I.benjamini_hochberg(metrics(spark, sf), "p").select("trial", "n", "mean", "t", "enough", "sharpe", "p_bh", "dsr")
         one_row = V.pbo(overfitting_splits(spark, sf)).select("pbo").join(declared_family_tests(spark, sf).select("spa_p"))
         gross = streams(spark, sf).groupBy("trial").agg(F.avg("gross").alias("gross_mean"))
-        x = m.join(evidence(spark, sf).select("trial", "oos_t", "positive_fraction"), "trial").join(decay(spark, sf).select("trial", "decay", "stability"), "trial", "left")
+        x = m.join(evidence(spark, sf).select("trial", "oos_t", "positive_fraction"), "trial").join(regime_decay(spark, sf).select("trial", "decay", "stability"), "trial", "left")
         x = x.join(gross, "trial").join(independent_recomputation(spark, sf).select("trial", "agrees"), "trial", "left").join(F.broadcast(one_row))
         return V.verdicts(x.withColumn("is_control", F.col("trial").rlike("ROTATED|OPPOSITE|PLACEBO")))
 
@@ -384,7 +436,8 @@ def sealed_window_diagnostic(spark, sf):
     return H.diagnostic(H.decide(sealed(spark, sf)))
 
 
-@query("VAL-18", "trial ~fold_total ~stream_total agrees", digits=5, parts="streams", sql="SELECT trial, sum(gross) AS fold_total, sum(gross) AS stream_total, true AS agrees FROM streams GROUP BY trial")
+@query("VAL-18", "trial ~fold_total ~stream_total agrees", digits=5, parts="entries rets streams", sql="""
+SELECT trial, fold_total, stream_total, abs(fold_total - stream_total) < 1e-6 AS agrees FROM (SELECT e.trial, sum(e.weight*r.ret)/5 AS fold_total FROM entries e JOIN rets r ON r.symbol = e.symbol AND r.pos BETWEEN e.pos+2 AND e.pos+6 GROUP BY 1) JOIN (SELECT trial, sum(gross) AS stream_total FROM streams GROUP BY 1) USING (trial)""")
 def independent_recomputation(spark, sf):
     from ..operators.causality import recompute_gross
     from ..operators.streams import reversal_entries
@@ -393,6 +446,28 @@ def independent_recomputation(spark, sf):
     return recompute_gross(reversal_entries(signals(spark, sf)), market(spark, sf), streams(spark, sf), 5, 2)
 
 
+@query("VAL-18", "trial #trades #vector_trades ~net_mean ~vector_mean count_match passed", digits=8, parts="flags mkt", sql="""
+WITH s AS (SELECT f.pos, t.trial, CASE t.trial WHEN 'OPEX|SHORT' THEN CASE WHEN opex_week THEN -1.0 ELSE 0.0 END WHEN 'TOM|LONG' THEN CASE WHEN turn_of_month THEN 1.0 ELSE 0.0 END WHEN 'WEEKDAY|BOTH' THEN CASE WHEN weekday = 0 THEN -1.0 WHEN weekday = 4 THEN 1.0 ELSE 0.0 END ELSE 1.0 END AS x FROM flags f CROSS JOIN (VALUES ('OPEX|SHORT'),('TOM|LONG'),('WEEKDAY|BOTH'),('ALWAYS|LONG')) t(trial)),
+ p AS (SELECT trial, pos, coalesce(lag(x) OVER (PARTITION BY trial ORDER BY pos),0) AS p FROM s),
+ d AS (SELECT trial, pos, p, abs(p - coalesce(lag(p) OVER (PARTITION BY trial ORDER BY pos),0)) AS c FROM p),
+ v AS (SELECT trial, count(*) FILTER (c > 0) AS vector_trades, avg(p*coalesce(mkt,0) - 0.0003*c) AS vector_mean, count(*) AS n FROM d JOIN mkt USING (pos) GROUP BY trial),
+ g AS (SELECT *, sum(CASE WHEN x IS DISTINCT FROM y THEN 1 ELSE 0 END) OVER (PARTITION BY trial ORDER BY pos) AS run FROM (SELECT *, lag(x) OVER (PARTITION BY trial ORDER BY pos) AS y FROM s)),
+ r AS (SELECT trial, run, any_value(x) AS x, min(pos) AS first, max(pos) AS last FROM g GROUP BY trial, run),
+ q AS (SELECT r.*, abs(x - coalesce(lag(x) OVER (PARTITION BY trial ORDER BY run),0)) AS c FROM r),
+ o AS (SELECT q.trial, count(DISTINCT CASE WHEN c > 0 THEN run END) AS trades, sum(x*e) - sum(0.0003*c) AS total FROM (SELECT q.trial, run, x, c, sum(coalesce(m.mkt,0)) AS e FROM q JOIN mkt m ON m.pos > q.first AND m.pos <= q.last + 1 GROUP BY ALL) q GROUP BY q.trial)
+SELECT trial, trades, vector_trades, total/n AS net_mean, vector_mean, trades = vector_trades AS count_match, trades = vector_trades AND abs(total/n - vector_mean)*1e4*n/greatest(trades,1) <= 1 AS passed FROM v JOIN o USING (trial)""")
+def confirmed_scalar_strategies(spark, sf):
+    """Calendar rules on the market, from daily rows and from their trades."""
+    from ..operators.causality import confirm_scalars
+
+    f = P.calendar_table(spark, sf)
+    x = {"OPEX|SHORT": F.when(F.col("opex_week"), -1.0).otherwise(0.0), "TOM|LONG": F.when(F.col("turn_of_month"), 1.0).otherwise(0.0),
+         "WEEKDAY|BOTH": F.when(F.col("weekday") == 0, -1.0).when(F.col("weekday") == 4, 1.0).otherwise(0.0), "ALWAYS|LONG": F.lit(1.0)}
+    s = f.select("pos", F.inline(F.array(*[F.struct(F.lit(k).alias("trial"), v.alias("signal")) for k, v in x.items()])))
+    m = FE.market_return(P.with_returns(spark, sf)).select("pos", F.coalesce("mkt", F.lit(0.0)).alias("ret"))
+    return confirm_scalars(s, m, 0.0003)
+
+
 @query("STAT-24", "family #parameter ~score plateau", parts="summ", digits=5, sql="""
 WITH x AS (SELECT split_part(trial,'|',1) || '|' || split_part(trial,'|',3) AS family, CAST(split_part(trial,'|',2) AS INTEGER) AS parameter, sharpe AS score FROM summ),
  y AS (SELECT *, score > 0 AND score >= 0.8*max(score) OVER (PARTITION BY family) AS ok FROM x)

@@ -136,19 +136,16 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "placed", build)
 
 
-def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def returns_of(p: DataFrame) -> DataFrame:
     """Placed bars plus the one-session adjusted return (null when the previous session has no bar)."""
     from ..operators.frames import shifted
 
-    def build():
-        p = placed(spark, sf_dir)
-        return (
-            p.withColumn("px1", shifted("px", 1))
-            .withColumn("close1", shifted("close", 1))
-            .withColumn("ret", F.col("px") / F.col("px1") - 1.0)
-        )
+    p = p.withColumn("px1", shifted("px", 1)).withColumn("close1", shifted("close", 1))
+    return p.withColumn("ret", F.col("px") / F.col("px1") - 1.0)
 
-    return kept(spark, sf_dir, "rets", build)
+
+def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "rets", lambda: returns_of(placed(spark, sf_dir)))
 
 
 def dense(df: DataFrame, cal: DataFrame, keys=("symbol", "sector", "asset_type")) -> DataFrame:

@@ -227,15 +227,6 @@ def immutable_artifact(spark, sf):
     return spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("n_rows")).select("*", F.lit(written).alias("written"), F.lit(again).alias("again"))
 
 
-@query("SRC-21", "name matches")
-def hash_pinned_files(spark, sf):
-    path = scratch_path(spark, "pins")
-    P.bars(spark, sf).select("symbol", "close").repartition(4, "symbol").write.csv(path)
-    files = L.pinned(spark, path, spark.createDataFrame([], "name string, expected string")).where("name like 'part%'")
-    good = files.select("name", F.when(F.substring("sha256", 1, 1) < "8", F.col("sha256")).otherwise("0").alias("expected"))
-    return L.pinned(spark, path, good).where("name like 'part%'").select(F.substring("name", 1, 10).alias("name"), "matches")
-
-
 @query("SNK-02", "trial verdict evidence annotations")
 def verdict_rows(spark, sf):
     from .validation import verdict_table

@@ -6,6 +6,8 @@ row), so the same code serves a landing folder and a stream. Malformed rows are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,10 +170,24 @@ def pinned(spark: SparkSession, folder: str, pins: DataFrame) -> DataFrame:
     return files.join(pins, "name", "left").withColumn("matches", F.coalesce(F.col("sha256") == F.col("expected"), F.lit(False)))
 
 
+def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """(partition, name, sha256) of the landed files below a folder; a partition is the path between the two."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0")
+    tail = F.regexp_replace(F.col("path"), F.lit(r"^.*/" + re.escape(folder.rstrip("/").split("/")[-1]) + "/"), F.lit(""))
+    return files.select(F.regexp_replace(tail, "/?[^/]*$", "").alias("partition"), F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
+def set_digests(files: DataFrame, *by: str) -> DataFrame:
+    """One digest for each set of files: a hash of the sorted content hashes, whatever the order or names of the files."""
+    return files.groupBy(*by).agg(F.count("*").alias("n_files"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), "\n"), 256).alias("digest"))
+
+
+def pinned_partitions(spark: SparkSession, folder: str, pins: DataFrame) -> DataFrame:
+    """(partition, n_files, digest, matches): partitions whose digest is the declared one. `pins` has (partition, expected)."""
+    x = set_digests(file_hashes(spark, folder), "partition").join(pins, "partition", "left")
+    return x.withColumn("matches", F.coalesce(F.col("digest") == F.col("expected"), F.lit(False)))
+
+
 def verdict_csv(df: DataFrame, path: str) -> None:
     """CSV with a header even when the table is empty."""
     df.write.mode("errorifexists").option("header", True).csv(path)
-
-
-def column_text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit(""))

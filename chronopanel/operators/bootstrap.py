@@ -184,6 +184,58 @@ def romano_wolf(means: DataFrame, family: DataFrame, reps: int) -> DataFrame:
     return p.select("trial", "t", "raw", F.least(F.lit(1.0), F.max("raw").over(up)).alias("p_rw"))
 
 
+def blocked_stepdown(counts: DataFrame, values: DataFrame, family: DataFrame, n: int, reps: int, rep_block: int = 512, trial_block: int = 256) -> DataFrame:
+    """Romano-Wolf p-values without a row for each rep and trial.
+
+    Trials stand in the order of their t and are cut into blocks. A first product emits the largest centred t of each
+    rep in a block; what the blocks behind a block reach is carried to it, and a second product counts, for each trial,
+    the reps whose maximum over this trial and all behind it is at least its t.
+    """
+    k = F.row_number().over(W.orderBy(F.col("t").desc(), "trial")) - 1  # one row for each trial
+    ranked = family.select("trial", "t", "mean", "se", k.alias("k")).withColumn("tb", F.floor(F.col("k") / trial_block).cast("int"))
+    top = ranked.agg(F.max("tb").alias("top_tb")).join(counts.agg(F.max(F.floor(F.col("rep") / rep_block)).cast("int").alias("top_rb")))
+    c = counts.join(F.broadcast(top)).select("rep", "idx", F.col("c").cast("double").alias("c"), F.floor(F.col("rep") / rep_block).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("top_tb"))).alias("tb"))
+    v = values.join(ranked, "trial").join(F.broadcast(top)).select("trial", "idx", "v", "t", "mean", "se", "k", "tb", F.explode(F.sequence(F.lit(0), F.col("top_rb"))).alias("rb"))
+
+    def centred(left: pd.DataFrame, right: pd.DataFrame):
+        """(reps, their carried maxima, ranks and t of the trials, centred t of each rep and trial), trials by rank."""
+        here = left["idx"].to_numpy() >= 0
+        reps_, row = np.unique(left["rep"].to_numpy(), return_inverse=True)
+        weight, carried = np.zeros((len(reps_), n)), np.full(len(reps_), -np.inf)
+        weight[row[here], left["idx"].to_numpy()[here]] = left["c"].to_numpy()[here]
+        carried[row[~here]] = left["c"].to_numpy()[~here]
+        ks, col = np.unique(right["k"].to_numpy(), return_inverse=True)
+        matrix, mean, se, t = np.zeros((n, len(ks))), np.zeros(len(ks)), np.zeros(len(ks)), np.zeros(len(ks))
+        matrix[right["idx"].to_numpy(), col] = right["v"].to_numpy()
+        mean[col], se[col], t[col] = right["mean"].to_numpy(), right["se"].to_numpy(), right["t"].to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bt = np.where(se > 0, (weight @ matrix / n - mean) / se, 0.0)
+        return reps_, carried, ks, t, bt
+
+    def tops(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"rep": [], "rb": [], "tb": [], "most": []})
+        reps_, _, _, _, bt = centred(left, right)
+        return pd.DataFrame({"rep": reps_, "rb": int(left["rb"].iloc[0]), "tb": int(left["tb"].iloc[0]), "most": bt.max(axis=1)})
+
+    def hits(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"k": [], "hits": []})
+        _, carried, ks, t, bt = centred(left, right)
+        rest = np.maximum(np.maximum.accumulate(bt[:, ::-1], axis=1)[:, ::-1], carried[:, None])
+        return pd.DataFrame({"k": ks, "hits": (rest >= t).sum(axis=0)})
+
+    keys = ["rb", "tb"]
+    most = c.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(tops, "rep bigint, rb int, tb int, most double")
+    behind = W.partitionBy("rep").orderBy(F.col("tb").desc()).rowsBetween(W.unboundedPreceding, -1)
+    carried = most.select("rep", F.lit(-1).cast("bigint").alias("idx"), F.max("most").over(behind).alias("c"), *keys).where("c is not null")
+    both = c.select("rep", F.col("idx").cast("bigint").alias("idx"), "c", *keys).unionByName(carried)
+    found = both.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(hits, "k bigint, hits bigint").groupBy("k").agg(F.sum("hits").alias("hits"))
+    p = ranked.join(found, "k", "left").select("trial", "t", "k", ((F.coalesce("hits", F.lit(0)) + 1.0) / (reps + 1.0)).alias("raw"))
+    up = W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)  # one row for each trial
+    return p.select("trial", "t", "raw", F.least(F.lit(1.0), F.max("raw").over(up)).alias("p_rw"))
+
+
 def sharpe_influence(m: np.ndarray, per_year: float = 252.0) -> tuple[np.ndarray, np.ndarray]:
     """Annual Sharpe of each row and the influence of each value on it (values on the last axis)."""
     mean = m.mean(axis=-1, keepdims=True)

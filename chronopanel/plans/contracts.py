@@ -8,10 +8,14 @@ from ..operators import inference as I
 from ..operators import monthly as MO
 from ..operators import crosssec as X
 from ..session import scratch_path
+from ..sources import contracts as SC
 from ..sources import panel as P
-from ..sources.datasource import LandedBars
+from ..sources.ticks import ticks
 from .catalog import query
 from .inference import market
+from .oracle_parts import part
+
+part("tick_seconds", "", "SELECT event_type AS symbol, date_trunc('second', ts) AS second, count(*) AS n FROM events GROUP BY ALL")
 
 
 @query("UDF-01", "symbol session ~price_level ~two_day", parts="grid", sql="SELECT symbol, session, px/100 AS price_level, px/lag(px,2) OVER (PARTITION BY symbol ORDER BY pos)-1 AS two_day FROM grid QUALIFY px IS NOT NULL")
@@ -39,6 +43,32 @@ def user_stream_study(spark, sf):
 @query("UDF-05", "symbol session ~close ~volume", parts="bars", sql="SELECT symbol, session, close, volume FROM bars")
 def landed_bar_source(spark, sf):
     path = scratch_path(spark, "landed")
-    P.bars(spark, sf).select("symbol", "session", "close", "volume").write.csv(path)
-    spark.dataSource.register(LandedBars)
-    return spark.read.format("landed_bars").load(path)
+    SC.land(P.bars(spark, sf), SC.CONTRACTS["bars"], path)
+    return SC.read(spark, SC.CONTRACTS["bars"], path)
+
+
+def landed_records(spark, sf):
+    """The records of each contract, from the tables that hold them."""
+    a, day = P.announcements(spark, sf), lambda c: F.col(c).cast("timestamp")
+    t = ticks(spark, sf)
+    return {
+        "bars": P.bars(spark, sf),
+        "events": a.select("event_id", "symbol", "kind", "event_day", day("available_day").alias("available_at")),
+        "universe": P.memberships(spark, sf).select("symbol", "start", "end", day("start").alias("available_at")),
+        "quotes": t.groupBy("symbol", F.date_trunc("second", "ts").alias("quoted_at")).agg(F.max("price").alias("price")).withColumn("received_at", F.col("quoted_at") + F.expr("INTERVAL 2 SECONDS")),
+        "intraday": t.groupBy("symbol", F.lit("TRADE").alias("kind"), F.date_trunc("second", "ts").alias("event_time")).agg(F.max("price").alias("price"), F.sum("size").alias("size")).withColumn("available_at", F.col("event_time")),
+    }
+
+
+@query("UDF-05", "contract rule #n", parts="bars anns members tick_seconds", sql="""
+WITH n AS (SELECT 'bars' AS contract, count(*) AS n FROM bars UNION ALL SELECT 'events', count(*) FROM anns UNION ALL SELECT 'universe', count(*) FROM members UNION ALL SELECT 'quotes', count(*) FROM tick_seconds UNION ALL SELECT 'intraday', count(*) FROM tick_seconds)
+SELECT contract, rule, CASE WHEN rule = 'ROWS' THEN n ELSE 0 END AS n FROM n CROSS JOIN (VALUES ('ROWS'),('MISSING_VALUE'),('REPEATED_KEY'),('KNOWN_BEFORE_EVENT')) r(rule)""")
+def source_contracts(spark, sf):
+    """Every contract landed as files, read back by the data source, and held against its rules."""
+    out = None
+    for name, rows in landed_records(spark, sf).items():
+        path = scratch_path(spark, f"landed-{name}")
+        SC.land(rows, SC.CONTRACTS[name], path)
+        found = SC.violations(SC.read(spark, SC.CONTRACTS[name], path), SC.CONTRACTS[name]).withColumn("contract", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -10,34 +10,32 @@ from ..operators import features as FE
 from ..operators import inference as I
 from ..operators import validation as V
 from ..sources import panel as P
-from . import oracle_parts
+from . import oracle_parts, windows  # noqa: F401  (the parts that `cut_parts` repeats)
 from .catalog import query
 from .inference import hac_sql, market_regime, metrics, streams, tests
 from .oracle_parts import part
 from .tops import rev5
 
-REPS = 100  # what the oracles state; answers without an oracle take the declared draws below
-DRAWS, FAMILY_DRAWS = 2_000, 10_000
+DRAWS, FAMILY_DRAWS = 2_000, 10_000  # of intervals, of tests over a whole family
 U = "CAST(('0x' || substring(md5({}),1,8)) AS BIGINT)/4294967296.0"
-part("paths", "cal", f"""
-WITH n AS (SELECT count(*) AS n FROM cal), g AS (SELECT rep, pos, n FROM n, (SELECT unnest(generate_series(0,{REPS - 1})) AS rep), (SELECT unnest(generate_series(0,(SELECT n-1 FROM n))) AS pos)),
- h AS (SELECT *, pos = 0 OR {U.format("'42:r:' || rep || ':' || pos")} < 0.1 AS restart, CAST(floor({U.format("'42:f:' || rep || ':' || pos")}*n) AS BIGINT) AS fresh FROM g),
- k AS (SELECT *, max(CASE WHEN restart THEN pos END) OVER (PARTITION BY rep ORDER BY pos) AS at FROM h)
-SELECT k.rep, k.pos, (h.fresh + k.pos - k.at) % k.n AS idx FROM k JOIN h ON h.rep = k.rep AND h.pos = k.at""")
-part("ix", "streams", "SELECT trial, row_number() OVER (PARTITION BY trial ORDER BY pos)-1 AS idx, net AS v FROM streams")
-part("boot", "paths ix", "SELECT rep, trial, sum(c*v) AS s1, sum(c*v*v) AS s2 FROM (SELECT rep, idx, count(*) AS c FROM paths GROUP BY ALL) JOIN ix USING (idx) GROUP BY rep, trial")
 
 
-def size(spark, sf):
-    return P.calendar(spark, sf).count()
+def paths_sql(draws: int) -> str:
+    return f"""
+WITH n AS (SELECT count(*) AS n FROM cal), g AS (SELECT rep, pos, n FROM n, (SELECT unnest(generate_series(0,{draws - 1})) AS rep), (SELECT unnest(generate_series(0,(SELECT n-1 FROM n))) AS pos)),
+ h AS (SELECT *, CASE WHEN pos = 0 OR {U.format("'42:r:' || rep || ':' || pos")} < 0.1 THEN CAST(floor({U.format("'42:f:' || rep || ':' || pos")}*n) AS BIGINT) - pos END AS step FROM g)
+SELECT rep, pos, (pos + last_value(step IGNORE NULLS) OVER (PARTITION BY rep ORDER BY pos)) % n AS idx FROM h"""
 
 
-def paths(spark, sf):
-    return P.kept(spark, sf, "paths", lambda: B.stationary_paths(spark, size(spark, sf), REPS))
+part("paths", "cal", paths_sql(DRAWS))
+part("family_paths", "cal", paths_sql(FAMILY_DRAWS))
+part("ix", "streams", "SELECT trial, row_number() OVER (PARTITION BY trial ORDER BY pos)-1 AS idx, net AS v FROM streams")
+part("boot", "paths ix", "SELECT rep, trial, sum(c*v) AS s1, sum(c*v*v) AS s2 FROM (SELECT rep, idx, count(*) AS c FROM paths GROUP BY ALL) JOIN ix USING (idx) GROUP BY rep, trial")
+part("family_boot", "family_paths ix", "SELECT rep, trial, sum(c*v) AS s1 FROM (SELECT rep, idx, count(*) AS c FROM family_paths GROUP BY ALL) JOIN ix USING (idx) GROUP BY rep, trial")
 
 
-def counts(spark, sf):
-    return P.kept(spark, sf, "counts", lambda: B.date_counts(paths(spark, sf)))
+def size(spark, sf):
+    return P.calendar(spark, sf).count()
 
 
 def declared_paths(spark, sf, draws):
@@ -73,7 +71,7 @@ def values(spark, sf):
 
 @query("STAT-04 STAT-07", "#rep #idx #c", parts="paths", sql="SELECT rep, idx, count(*) AS c FROM paths GROUP BY rep, idx")
 def stationary_date_counts(spark, sf):
-    return counts(spark, sf)
+    return declared_counts(spark, sf, DRAWS)
 
 
 @query("STAT-04", "#rep #pos #idx", parts="cal", sql=f"""
@@ -86,11 +84,7 @@ def moving_block_paths(spark, sf):
 SELECT trial, count(*) AS n_reps, quantile_cont(m,0.025) AS mean_low, quantile_cont(m,0.975) AS mean_high, quantile_cont(sh,0.025) AS sharpe_low, quantile_cont(sh,0.975) AS sharpe_high FROM (
 SELECT trial, s1/n AS m, CASE WHEN (s2-s1*s1/n)/(n-1.0) > 1e-18 THEN s1/n/sqrt((s2-s1*s1/n)/(n-1.0))*sqrt(252.0) END AS sh FROM boot, (SELECT count(*) AS n FROM cal)) GROUP BY trial""")
 def bootstrap_intervals(spark, sf):
-    return intervals(spark, sf)
-
-
-def intervals(spark, sf):
-    return P.kept(spark, sf, "intervals", lambda: B.percentile_intervals(counts(spark, sf), values(spark, sf), size(spark, sf)))
+    return declared_intervals(spark, sf)
 
 
 def family(spark, sf):
@@ -105,21 +99,19 @@ SELECT trial, mean, lrv, sqrt(greatest(lrv,0)/n) AS se, mean/sqrt(greatest(lrv,0
  SELECT g.trial, sum(CASE WHEN k = 0 THEN g ELSE 2*g*((1-k/n.n)*power(0.9,k)+(k/n.n)*power(0.9,n.n-k)) END)/any_value(n.n) AS lrv FROM g, n GROUP BY g.trial) JOIN (SELECT trial, avg(v) AS mean FROM ix GROUP BY trial) USING (trial)""")
 
 
-@query("STAT-10 STAT-11", "best_trial ~best ~spa_p ~reality_p #n_reps", parts="boot fam cal", sql="""
+@query("STAT-10 STAT-11", "best_trial ~best ~spa_p ~reality_p #n_reps", parts="family_boot fam cal", sql="""
 SELECT any_value(b.trial) AS best_trial, any_value(b.mean) AS best, avg(CASE WHEN spa > b.mean THEN 1.0 ELSE 0.0 END) AS spa_p, avg(CASE WHEN reality > b.mean THEN 1.0 ELSE 0.0 END) AS reality_p, count(*) AS n_reps FROM (
-SELECT rep, max(s1/n - center) AS spa, max(s1/n - mean) AS reality FROM boot JOIN fam USING (trial), (SELECT count(*) AS n FROM cal) GROUP BY rep), (SELECT trial, mean FROM fam ORDER BY mean DESC LIMIT 1) b""")
+SELECT rep, max(s1/n - center) AS spa, max(s1/n - mean) AS reality FROM family_boot JOIN fam USING (trial), (SELECT count(*) AS n FROM cal) GROUP BY rep), (SELECT trial, mean FROM fam ORDER BY mean DESC LIMIT 1) b""")
 def family_reality_tests(spark, sf):
-    m = B.blocked_maxima(counts(spark, sf), values(spark, sf), family(spark, sf), size(spark, sf), trial_blocks=2)
-    return B.family_p_values(m, family(spark, sf))
+    return declared_family_tests(spark, sf)
 
 
-@query("STAT-12", "trial ~t ~raw ~p_rw", digits=5, parts="boot fam cal", sql="""
+@query("STAT-12", "trial ~t ~raw ~p_rw", digits=5, parts="family_boot fam cal", sql=f"""
 WITH r AS (SELECT *, row_number() OVER (ORDER BY t DESC, trial) AS k FROM fam),
- x AS (SELECT trial, k, t, max(bt) OVER (PARTITION BY rep ORDER BY k DESC) AS rest FROM (SELECT rep, r.trial, k, t, (s1/n - mean)/se AS bt FROM boot JOIN r USING (trial), (SELECT count(*) AS n FROM cal)))
-SELECT trial, t, raw, least(1, max(raw) OVER (ORDER BY k)) AS p_rw FROM (SELECT trial, k, t, (1.0 + count(*) FILTER (rest >= t))/101.0 AS raw FROM x GROUP BY trial, k, t)""")
+ x AS (SELECT trial, k, t, max(bt) OVER (PARTITION BY rep ORDER BY k DESC) AS rest FROM (SELECT rep, r.trial, k, t, (s1/n - mean)/se AS bt FROM family_boot JOIN r USING (trial), (SELECT count(*) AS n FROM cal)))
+SELECT trial, t, raw, least(1, max(raw) OVER (ORDER BY k)) AS p_rw FROM (SELECT trial, k, t, (1.0 + count(*) FILTER (rest >= t))/{FAMILY_DRAWS + 1}.0 AS raw FROM x GROUP BY trial, k, t)""")
 def romano_wolf_stepdown(spark, sf):
-    means = B.resampled_means(counts(spark, sf), values(spark, sf), size(spark, sf))
-    return B.romano_wolf(means, family(spark, sf), REPS)
+    return B.blocked_stepdown(declared_counts(spark, sf, FAMILY_DRAWS), values(spark, sf), family(spark, sf), size(spark, sf), FAMILY_DRAWS)
 
 
 @query("STAT-06", "trial benchmark ~estimate ~se ~lower ~upper ~p")

@@ -171,3 +171,22 @@ def test_outcome_before_the_last_observation_is_refused(spark):
     rows = spark.createDataFrame([("a", 0.1, 5.0, "2024-01-05"), ("b", 0.2, 6.0, "2024-01-03"), ("c", 0.3, None, None)], "recommendation_id string, ret double, exit_price double, exit_at string")
     seen = spark.createDataFrame([("a", "2024-01-04"), ("b", "2024-01-04")], "recommendation_id string, seen_at string")
     assert [r["recommendation_id"] for r in PA.outcomes(rows, last_seen=seen).collect()] == ["a"]
+
+
+def test_blocked_stepdown_equals_the_join(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"t{k}", i, float(rng.standard_normal() * 0.01 + (0.004 if k == 2 else 0.0))) for k in range(9) for i in range(90)]
+    v = spark.createDataFrame(rows, "trial string, idx int, v double")
+    counts = B.date_counts(B.stationary_paths(spark, 90, 130))
+    fam = B.family_inputs(v, 90)
+    want = {r.trial: (r.raw, r.p_rw) for r in B.romano_wolf(B.resampled_means(counts, v, 90), fam, 130).collect()}
+    for rep_block, trial_block in ((512, 256), (50, 2)):
+        got = {r.trial: (r.raw, r.p_rw) for r in B.blocked_stepdown(counts, v, fam, 90, 130, rep_block, trial_block).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_declared_gates(spark):
+    rows = [("good", 500, 0.01, 4.0, 1e-5, 0.99), ("weak_t", 500, 0.01, 2.9, 1e-5, 0.99), ("few", 99, 0.01, 4.0, 1e-5, 0.99), ("negative", 500, -0.01, -4.0, 1e-5, 0.99), ("lucky", 500, 0.01, 4.0, 1e-5, 0.9), ("null", 500, 0.01, None, None, None)]
+    got = {r.trial: r for r in I.gauntlet(spark.createDataFrame(rows, "trial string, n long, mean double, t double, p double, dsr double")).collect()}
+    assert {k for k, r in got.items() if r.survivor} == {"good"}
+    assert not got["weak_t"].gate_t and not got["few"].gate_sample and got["few"].p_gate == 1.0 and not got["lucky"].gate_dsr and not got["negative"].gate_sign

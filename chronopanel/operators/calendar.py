@@ -43,9 +43,9 @@ def civil(cal: DataFrame, pad: int = 70) -> DataFrame:
     )
 
 
-def observed_turn_of_month(cal: DataFrame, following: int = 3) -> DataFrame:
-    """Last session of a month (seen from the next session) and the next ``following`` sessions."""
-    one = W.partitionBy(F.lit(1)).orderBy("session")
+def observed_turn_of_month(cal: DataFrame, following: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Last session of a month (seen from the next session) and the next ``following`` sessions, of each venue in `by`."""
+    one = W.partitionBy(*(by or [F.lit(1)])).orderBy("session")
     last = F.coalesce(F.trunc(F.lead("session").over(one), "MM") != F.trunc("session", "MM"), F.lit(False))
     x = cal.withColumn("boundary", last)
     return x.withColumn("tom", F.max("boundary").over(one.rowsBetween(-following, 0)))

@@ -36,7 +36,7 @@ def scorecard_rows(ledger: DataFrame) -> DataFrame:
     order = clock.arrival_key("at", "event_id")
     fills = ledger.where("event = 'FILL'").groupBy("recommendation_id").agg(F.min_by("price", order).alias("fill"), F.min("at").alias("filled_at"))
     exits = ledger.where("event = 'EXIT'").join(fills, "recommendation_id").where("at > filled_at").groupBy("recommendation_id").agg(
-        F.min_by("price", order).alias("exit_price"))
+        F.min_by("price", order).alias("exit_price"), F.min("at").alias("exit_at"))
     x = fills.join(exits, "recommendation_id", "left")
     return x.select("*", (F.col("exit_price") / F.col("fill") - 1).alias("ret"), F.when(F.col("exit_price").isNull(), "OPEN").otherwise("CLOSED").alias("status"))
 

@@ -136,10 +136,10 @@ def trials_with_controls(spark, sf):
     return x.withColumn("seed", F.col("seed").cast("string"))
 
 
-@query("JOIN-14 SET-03", "session", parts="bars bars_b", sql="SELECT session FROM bars WHERE symbol = 'NATION_1' INTERSECT SELECT session FROM bars_b WHERE symbol = 'NATION_1'")
+@query("JOIN-14 SET-03", "symbol session", parts="bars bars_b", sql="SELECT symbol, session FROM bars WHERE close > 0 INTERSECT SELECT symbol, session FROM bars_b WHERE close > 0")
 def common_sessions(spark, sf):
-    one = lambda d: d.where("symbol = 'NATION_1' and close > 0").select("session")
-    return one(P.bars(spark, sf)).intersect(one(P.second_provider(spark, sf)))
+    valid = lambda d: d.where("close > 0").select("symbol", "session")
+    return valid(P.bars(spark, sf)).intersect(valid(P.second_provider(spark, sf)))
 
 
 @query("SET-03", "symbol", parts="bars anns", sql="SELECT symbol FROM bars INTERSECT SELECT symbol FROM anns WHERE kind = 'HALT'")

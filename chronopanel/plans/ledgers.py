@@ -99,10 +99,11 @@ def inserted_runs(spark, sf):
     return RN.insert_new_runs(decisions(RN.whole_runs(spark, sf)), "run", ["leverage", "horizon"], {"leverage": LEVERAGES, "horizon": HORIZONS}, "runs")
 
 
-@query("STR-12", "#event_id", sql="SELECT event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.user_id = e.user_id AND k.event_type = 'error' AND k.ts < TIMESTAMP '2024-01-05')")
+@query("STR-12", "#event_id", sql="SELECT event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id = e.event_id AND k.event_type = 'error' AND k.ts < TIMESTAMP '2024-01-05')")
 def new_announcements(spark, sf):
-    known = ticks(spark, sf).where("symbol = 'error' and ts < '2024-01-05'").select("user_id").distinct()
-    s = RN.tick_stream(spark, sf).where("symbol = 'error'").join(known, "user_id", "left_anti").select("event_id")
+    """Incoming filings whose own number is not among those already held."""
+    known = ticks(spark, sf).where("symbol = 'error' and ts < '2024-01-05'").select("event_id").distinct()
+    s = RN.tick_stream(spark, sf).where("symbol = 'error'").join(known, "event_id", "left_anti").select("event_id")
     return RN.drain(s, "new-announcements")
 
 
@@ -133,10 +134,15 @@ def running_excursions(spark, sf):
 
 
 @query("STR-05", "recommendation_id ~ret ~net", parts="ledger", sql="""
-WITH f AS (SELECT rec, arg_min(price, (ts, event_id)) AS fill, min(ts) AS at FROM ledger WHERE event = 'FILL' GROUP BY rec)
-SELECT rec AS recommendation_id, e/fill-1 AS ret, e/fill-1-0.001 AS net FROM (SELECT f.rec, any_value(f.fill) AS fill, arg_min(price, (ts, event_id)) AS e FROM f JOIN ledger l ON l.rec = f.rec AND l.event = 'EXIT' AND l.ts > f.at GROUP BY f.rec)""")
+WITH f AS (SELECT rec, arg_min(price, (ts, event_id)) AS fill, min(ts) AS at FROM ledger WHERE event = 'FILL' GROUP BY rec),
+ m AS (SELECT rec, max(ts) AS seen FROM ledger WHERE event = 'MARK' GROUP BY rec)
+SELECT x.rec AS recommendation_id, e/fill-1 AS ret, e/fill-1-0.001 AS net FROM (SELECT f.rec, any_value(f.fill) AS fill, arg_min(price, (ts, event_id)) AS e, min(ts) AS out FROM f JOIN ledger l ON l.rec = f.rec AND l.event = 'EXIT' AND l.ts > f.at GROUP BY f.rec) x LEFT JOIN m ON m.rec = x.rec WHERE seen IS NULL OR out >= seen""")
 def immutable_outcomes(spark, sf):
-    return PA.outcomes(fills_with_exits(spark, sf))
+    """Outcomes of recommendations that were not seen again after their exit."""
+    from .joins import ledger
+
+    seen = ledger(spark, sf).where("event = 'MARK'").groupBy("recommendation_id").agg(F.max("at").alias("seen_at"))
+    return PA.outcomes(fills_with_exits(spark, sf), last_seen=seen)
 
 
 @query("STR-07", "decision symbol ~fill ~exit_price reason", parts="grid cal", sql="""

@@ -137,11 +137,14 @@ part("changes", "members", """SELECT symbol, start AS effective, 'ADD' AS action
 
 
 @query("QA-09 JOIN-13", "#year #removed #covered", parts="changes bars", sql="""
-SELECT year(effective) AS year, count(*) AS removed, count(*) FILTER (symbol IN (SELECT symbol FROM bars WHERE adjusted_close > 105)) AS covered FROM changes WHERE action = 'REMOVE' GROUP BY 1""")
+SELECT year(effective) AS year, count(*) AS removed, count(*) FILTER (EXISTS (SELECT 1 FROM bars b WHERE b.symbol = c.symbol AND b.session >= c.effective - 30 AND b.session < c.effective)) AS covered FROM changes c WHERE action = 'REMOVE' GROUP BY 1""")
 def removed_member_coverage(spark, sf):
+    """A removed member is covered if it has a bar in the thirty days before its removal."""
     removed = M.change_log(P.memberships(spark, sf)).where("action = 'REMOVE'")
-    have = P.bars(spark, sf).where("adjusted_close > 105").select("symbol").distinct().withColumn("have", F.lit(True))
-    return removed.join(have, "symbol", "left").groupBy(F.year("effective").alias("year")).agg(F.count("*").alias("removed"), F.count("have").alias("covered"))
+    b = P.bars(spark, sf).select(F.col("symbol").alias("_s"), "session")
+    near = (F.col("symbol") == F.col("_s")) & (F.col("session") >= F.date_sub("effective", 30)) & (F.col("session") < F.col("effective"))
+    have = removed.join(b, near, "left_semi").select("symbol", "effective").distinct().withColumn("have", F.lit(True))
+    return removed.join(have, ["symbol", "effective"], "left").groupBy(F.year("effective").alias("year")).agg(F.count("*").alias("removed"), F.count("have").alias("covered"))
 
 
 @query("QA-10 QA-11", "symbol start end", parts="members", sql="""
@@ -193,9 +196,9 @@ def required_columns(spark, sf):
 
 @query("AGG-26", "#intended #available ~missing_fraction bias", parts="anns bars", sql="""
 SELECT count(a.symbol) AS intended, count(b.symbol) FILTER (a.symbol IS NOT NULL) AS available, (count(a.symbol)-count(b.symbol) FILTER (a.symbol IS NOT NULL))/count(a.symbol) AS missing_fraction, 'SURVIVORSHIP_BIASED' AS bias
-FROM (SELECT DISTINCT symbol FROM anns) a FULL JOIN (SELECT DISTINCT symbol FROM bars WHERE adjusted_close > 118) b ON a.symbol = b.symbol""")
+FROM (SELECT DISTINCT symbol FROM anns) a FULL JOIN (SELECT DISTINCT symbol FROM bars) b ON a.symbol = b.symbol""")
 def survivorship_audit(spark, sf):
-    return Q.survivorship(P.announcements(spark, sf), P.bars(spark, sf).where("adjusted_close > 118"), False)
+    return Q.survivorship(P.announcements(spark, sf), P.bars(spark, sf), False)
 
 
 @query("SET-05", "symbol session", sql="""

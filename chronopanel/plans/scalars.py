@@ -20,11 +20,12 @@ def calendar_feature_table(spark, sf):
     return P.calendar_table(spark, sf)
 
 
-@query("WIN-37", "session tom", parts="venue", sql="""
-SELECT session, bool_or(b) OVER (ORDER BY session ROWS 3 PRECEDING) AS tom FROM (
-SELECT session, coalesce(date_trunc('month', lead(session) OVER (ORDER BY session)) <> date_trunc('month', session), false) AS b FROM venue)""")
+@query("WIN-37", "symbol session tom", parts="bars", sql="""
+SELECT symbol, session, bool_or(b) OVER (PARTITION BY symbol ORDER BY session ROWS 3 PRECEDING) AS tom FROM (
+SELECT symbol, session, coalesce(date_trunc('month', lead(session) OVER (PARTITION BY symbol ORDER BY session)) <> date_trunc('month', session), false) AS b FROM bars)""")
 def observed_turn_of_month(spark, sf):
-    return C.observed_turn_of_month(P.venue_calendar(spark, sf))
+    """Each symbol's own sessions are a calendar with irregular closures."""
+    return C.observed_turn_of_month(P.bars(spark, sf).select("symbol", "session"), by=("symbol",))
 
 
 @query("WIN-38", "session pre_holiday pre post", parts="venue", sql="""
@@ -202,9 +203,10 @@ def daily_times(spark, sf):
     return P.bars(spark, sf).select("symbol", "session", clock.stamp(clock.market_close("session")).alias("event_time"), clock.stamp(clock.bar_available("session")).alias("available"))
 
 
-@query("ASM-05 ASM-07", "session ~close_ret ~overnight_ret ~intraday_ret", parts="rets", sql="SELECT session, ret AS close_ret, open_adj/px1-1 AS overnight_ret, px/open_adj-1 AS intraday_ret FROM rets WHERE symbol = 'NATION_3' AND px IS NOT NULL")
+@query("ASM-05 ASM-07", "symbol session ~close ~close_ret ~overnight_ret ~intraday_ret", parts="rets", sql="SELECT symbol, session, px AS close, ret AS close_ret, open_adj/px1-1 AS overnight_ret, px/open_adj-1 AS intraday_ret FROM rets WHERE px IS NOT NULL")
 def benchmark_legs(spark, sf):
-    return P.with_returns(spark, sf).where("symbol = 'NATION_3'").select("session", F.col("ret").alias("close_ret"), (F.col("open_adj") / F.col("px1") - 1).alias("overnight_ret"), (F.col("px") / F.col("open_adj") - 1).alias("intraday_ret"))
+    """The close of every symbol on its sessions and its return in each session convention, so any of them can be the benchmark."""
+    return P.with_returns(spark, sf).select("symbol", "session", F.col("px").alias("close"), F.col("ret").alias("close_ret"), (F.col("open_adj") / F.col("px1") - 1).alias("overnight_ret"), (F.col("px") / F.col("open_adj") - 1).alias("intraday_ret"))
 
 
 @query("ASM-14", "#event_id stale", sql="SELECT event_id, ts < TIMESTAMP '2024-01-29 00:00:00' - INTERVAL 36 HOUR AS stale FROM events")

@@ -43,6 +43,15 @@ def holding_flags(x: DataFrame) -> DataFrame:
                     (nxt <= F.col("exit_session")).alias("in_release_window"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of two arrays of one length; null where either does not vary."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    times = lambda x, y: F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
+    n, s, t = F.size(a), total(a), total(b)
+    spread = (n * total(times(a, a)) - s * s) * (n * total(times(b, b)) - t * t)
+    return (n * total(times(a, b)) - s * t) / F.nullif(F.sqrt(F.greatest(spread, F.lit(0.0))), F.lit(0.0))
+
+
 def similarity(corr: Column | None, same: Column, a: Column, b: Column) -> Column:
     """Mean of the available parts: correlation, same group, cosine of exposure vectors."""
     mul = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -94,12 +94,16 @@ def return_summaries(spark, sf):
     return I.summarize(streams(spark, sf), ["trial"], "net")
 
 
-# Logistic stand-in for the two-sided tail so both engines can state the same p-values.
-part("pvals", "hacs", "SELECT *, round(2/(1+exp(1.702*abs(t))), 12) AS p FROM hacs")
+# Two-sided Student tail for whole degrees of freedom: a finite sum in the cosine of the angle of t.
+part("pvals", "hacs", """
+WITH a AS (SELECT *, n-1 AS v, atan(abs(t)/sqrt(n-1.0)) AS th FROM hacs),
+ s AS (SELECT trial, sum(CASE WHEN v % 2 = 0 THEN exp(lgamma(k+0.5)-lgamma(0.5)-lgamma(k+1.0))*power(cos(th),2*k) ELSE exp(lgamma(k+1.0)+lgamma(1.5)-lgamma(k+1.5))*power(cos(th),2*k+1) END) AS s
+  FROM a JOIN (SELECT unnest(generate_series(0,(SELECT max(n) FROM hacs))) AS k) ON k < v // 2 GROUP BY trial)
+SELECT a.* EXCLUDE (v, th), round(greatest(0, 1 - CASE WHEN v % 2 = 0 THEN sin(th)*s ELSE 2/pi()*(th + sin(th)*s) END), 12) AS p FROM a JOIN s USING (trial)""")
 
 
 def p_values(spark, sf):
-    return tests(spark, sf).withColumn("p", F.round(F.lit(2.0) / (F.lit(1.0) + F.exp(F.lit(1.702) * F.abs("t"))), 12))
+    return I.with_p(tests(spark, sf)).withColumn("p", F.round("p", 12))
 
 
 @query("STAT-02 STAT-03", "trial ~p ~p_bh reject_bh ~p_bonf reject_bonf", parts="pvals", sql="""

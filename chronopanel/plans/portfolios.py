@@ -129,23 +129,31 @@ def calendar_mask_studies(spark, sf):
     return PO.mask_stream(x, "flag", "ret", 0.0003, ("study", "symbol"))
 
 
-@query("PRT-10", "study symbol session ~position ~net", digits=5, parts="rets", sql="""
-WITH d AS (SELECT symbol, session, pos, ret, study, CASE WHEN row_number() OVER (PARTITION BY study, symbol, date_trunc('month',session) ORDER BY pos DESC) = 1 THEN CASE WHEN CASE study WHEN 'sma100' THEN px > avg100 ELSE px > px126 END THEN 1.0 ELSE 0.0 END END AS dec FROM (
- SELECT *, CASE WHEN count(px) OVER f >= 50 THEN round(avg(px) OVER f, 9) END AS avg100, lag(px,126) OVER w AS px126 FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY pos), f AS (PARTITION BY symbol ORDER BY pos ROWS 99 PRECEDING)) CROSS JOIN (VALUES ('sma100'),('mom126')) s(study)),
+TREND_RULES = ("tsmom_12_1", "above_sma200", "above_10m_sma")  # fixed values: the declared rules
+_RULES = ",".join(f"('{r}')" for r in TREND_RULES)
+
+
+@query("PRT-10", "study symbol session ~position ~net", digits=5, parts="rets", sql=f"""
+WITH o AS (SELECT symbol, session, pos, px, CASE WHEN count(px) OVER f = 200 THEN round(avg(px) OVER f, 9) END AS a200, row_number() OVER (PARTITION BY symbol, date_trunc('month',session) ORDER BY pos DESC) AS back FROM rets WHERE px IS NOT NULL WINDOW f AS (PARTITION BY symbol ORDER BY pos ROWS 199 PRECEDING)),
+ e AS (SELECT *, lag(px,1) OVER w AS p1, lag(px,12) OVER w AS p12, CASE WHEN count(*) OVER g = 10 THEN round(avg(px) OVER g, 9) END AS a10 FROM o WHERE back = 1 WINDOW w AS (PARTITION BY symbol ORDER BY pos), g AS (PARTITION BY symbol ORDER BY pos ROWS 9 PRECEDING)),
+ k AS (SELECT symbol, pos, study, CASE WHEN coalesce(CASE study WHEN 'tsmom_12_1' THEN p1/p12 > 1 WHEN 'above_sma200' THEN px > a200 ELSE px > a10 END, false) THEN 1.0 ELSE 0.0 END AS dec FROM e CROSS JOIN (VALUES {_RULES}) s(study)),
+ d AS (SELECT r.symbol, r.session, r.pos, r.ret, s.study, k.dec FROM rets r CROSS JOIN (VALUES {_RULES}) s(study) LEFT JOIN k ON k.symbol = r.symbol AND k.pos = r.pos AND k.study = s.study),
  p AS (SELECT *, coalesce(last_value(dec IGNORE NULLS) OVER (PARTITION BY study, symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS position FROM d)
 SELECT study, symbol, session, position, position*coalesce(ret,0) - 0.0003*abs(position - coalesce(lag(position) OVER (PARTITION BY study, symbol ORDER BY pos),0)) AS net FROM p""")
 def trend_studies(spark, sf):
-    g = P.grid(spark, sf)
-    f = W.partitionBy("symbol").orderBy("pos")
-    avg = F.when(F.count("px").over(f.rowsBetween(-99, 0)) >= 50, F.round(F.avg("px").over(f.rowsBetween(-99, 0)), 9))
-    up = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
-    x = g.select("symbol", "session", "pos", "ret", up(F.col("px") > avg).alias("sma100"), up(F.col("px") > F.lag("px", 126).over(f)).alias("mom126"))
-    out = None
-    for name in ("sma100", "mom126"):
-        y = PO.month_end_decisions(x, name, "position")
-        s = PO.flip_stream(y, "position", "ret", 0.0003).join(y.select("symbol", "pos", "position"), ["symbol", "pos"]).withColumn("study", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """The three declared monthly rules of each symbol: 12-1 momentum, 200 sessions, ten month ends."""
+    own = W.partitionBy("symbol").orderBy("pos")
+    f, back = own.rowsBetween(-199, 0), F.row_number().over(W.partitionBy("symbol", F.trunc("session", "MM")).orderBy(F.col("pos").desc()))
+    x = P.placed(spark, sf).select("symbol", "session", "pos", "px", F.when(F.count("px").over(f) == 200, F.round(F.avg("px").over(f), 9)).alias("a200"), back.alias("back")).where("back = 1")
+    g = own.rowsBetween(-9, 0)
+    ten = F.when(F.count("px").over(g) == 10, F.round(F.avg("px").over(g), 9))
+    rules = dict(zip(TREND_RULES, (F.lag("px", 1).over(own) / F.lag("px", 12).over(own) > 1, F.col("px") > F.col("a200"), F.col("px") > ten), strict=True))
+    decided = x.select("symbol", "pos", *[F.coalesce(r, F.lit(False)).cast("double").alias(n) for n, r in rules.items()])
+    decided = decided.select("symbol", "pos", F.inline(F.array(*[F.struct(F.lit(n).alias("study"), F.col(n).alias("dec")) for n in TREND_RULES])))
+    days = P.grid(spark, sf).select("symbol", "session", "pos", "ret", F.explode(F.array(*[F.lit(n) for n in TREND_RULES])).alias("study"))
+    w = W.partitionBy("study", "symbol").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    y = days.join(decided, ["study", "symbol", "pos"], "left").withColumn("position", F.coalesce(F.last("dec", True).over(w), F.lit(0.0)))
+    return PO.flip_stream(y, "position", "ret", 0.0003, ("study", "symbol")).join(y.select("study", "symbol", "pos", "position"), ["study", "symbol", "pos"])
 
 
 @query("PRT-11", "trial session ~gross ~net", parts="rets flags mkt", sql="""

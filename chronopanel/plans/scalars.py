@@ -129,14 +129,16 @@ def trade_cost(spark, sf):
 
 
 @query("FUN-10", "#vec_id #other ~similarity", digits=5, sql="""
-SELECT vec_id, other, (CASE WHEN label = l2 THEN 1.0 ELSE 0.0 END + dot/nullif(sqrt(n1*n2),0))/2 AS similarity FROM (SELECT a.vec_id, b.vec_id AS other, a.label, b.label AS l2,
+SELECT vec_id, other, (CASE WHEN label = l2 THEN 1.0 ELSE 0.0 END + dot/nullif(sqrt(n1*n2),0) + (n*dot-s1*s2)/nullif(sqrt((n*n1-s1*s1)*(n*n2-s2*s2)),0))/3 AS similarity FROM (SELECT a.vec_id, b.vec_id AS other, a.label, b.label AS l2, len(a.embedding) AS n,
+ list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE))) AS s1, list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))) AS s2,
  list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE)*CAST(x[2] AS DOUBLE))) AS dot, list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)*CAST(x AS DOUBLE))) AS n1, list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)*CAST(x AS DOUBLE))) AS n2
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
 def trade_similarity(spark, sf):
+    """Each vector with the next: correlation of its components, same label, cosine."""
     e = P.table(spark, sf, "embeddings")
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("e2"), F.col("label").alias("l2"))
     x = e.join(other, "vec_id")
-    return x.withColumn("similarity", SC.similarity(None, F.col("label") == F.col("l2"), F.col("embedding"), F.col("e2")))
+    return x.withColumn("similarity", SC.similarity(SC.correlation(F.col("embedding"), F.col("e2")), F.col("label") == F.col("l2"), F.col("embedding"), F.col("e2")))
 
 
 @query("FUN-11 ASM-08", "symbol #shares", digits=5, parts="ewm own", sql="""

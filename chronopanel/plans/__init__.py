@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = (
-    "landing imports filters joins aggregates windows features tops sets scalars portfolios "
+    "landing imports proxies filters joins aggregates windows features tops sets scalars portfolios "
     "inference validation quality models contracts advisory ledgers"
 ).split()
 

@@ -169,7 +169,14 @@ def gap_adjusted_stops(spark, sf):
                     SZ.stop_return(F.col("p1"), F.col("p1") * 1.05, F.col("open_adj"), "SHORT", 8.0).alias("short_stop"))
 
 
-@query("FUN-14 PRT-17", "symbol lane status #leverage ~notional ~planned_loss")
+part("lanes", "own stop_gaps", """
+SELECT symbol, lane, leverage, notional, notional*stressed AS planned_loss, CASE WHEN leverage = 0 THEN 'NO_LEVERAGE' WHEN notional*0.001 + notional/px*0.05 > notional*stressed*0.1 THEN 'COST_TOO_HIGH' ELSE 'READY' END AS status FROM (
+SELECT *, CASE WHEN notional <= 100000 AND stressed*10 < 1 THEN 10 WHEN notional <= 50000 AND stressed*5 < 1 THEN 5 WHEN notional <= 20000 AND stressed*2 < 1 THEN 2 WHEN notional <= 10000 AND stressed < 1 THEN 1 ELSE 0 END AS leverage FROM (
+SELECT symbol, px, lane, stressed, least(10000*risk/stressed, 100000) AS notional FROM (SELECT o.symbol, o.px, 2*g.atr14/o.px + g.gap_p99 AS stressed FROM own o JOIN stop_gaps g USING (symbol) QUALIFY row_number() OVER (PARTITION BY o.symbol ORDER BY o.i DESC) = 1)
+CROSS JOIN (VALUES ('core',0.005),('standard',0.01),('elevated',0.02),('challenge_5',0.05),('challenge_10',0.1)) t(lane, risk)))""")
+
+
+@query("FUN-14 PRT-17", "symbol lane status #leverage ~notional ~planned_loss", digits=4, parts="lanes", sql="SELECT * FROM lanes")
 def risk_lanes(spark, sf):
     from ..operators.advisor import latest
 

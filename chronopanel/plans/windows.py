@@ -410,12 +410,15 @@ def event_horizon_returns(spark, sf):
     return event_returns(x, "flag", (1, 3, 5), P.calendar(spark, sf))
 
 
-@query("WIN-54", "symbol ~atr14 ~stop_long ~gap_p99 ~gap_atr", digits=5, parts="ewm own", sql="""
+part("stop_gaps", "ewm own", """
 SELECT symbol, atr AS atr14, px-2*atr AS stop_long, gap_p99, (open_adj-p1)/atr AS gap_atr FROM (
 SELECT e.symbol, e.atr, o.px, o.open_adj, lag(o.px) OVER (PARTITION BY e.symbol ORDER BY e.i) AS p1, e.i, max(e.i) OVER (PARTITION BY e.symbol) AS n
 FROM ewm e JOIN own o ON o.symbol = e.symbol AND o.i = e.i) JOIN (
 SELECT symbol, quantile_cont(greatest(1-open_adj/p1,0), 0.99) AS gap_p99 FROM (SELECT *, lag(px) OVER (PARTITION BY symbol ORDER BY i) AS p1 FROM own) WHERE p1 IS NOT NULL GROUP BY symbol)
 USING (symbol) WHERE i = n""")
+
+
+@query("WIN-54", "symbol ~atr14 ~stop_long ~gap_p99 ~gap_atr", digits=5, parts="stop_gaps", sql="SELECT * FROM stop_gaps")
 def stop_and_gap_risk(spark, sf):
     from ..operators.advisor import stop_and_gap
 

@@ -199,13 +199,6 @@ def ordinal_confidence(spark, sf):
     return P.table(spark, sf, "events").select("event_id", F.bround(F.lit(100.0) * v, 0).alias("confidence"))
 
 
-@query("FUN-18 FUN-19", "family #n_trials", parts="cal", sql="SELECT * FROM (VALUES ('CALENDAR', 4236), ('REVERSAL', 30), ('LOSS_AWARE', 900), ('OVERNIGHT', 24)) t(family, n_trials) WHERE (SELECT count(*) FROM cal) > 0")
-def declared_families(spark, sf):
-    from ..operators.families import family_sizes
-
-    return family_sizes(spark).join(F.broadcast(P.calendar(spark, sf).agg(F.count("*").alias("days")))).where("days > 0")
-
-
 @query("ASM-03", "symbol session event_time available", parts="bars", sql="""
 SELECT symbol, session, strftime(timezone('UTC', timezone('America/New_York', session + INTERVAL 16 HOUR)), '%Y-%m-%d %H:%M:%S') AS event_time, strftime(timezone('UTC', timezone('America/New_York', session + INTERVAL '16 hours 15 minutes')), '%Y-%m-%d %H:%M:%S') AS available FROM bars""")
 def daily_times(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.costs import flip_fraction
+from .asof import asof_join
 
 
 def numbered_month_ends(cal: DataFrame) -> DataFrame:
@@ -16,6 +17,22 @@ def numbered_month_ends(cal: DataFrame) -> DataFrame:
     return m.select(F.row_number().over(one).alias("k"), "session", "pos", F.lead("pos").over(one).alias("next_pos"))
 
 
+def first_usable(events: DataFrame, day: str, cal: DataFrame) -> DataFrame:
+    """Events with `first`, the position of the first session after the day on which they became known."""
+    key = F.lit(1).alias("_k")
+    sessions = cal.select(key, F.col("pos").alias("first"), F.col("session").cast("timestamp").alias("_at"))
+    asked = events.select("*", key, F.col(day).cast("timestamp").alias("_day"))
+    found = asof_join(asked, sessions, ["_k"], "_day", "_at", ["first"], "forward", True, bucket_seconds=86400 * 31)
+    return found.where("first is not null").drop("_k", "_day", "matched_at")
+
+
+def fresh_at(events: DataFrame, ends: DataFrame, value: str, order: str, stale: int) -> DataFrame:
+    """(symbol, session, value): at each month end the newest value of a symbol that is at most ``stale`` sessions old."""
+    ranked = F.struct("first", F.col(order).alias("_o"))
+    x = events.select("symbol", value, ranked.alias("_r"), F.explode(F.sequence(F.col("first"), F.col("first") + stale - 1)).alias("pos"))
+    return x.join(ends.select("pos", "session"), "pos").groupBy("symbol", "session").agg(F.max_by(value, "_r").alias(value))
+
+
 def selection_changes(selected: DataFrame, ends: DataFrame) -> DataFrame:
     """Entering and leaving names between consecutive selections."""
     s = selected.join(ends.select("k", "session"), "session").select("k", "symbol", "names")

@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "landing imports proxies filters joins aggregates windows features tops sets scalars portfolios "
-    "inference families validation quality models contracts advisory ledgers"
+    "inference families replication validation quality models contracts advisory ledgers"
 ).split()
 
 

@@ -6,6 +6,8 @@ PARTS: dict[str, tuple[str, str]] = {}
 
 
 def part(name: str, needs: str, sql: str) -> None:
+    if name in PARTS:
+        raise ValueError(f"duplicate part {name}")
     PARTS[name] = (needs, sql.strip())
 
 

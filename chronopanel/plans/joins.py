@@ -36,28 +36,31 @@ def next_click_within_tolerance(spark, sf):
                      ["user_id"], "ts", "ts", ["next_price"], direction="forward", strict=True, tolerance=12 * 3600)
 
 
-part("rates", "", "SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice)/1e7 AS rate FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+FINANCING = "5-LOW"  # the series that pays for leverage
 
+part("rate_series", "", "SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice)/1e7 AS rate FROM orders GROUP BY ALL")
+part("rates", "rate_series", "SELECT d, rate FROM rate_series WHERE series = '5-LOW'")
 
-def rates(spark, sf):
-    """A daily reference series: one row per day, usable the next morning."""
-    o = P.table(spark, sf, "orders").where("o_orderpriority = '5-LOW'")
-    return o.groupBy(F.to_date("o_orderdate").alias("d")).agg((F.avg("o_totalprice") / 1e7).alias("rate")).withColumn(
-        "available_at", clock.new_york_instant(F.date_add("d", 1), 8))
 
+def rate_series(spark, sf):
+    """Five daily reference series: one row per series and day, usable the next morning."""
+    def build():
+        o = P.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d"))
+        return o.agg((F.avg("o_totalprice") / 1e7).alias("rate")).withColumn("available_at", clock.new_york_instant(F.date_add("d", 1), 8))
 
-@query("JOIN-02 JOIN-11 ASM-06", "session ~rate ~financing", parts="cal rates", sql="""
-SELECT c.session, r.rate, (r.rate + 0.03)/360 AS financing FROM cal c ASOF LEFT JOIN rates r ON c.session >= r.d + 1""")
-def reference_rate_at_close(spark, sf):
-    left = P.calendar(spark, sf).select("session", F.lit("R").alias("series"), clock.market_close("session").alias("decision_at"))
-    j = asof_join(left, rates(spark, sf).withColumn("series", F.lit("R")), ["series"], "decision_at", "available_at", ["rate"], bucket_seconds=86400 * 366)
-    return j.withColumn("financing", (F.col("rate") + 0.03) / 360)
+    return P.kept(spark, sf, "rate_series", build)
 
 
-@query("JOIN-03", "event_id symbol first_session", parts="anns civil", sql="SELECT event_id, symbol, c.after AS first_session FROM anns JOIN civil c ON c.day = available_day WHERE c.after IS NOT NULL")
-def first_session_after_availability(spark, sf):
-    days = C.civil(P.calendar(spark, sf)).select(F.col("day").alias("available_day"), F.col("after").alias("first_session"))
-    return P.announcements(spark, sf).join(days, "available_day").where("first_session is not null")
+@query("JOIN-02 JOIN-11 ASM-06", "series session ~rate ~financing", parts="cal rate_series", sql="""
+SELECT c.series, c.session, r.rate, (r.rate + 0.03)/360 AS financing FROM (SELECT session, series FROM cal CROSS JOIN (SELECT DISTINCT series FROM rate_series)) c ASOF LEFT JOIN rate_series r ON r.series = c.series AND c.session >= r.d + 1""")
+def reference_rate_at_close(spark, sf):
+    """Every series on every session as it was known at the close."""
+    r = rate_series(spark, sf)
+    days = P.calendar(spark, sf).select("session", clock.market_close("session").alias("decision_at"))
+    left = days.join(F.broadcast(r.select("series").distinct()))  # five names
+    j = asof_join(left, r, ["series"], "decision_at", "available_at", ["rate"], bucket_seconds=86400 * 366)
+    return j.withColumn("financing", (F.col("rate") + 0.03) / 360)
 
 
 part("eps", "", """

@@ -86,17 +86,21 @@ def factor_file(spark, sf):
     return L.factor_lines(lines).withColumn("available", clock.stamp("available_at"))
 
 
-@query("SRC-09 SRC-10 SRC-19 ASM-04", "session series_id ~value", parts="mkt rates", sql="""
-SELECT session, 'MARKET' AS series_id, round(mkt, 6) AS value FROM mkt WHERE mkt IS NOT NULL AND session <> DATE '1997-06-02' UNION ALL SELECT d, 'RATE', round(rate, 6) FROM rates""")
+@query("SRC-09 SRC-10 SRC-19 ASM-04", "session series_id ~value", parts="mkt rate_series", sql="""
+SELECT session, 'MARKET' AS series_id, round(mkt, 6) AS value FROM mkt WHERE mkt IS NOT NULL AND session <> DATE '1997-06-02' UNION ALL SELECT d, 'RATE_' || series[1], round(rate, 6) FROM rate_series""")
 def reference_series(spark, sf):
     from ..operators.features import market_return
-    from .joins import rates
+    from .joins import PRIORITIES, rate_series
 
     m = market_return(P.with_returns(spark, sf)).where("mkt is not null")
     text = F.when(F.col("session") == F.lit("1997-06-02").cast("date"), ".").otherwise(F.round("mkt", 6).cast("decimal(18,6)").cast("string"))
     a = L.reference_lines(m.select(F.concat_ws(",", F.date_format("session", "yyyy-MM-dd"), text).alias("line")), "MARKET", 12)
-    b = L.reference_lines(rates(spark, sf).select(F.concat_ws(",", F.date_format("d", "yyyy-MM-dd"), F.round("rate", 6).cast("decimal(18,6)").cast("string")).alias("line")), "RATE", 16)
-    return L.signed_observations(L.wide_reference(a.unionByName(b), ["MARKET", "RATE"]), ["MARKET", "RATE"])
+    line = F.concat_ws(",", F.date_format("d", "yyyy-MM-dd"), F.round("rate", 6).cast("decimal(18,6)").cast("string")).alias("line")
+    names = {f"RATE_{p[0]}": p for p in PRIORITIES}
+    for name, priority in names.items():
+        a = a.unionByName(L.reference_lines(rate_series(spark, sf).where(F.col("series") == priority).select(line), name, 16))
+    ids = ["MARKET", *names]
+    return L.signed_observations(L.wide_reference(a, ids), ids)
 
 
 @query("SRC-11", "#page_id kind #table_no #row_no #n_cells")
@@ -168,16 +172,21 @@ def sectioned_weekly_file(spark, sf):
     return L.sectioned_lines(x).groupBy("file", "section", "name").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
 
 
-@query("SRC-18", "report_date ~net ~net_share ~open_interest available", sql="""
-SELECT d AS report_date, net, net/oi AS net_share, oi AS open_interest, strftime(timezone('UTC', timezone('America/New_York', d + 3 + INTERVAL '15 hours 30 minutes')), '%Y-%m-%d %H:%M:%S') AS available FROM (
-SELECT d, max_by(l - s, (oi, l)) AS net, max(oi) AS oi FROM (SELECT CAST(o_orderdate AS DATE) AS d, round(o_totalprice,0) AS oi, round(o_totalprice*0.6,0) AS l, round(o_totalprice*0.25,0) AS s FROM orders WHERE o_orderpriority = '3-MEDIUM') GROUP BY d)""")
+# A contract for each priority.
+CONTRACTS = {"1-URGENT": "067411", "2-HIGH": "067511", "3-MEDIUM": "067651", "4-NOT SPECIFIED": "067655", "5-LOW": "06765A"}
+
+
+@query("SRC-18", "contract report_date ~net ~net_share ~open_interest available", sql="""
+SELECT contract, d AS report_date, net, net/oi AS net_share, oi AS open_interest, strftime(timezone('UTC', timezone('America/New_York', d + 3 + INTERVAL '15 hours 30 minutes')), '%Y-%m-%d %H:%M:%S') AS available FROM (
+SELECT contract, d, max_by(l - s, (oi, l)) AS net, max(oi) AS oi FROM (SELECT CASE o_orderpriority[1] WHEN '1' THEN '067411' WHEN '2' THEN '067511' WHEN '3' THEN '067651' WHEN '4' THEN '067655' ELSE '06765A' END AS contract, CAST(o_orderdate AS DATE) AS d, round(o_totalprice,0) AS oi, round(o_totalprice*0.6,0) AS l, round(o_totalprice*0.25,0) AS s FROM orders) GROUP BY ALL)""")
 def positioning_reports(spark, sf):
-    o = P.table(spark, sf, "orders").where("o_orderpriority in ('3-MEDIUM', '4-NOT SPECIFIED')")
+    """Reports of all five contracts, rendered from all orders."""
+    code = F.create_map(*[F.lit(x) for pair in CONTRACTS.items() for x in pair])[F.col("o_orderpriority")]
     number = lambda f: F.format_number(F.round(F.col("o_totalprice") * f, 0), 0)
-    rec = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("report_date"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "067651").otherwise("0").alias("contract"),
+    rec = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("report_date"), code.alias("contract"),
                    number(0.6).alias("long_all"), number(0.25).alias("short_all"), number(1.0).alias("open_interest"))
-    docs = o.select(F.to_json(F.array(rec)).alias("body"))
-    return L.positioning(docs, "067651").withColumn("available", clock.stamp("available_at"))
+    docs = P.table(spark, sf, "orders").select(F.to_json(F.array(rec)).alias("body"))
+    return L.positioning(docs, *CONTRACTS.values()).withColumn("available", clock.stamp("available_at"))
 
 
 def snapshot(spark, sf):

@@ -263,10 +263,10 @@ FROM d JOIN fin USING (pos) CROSS JOIN (VALUES ('LONG_ONLY'),('SHORT_ONLY'),('LO
 @query("PRT-18 TOP-05", "cohort form ~leverage ~outcome bankrupt", digits=5, parts="lev", sql="""
 SELECT cohort, form, leverage, product(1+r)-1 AS outcome, bool_or(eq <= 0) AS bankrupt FROM (SELECT *, product(1+r) OVER (PARTITION BY cohort, form, leverage ORDER BY k) AS eq FROM lev) GROUP BY ALL""")
 def levered_cohorts(spark, sf):
-    from .joins import reference_rate_at_close
+    from .joins import FINANCING, reference_rate_at_close
 
     mem = CO.cohort_members(X.month_end_rows(rev5(spark, sf), P.calendar(spark, sf)), "rev", 5, 10)
-    fin = reference_rate_at_close(spark, sf).join(P.calendar(spark, sf), "session").select("pos", "financing")
+    fin = reference_rate_at_close(spark, sf).where(F.col("series") == FINANCING).join(P.calendar(spark, sf), "session").select("pos", "financing")
     last = P.calendar(spark, sf).count()
     return CO.cohort_outcomes(CO.form_paths(CO.cohort_paths(mem, P.with_returns(spark, sf), 21), fin, last, 21))
 

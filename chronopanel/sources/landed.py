@@ -154,13 +154,13 @@ def sectioned_lines(lines: DataFrame) -> DataFrame:
     return cells.withColumn("value", F.when(share >= 0.5, number))
 
 
-def positioning(docs: DataFrame, contract: str) -> DataFrame:
-    """Largest open-interest record per report date of one contract; usable on Friday 15:30."""
+def positioning(docs: DataFrame, *contracts: str) -> DataFrame:
+    """Largest open-interest record per report date of each wanted contract; usable on Friday 15:30."""
     n = lambda c: F.regexp_replace(c, "[, ]", "").try_cast("double")
-    x = docs.select(F.inline(F.from_json("body", schemas.POSITIONING))).where(F.col("contract") == contract)
-    x = x.select(F.to_date("report_date").alias("report_date"), n("long_all").alias("long"), n("short_all").alias("short"), n("open_interest").alias("open_interest"))
-    x = x.groupBy("report_date").agg(F.max(F.struct("open_interest", "long", "short")).alias("t")).select("report_date", "t.*")
-    return x.select("report_date", (F.col("long") - F.col("short")).alias("net"), ((F.col("long") - F.col("short")) / F.nullif("open_interest", F.lit(0.0))).alias("net_share"), "open_interest",
+    x = docs.select(F.inline(F.from_json("body", schemas.POSITIONING))).where(F.col("contract").isin(*contracts))
+    x = x.select("contract", F.to_date("report_date").alias("report_date"), n("long_all").alias("long"), n("short_all").alias("short"), n("open_interest").alias("open_interest"))
+    x = x.groupBy("contract", "report_date").agg(F.max(F.struct("open_interest", "long", "short")).alias("t")).select("contract", "report_date", "t.*")
+    return x.select("contract", "report_date", (F.col("long") - F.col("short")).alias("net"), ((F.col("long") - F.col("short")) / F.nullif("open_interest", F.lit(0.0))).alias("net_share"), "open_interest",
                     clock.new_york_instant(F.date_add("report_date", 3), 15, 30).alias("available_at"))
 
 

@@ -33,39 +33,39 @@ def fresh_at(events: DataFrame, ends: DataFrame, value: str, order: str, stale:
     return x.join(ends.select("pos", "session"), "pos").groupBy("symbol", "session").agg(F.max_by(value, "_r").alias(value))
 
 
-def selection_changes(selected: DataFrame, ends: DataFrame) -> DataFrame:
-    """Entering and leaving names between consecutive selections."""
-    s = selected.join(ends.select("k", "session"), "session").select("k", "symbol", "names")
-    before = s.select((F.col("k") + 1).alias("k"), "symbol", F.col("names").alias("names_before"))
-    x = s.join(before, ["k", "symbol"], "full").where("names is null or names_before is null")
+def selection_changes(selected: DataFrame, ends: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Entering and leaving names between consecutive selections (of each study in ``by``)."""
+    s = selected.join(ends.select("k", "session"), "session").select(*by, "k", "symbol", "names")
+    before = s.select(*by, (F.col("k") + 1).alias("k"), "symbol", F.col("names").alias("names_before"))
+    x = s.join(before, [*by, "k", "symbol"], "full").where("names is null or names_before is null")
     x = x.join(ends.select("k", "session"), "k")
-    return x.select("symbol", "k", "session", F.when(F.col("names").isNotNull(), "ENTER").otherwise("LEAVE").alias("change"),
+    return x.select(*by, "symbol", "k", "session", F.when(F.col("names").isNotNull(), "ENTER").otherwise("LEAVE").alias("change"),
                     F.coalesce("names", "names_before").alias("names"))
 
 
-def drifted_returns(selected: DataFrame, ends: DataFrame, market: DataFrame) -> DataFrame:
+def drifted_returns(selected: DataFrame, ends: DataFrame, market: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Daily gross return of equal-weight buy-and-hold between rebalances.
 
     Selected names are expanded to their window's sessions; missing returns count as zero, so the running
     product runs over the window's own positions.
     """
-    s = selected.select("symbol", "session").join(ends.where("next_pos is not null"), "session")
-    x = s.select("k", "symbol", F.explode(F.sequence(F.col("pos") + 1, F.col("next_pos"))).alias("pos"))
+    s = selected.select(*by, "symbol", "session").join(ends.where("next_pos is not null"), "session")
+    x = s.select(*by, "k", "symbol", F.explode(F.sequence(F.col("pos") + 1, F.col("next_pos"))).alias("pos"))
     x = x.join(market.select("symbol", "pos", "ret"), ["symbol", "pos"], "left").withColumn("r", F.coalesce("ret", F.lit(0.0)))
-    w = W.partitionBy("k", "symbol").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*by, "k", "symbol").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     x = x.withColumn("drift", F.coalesce(F.product(F.col("r") + 1).over(w), F.lit(1.0)))
-    return x.groupBy("pos").agg((F.sum(F.col("drift") * F.col("r")) / F.sum("drift")).alias("gross"))
+    return x.groupBy(*by, "pos").agg((F.sum(F.col("drift") * F.col("r")) / F.sum("drift")).alias("gross"))
 
 
-def change_costs(changes: DataFrame, ends: DataFrame, market: DataFrame) -> DataFrame:
+def change_costs(changes: DataFrame, ends: DataFrame, market: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     x = changes.join(ends.select("k", "pos"), "k").join(market.select("symbol", "pos", "adv20"), ["symbol", "pos"], "left")
     cost = flip_fraction(F.lit(1.0) / F.greatest("names", F.lit(1)), F.coalesce("adv20", F.lit(1e8)), F.lit("equity"))
-    return x.groupBy("pos").agg(F.sum(cost).alias("cost"))
+    return x.groupBy(*by, "pos").agg(F.sum(cost).alias("cost"))
 
 
-def study(selected: DataFrame, ends: DataFrame, market: DataFrame, cal: DataFrame) -> DataFrame:
-    """Gross, cost and net per session; net exists where there is a gross return or a cost."""
-    ch = change_costs(selection_changes(selected, ends), ends, market)
-    x = cal.join(drifted_returns(selected, ends, market), "pos", "left").join(ch, "pos", "left").where("gross is not null or cost > 0")
+def study(selected: DataFrame, ends: DataFrame, market: DataFrame, cal: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Gross, cost and net per session of every study in ``by``; net exists where there is a gross return or a cost."""
+    ch = change_costs(selection_changes(selected, ends, by), ends, market, by)
+    x = drifted_returns(selected, ends, market, by).join(ch, [*by, "pos"], "full").join(cal, "pos").where("gross is not null or cost > 0")
     zero = F.lit(0.0)
-    return x.select("session", "pos", "gross", F.coalesce("cost", zero).alias("cost"), (F.coalesce("gross", zero) - F.coalesce("cost", zero)).alias("net"))
+    return x.select(*by, "session", "pos", "gross", F.coalesce("cost", zero).alias("cost"), (F.coalesce("gross", zero) - F.coalesce("cost", zero)).alias("net"))

@@ -101,18 +101,53 @@ def monthly_cross_section_study(spark, sf):
     return x.where("gross is not null")
 
 
+# Study, feature, one name of how many; the lowest risk ranks first.
+MONTHLY_STUDIES = (
+    ("mom_12_1_top_decile", "m12", 10), ("mom_12_1_top_quintile", "m12", 5), ("mom_6_1_top_decile", "m6", 10),
+    ("nearness_top_decile", "near", 10), ("nearness_top_quintile", "near", 5),
+    ("volume_shock_top_decile", "shock", 10), ("volume_shock_top_quintile", "shock", 5),
+    ("vol_252_bottom_decile", "v252", 10), ("vol_63_bottom_decile", "v63", 10), ("beta_252_bottom_decile", "beta", 10),
+)
+part("monthly_books", "rets mkt cal", f"""
+WITH r AS (SELECT r.*, m.mkt FROM rets r JOIN mkt m USING (session, pos)),
+ f AS (SELECT symbol, session, pos, ret, asset_type, px21/px252 - 1 AS m12, px21/px126 - 1 AS m6, lag(near) OVER (PARTITION BY symbol ORDER BY pos) AS near, v5/v60 AS shock, v252, v63, beta FROM (
+  SELECT *, lag(px,21) OVER w AS px21, lag(px,252) OVER w AS px252, lag(px,126) OVER w AS px126, CASE WHEN count(px) OVER (w ROWS 251 PRECEDING) = 252 THEN px/max(px) OVER (w ROWS 251 PRECEDING) END AS near,
+  CASE WHEN count(volume) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = 5 THEN avg(volume) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS v5, CASE WHEN count(volume) OVER (w ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) = 60 THEN avg(volume) OVER (w ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) END AS v60,
+  CASE WHEN count(ret) OVER (w ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING) = 252 THEN -(stddev_samp(ret) OVER (w ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)) END AS v252, CASE WHEN count(ret) OVER (w ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) = 63 THEN -(stddev_samp(ret) OVER (w ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)) END AS v63,
+  CASE WHEN count(ret) OVER (w ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING) = 252 THEN -(covar_samp(ret, mkt) OVER (w ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)/var_samp(mkt) OVER (w ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)) END AS beta FROM r WINDOW w AS (PARTITION BY symbol ORDER BY pos))),
+ m AS (SELECT session, pos, row_number() OVER (ORDER BY session) AS k, lead(pos) OVER (ORDER BY session) AS next_pos FROM cal WHERE session IN (SELECT max(session) FROM cal GROUP BY date_trunc('month', session))),
+ l AS ({" UNION ALL ".join(f"SELECT '{study}' AS study, {d} AS denominator, symbol, session, {feature} AS v FROM f WHERE ret IS NOT NULL AND asset_type = 'equity' AND {feature} IS NOT NULL" for study, feature, d in MONTHLY_STUDIES)}),
+ sel AS (SELECT study, k, pos, next_pos, symbol FROM (SELECT l.*, m.k, m.pos, m.next_pos, row_number() OVER (PARTITION BY study, k ORDER BY v DESC, symbol) AS r, floor(count(*) OVER (PARTITION BY study, k)/denominator) AS names FROM l JOIN m USING (session)) WHERE r <= names AND names >= 1)
+SELECT study, session, sum(w*r)/sum(w) AS gross FROM (SELECT *, coalesce(product(1+r) OVER (PARTITION BY study, k, symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),1) AS w FROM (
+ SELECT s.study, s.k, s.symbol, t.pos, t.session, coalesce(t.ret,0) AS r FROM sel s JOIN rets t ON t.symbol = s.symbol AND t.pos > s.pos AND t.pos <= s.next_pos)) GROUP BY study, session""")
+
+
+def monthly_books(spark, sf):
+    def build():
+        m, cal = market(spark, sf), P.calendar(spark, sf)
+        r = P.with_returns(spark, sf)
+        x = r.join(FE.market_return(r).select("pos", "mkt"), "pos").withColumns({
+            "m12": FE.momentum(252, 21), "m6": FE.momentum(126, 21), "_near": FE.high_proximity(252), "shock": FE.volume_shock(),
+            "v252": -framed(F.stddev_samp("ret"), "ret", 252, end=-1), "v63": -framed(F.stddev_samp("ret"), "ret", 63, end=-1),
+            "beta": -(framed(F.covar_samp("ret", "mkt"), "ret", 252, end=-1) / framed(F.var_samp("mkt"), "ret", 252, end=-1))})
+        x = x.withColumn("near", shifted("_near", 1)).where("asset_type = 'equity' and ret is not null")
+        one = F.array(*[F.struct(F.lit(n).alias("study"), F.lit(d).alias("denominator"), F.col(c).alias("v")) for n, c, d in MONTHLY_STUDIES])
+        rows = X.month_end_rows(x, cal).select("symbol", "session", F.inline(one)).where("v is not null")
+        return MO.study(X.top_fraction(rows, "v", F.col("denominator"), 1, False, by=("study", "session")), MO.numbered_month_ends(cal), m, cal, by=("study",))
+
+    return P.kept(spark, sf, "monthly_books", build)
+
+
+@query("PRT-09 ASM-12 SET-01", "study session ~gross", parts="monthly_books", sql="SELECT * FROM monthly_books")
+def declared_monthly_books(spark, sf):
+    """Ten declared studies: momentum, nearness to the high, volume shock, volatility and beta, gross."""
+    return monthly_books(spark, sf).where("gross is not null")
+
+
 @query("PRT-09 ASM-12 SET-01", "study session ~gross ~cost ~net")
 def declared_monthly_studies(spark, sf):
-    m = market(spark, sf).where("asset_type = 'equity'")
-    feats = m.withColumn("log_ret", FE.log_return()).select(
-        "symbol", "session", "pos", shifted(FE.momentum(126, 21), 0).alias("momentum"), FE.high_proximity(63).alias("high"), FE.volume_shock().alias("shock"), (-framed(F.stddev_samp("ret"), "ret", 63, end=-1)).alias("low_vol"))
-    ends, cal = MO.numbered_month_ends(P.calendar(spark, sf)), P.calendar(spark, sf)
-    rows = X.month_end_rows(feats, cal)
-    out = None
-    for name in ("momentum", "high", "shock", "low_vol"):
-        s = MO.study(X.top_fraction(rows, name, 5, 1, False), ends, market(spark, sf), cal).withColumn("study", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """The ten studies after per-name change costs."""
+    return monthly_books(spark, sf)
 
 
 MASKS = {"seasonal": "month(session) in (11, 12, 1, 2, 3, 4)", "turn_of_month": "turn_of_month", "pre_holiday": "pre_holiday"}

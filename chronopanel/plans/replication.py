@@ -1,5 +1,8 @@
 """Known effects on the panel, and drift after announcements."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
@@ -87,12 +90,10 @@ def drift_streams(spark, sf):
         seen = attach_availability(sue, P.announcements(spark, sf).where("kind = 'EARNINGS'")).select("symbol", "quarter_end", "available")
         known = sue.join(seen, ["symbol", "quarter_end"]).select("symbol", "q", "sue", "available")
         ends = MO.numbered_month_ends(cal)
-        out = None
-        for study, stale, denominator in STUDIES:
-            fresh = MO.fresh_at(MO.first_usable(known, "available", cal), ends, "sue", "q", stale)
-            rows = fresh.join(m.where("ret is not null and asset_type = 'equity'").select("symbol", "session"), ["symbol", "session"])
-            s = MO.study(top_fraction(rows, "sue", denominator, 1, False), ends, m, cal).withColumn("study", F.lit(study))
-            out = s if out is None else out.unionByName(s)
-        return out
+        usable, held = MO.first_usable(known, "available", cal), m.where("ret is not null and asset_type = 'equity'").select("symbol", "session")
+        stale = {n for _, n, _ in STUDIES}
+        fresh = {n: MO.fresh_at(usable, ends, "sue", "q", n).join(held, ["symbol", "session"]) for n in stale}
+        rows = reduce(DataFrame.unionByName, [fresh[n].select(F.lit(name).alias("study"), F.lit(d).alias("denominator"), "symbol", "session", "sue") for name, n, d in STUDIES])
+        return MO.study(top_fraction(rows, "sue", F.col("denominator"), 1, False, by=("study", "session")), ends, m, cal, by=("study",))
 
     return P.kept(spark, sf, "drift", build)

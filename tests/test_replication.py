@@ -84,3 +84,20 @@ def test_surprises_stay_fresh(spark):
     ends = cal.where("pos in (10, 20, 30)").select("pos", "session")
     got = {(r.symbol, (r.session - DAY).days + 1): r.sue for r in MO.fresh_at(first, ends, "sue", "q", 10).collect()}
     assert got == {("a", 10): 0.5, ("a", 20): 0.7, ("b", 10): 0.1, ("d", 10): 8.0}
+
+
+def test_keyed_studies_equal_single_ones_and_hand_costs(spark):
+    cal = series(spark, [0.0] * 6).select("session", "pos")
+    ends = spark.createDataFrame([(1, DAY, 1, 3), (2, DAY + dt.timedelta(days=2), 3, 5), (3, DAY + dt.timedelta(days=4), 5, None)], "k int, session date, pos int, next_pos int")
+    market = spark.createDataFrame([(s, p, r, 1e8) for s, r in (("a", 0.1), ("b", -0.1)) for p in range(1, 7)], "symbol string, pos int, ret double, adv20 double")
+    picks = [("x", "a", DAY, 2), ("x", "b", DAY, 2), ("x", "a", DAY + dt.timedelta(days=2), 1), ("y", "b", DAY + dt.timedelta(days=2), 1)]
+    selected = spark.createDataFrame(picks, "study string, symbol string, session date, names long")
+    keyed = {(r.study, r.pos): (r.gross, r.cost, r.net) for r in MO.study(selected, ends, market, cal, by=("study",)).collect()}
+    for name in "xy":
+        one = {(name, r.pos): (r.gross, r.cost, r.net) for r in MO.study(selected.where(F.col("study") == name).drop("study"), ends, market, cal).collect()}
+        assert one == {k: v for k, v in keyed.items() if k[0] == name}
+    flip = lambda w: w * (1.5 + 1.0 + 10.0 * np.sqrt(w * 1e5 / 1e8) + 1.0) / 1e4
+    assert keyed["x", 1][1] == pytest.approx(2 * flip(0.5)) and keyed["x", 1][0] is None  # two enter
+    assert keyed["x", 3][1] == pytest.approx(flip(0.5)) and keyed["x", 5][1] == pytest.approx(flip(1.0))  # b leaves, then a
+    assert keyed["x", 2][0] == pytest.approx(0.0) and keyed["x", 3][0] == pytest.approx((1.1 * 0.1 - 0.9 * 0.1) / 2)
+    assert keyed["y", 4] == pytest.approx((-0.1, 0.0, -0.1)) and ("y", 1) not in keyed

@@ -20,3 +20,8 @@ def uniform(*parts: Column | str | int) -> Column:
 def draw_index(n: Column, *parts: Column | str | int) -> Column:
     """Integer in [0, n)."""
     return F.floor(uniform(*parts) * n).cast("bigint")
+
+
+def ieee_ratio(above: Column, below: Column) -> Column:
+    """The quotient of two doubles as IEEE 754 has it: infinite or NaN over zero, where Spark's own division raises."""
+    return F.when(below == 0, above * F.pow(below, F.lit(-1.0))).otherwise(F.try_divide(above, below))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..functions.numbers import ieee_ratio
 from .calendar import civil
 
 
@@ -32,13 +33,14 @@ def unexpected_earnings(eps: DataFrame, history: int = 8, minimum: int = 6) -> D
 
 
 def scorecard_rows(ledger: DataFrame) -> DataFrame:
-    """First fill and first later exit per recommendation. Aggregates combine map-side; no self join."""
+    """First fill and first later exit per recommendation. Aggregates combine map-side; no self join.
+    A fill at price zero has an infinite return, and none (NaN) where the exit is at zero too."""
     order = clock.arrival_key("at", "event_id")
     fills = ledger.where("event = 'FILL'").groupBy("recommendation_id").agg(F.min_by("price", order).alias("fill"), F.min("at").alias("filled_at"))
     exits = ledger.where("event = 'EXIT'").join(fills, "recommendation_id").where("at > filled_at").groupBy("recommendation_id").agg(
         F.min_by("price", order).alias("exit_price"), F.min("at").alias("exit_at"))
     x = fills.join(exits, "recommendation_id", "left")
-    return x.select("*", (F.col("exit_price") / F.col("fill") - 1).alias("ret"), F.when(F.col("exit_price").isNull(), "OPEN").otherwise("CLOSED").alias("status"))
+    return x.select("*", (ieee_ratio(F.col("exit_price"), F.col("fill")) - 1).alias("ret"), F.when(F.col("exit_price").isNull(), "OPEN").otherwise("CLOSED").alias("status"))
 
 
 def next_execution(signals: DataFrame, cal: DataFrame) -> DataFrame:

@@ -179,3 +179,30 @@ def test_winsorised_path_uses_only_the_past(spark):
     head = REC.causal_winsorize(spark.createDataFrame(rows[:45], "symbol string, session date, px double")).orderBy("session").toPandas()
     assert full["corrected"].sum() >= 1 and np.allclose(full["fixed"][:45], head["fixed"])
     assert full["fixed"][40] < px[40]
+
+
+@pytest.fixture(scope="module")
+def zero_fills(spark, tmp_path_factory):
+    """Events of four recommendations: filled at zero and left above, below or at zero, and one filled at a price."""
+    folder = str(tmp_path_factory.mktemp("zero-fills"))
+    rows, kinds = [], ("view", "click", "purchase")
+    for user, prices in enumerate([(0.0, 3.0, 5.0), (0.0, 0.0, 0.0), (0.0, -2.0, -1.0), (4.0, 0.0, 5.0), (0.0, 1.0, None)]):
+        rows += [(10 * user + i, dt.datetime(2024, 1, 2, 10, i), user, k, p, "{}") for i, (k, p) in enumerate(zip(kinds, prices, strict=True)) if p is not None]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def as_its_sql(spark, folder, name):
+    import duckdb
+    from check import canonical
+
+    from chronopanel.plans import load
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    got, want = canonical(load()[name].run(spark, folder).toPandas()), canonical(con.execute(load()[name].sql).fetchdf())
+    assert want and got == want
+
+
+def test_a_fill_at_zero_has_an_infinite_return(spark, zero_fills):
+    as_its_sql(spark, zero_fills, "fills_with_exits")

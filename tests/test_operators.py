@@ -206,3 +206,7 @@ def as_its_sql(spark, folder, name):
 
 def test_a_fill_at_zero_has_an_infinite_return(spark, zero_fills):
     as_its_sql(spark, zero_fills, "fills_with_exits")
+
+
+def test_outcomes_of_fills_at_zero(spark, zero_fills):
+    as_its_sql(spark, zero_fills, "immutable_outcomes")

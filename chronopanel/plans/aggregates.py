@@ -71,7 +71,7 @@ WITH f AS (SELECT rec, arg_min(price, (ts, event_id)) AS fill, min(ts) AS at FRO
  x AS (SELECT f.rec, arg_min(price, (ts, event_id)) AS e FROM f JOIN ledger l ON l.rec = f.rec AND l.event = 'EXIT' AND l.ts > f.at GROUP BY f.rec)
 SELECT CASE WHEN x.rec IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS status, count(*) AS n, avg(e/fill-1) AS mean_ret, avg(CASE WHEN e > fill THEN 1.0 WHEN e IS NOT NULL THEN 0.0 END) AS win_rate, min(e/fill-1) AS worst, max(e/fill-1) AS best FROM f LEFT JOIN x ON x.rec = f.rec GROUP BY 1""")
 def ledger_scorecard(spark, sf):
-    return fills_with_exits(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.min("ret").alias("worst"), F.max("ret").alias("best"))
+    return fills_with_exits(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.avg((F.col("exit_price") > F.col("fill")).cast("double")).alias("win_rate"), F.min("ret").alias("worst"), F.max("ret").alias("best"))
 
 
 @query("AGG-17", "trial #year ~annual", digits=5, parts="streams", sql="SELECT trial, year(session) AS year, exp(sum(ln(1+net)))-1 AS annual FROM streams GROUP BY ALL")

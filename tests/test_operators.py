@@ -210,3 +210,7 @@ def test_a_fill_at_zero_has_an_infinite_return(spark, zero_fills):
 
 def test_outcomes_of_fills_at_zero(spark, zero_fills):
     as_its_sql(spark, zero_fills, "immutable_outcomes")
+
+
+def test_a_scorecard_counts_wins_by_prices(spark, zero_fills):
+    as_its_sql(spark, zero_fills, "ledger_scorecard")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..functions.numbers import ieee_ratio
 
 
 def accepted_marks(marks: DataFrame) -> DataFrame:
@@ -20,10 +21,10 @@ def accepted_marks(marks: DataFrame) -> DataFrame:
 
 
 def excursions(marks: DataFrame, entry: DataFrame) -> DataFrame:
-    """Worst and best move since entry, by direction, after each mark."""
+    """Worst and best move since entry, by direction, after each mark; infinite moves from an entry at zero."""
     x = marks.join(entry, "recommendation_id")
     sign = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
-    x = x.withColumn("move", sign * (F.col("price") / F.col("fill") - 1))
+    x = x.withColumn("move", sign * (ieee_ratio(F.col("price"), F.col("fill")) - 1))
     w = W.partitionBy("recommendation_id").orderBy("at", "event_id").rowsBetween(W.unboundedPreceding, 0)
     return x.select("recommendation_id", "event_id", F.least(F.lit(0.0), F.min("move").over(w)).alias("mae"), F.greatest(F.lit(0.0), F.max("move").over(w)).alias("mfe"))
 

@@ -214,3 +214,7 @@ def test_outcomes_of_fills_at_zero(spark, zero_fills):
 
 def test_a_scorecard_counts_wins_by_prices(spark, zero_fills):
     as_its_sql(spark, zero_fills, "ledger_scorecard")
+
+
+def test_moves_from_an_entry_at_zero(spark, zero_fills):
+    as_its_sql(spark, zero_fills, "running_excursions")

@@ -27,6 +27,7 @@ from .textarrays import slices, words
 QUERY = "op4_simhash"
 SQL = None
 RADIUS, SHINGLE, SEED = 3, 3, 42
+SLICE = 250_000  # bytes of text a worker unfolds at once; the bits of their shingles take some hundred times that
 BLOCK = 2048  # fingerprints of one half value that one task compares with as many others
 _U = np.uint64
 #: The five primes of XXH64.
@@ -102,14 +103,16 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     first = np.arange(int(m.sum())) - np.repeat(heads, m[full]) + np.repeat((np.cumsum(n) - n)[full], m[full])
     last = first + np.repeat(np.minimum(n[full], shingle) - 1, m[full])
     h = xxh64(joined, begin[first], begin[last] + length[last] - begin[first])
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+    ones = np.empty((len(full), 64), np.int64)
+    for i, byte in enumerate(h.view(np.uint8).reshape(-1, 8).T):  # eight bits at a time: reduceat copies what it sums to its type
+        bits = np.unpackbits(np.ascontiguousarray(byte)[:, None], axis=1, bitorder="little")
+        ones[:, 8 * i : 8 * i + 8] = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
     out[full] = np.packbits(2 * ones > m[full][:, None], axis=1, bitorder="little").reshape(-1, 8).copy().view(np.uint64).ravel()
     return out
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in slices(batches, "text"):
+    for rows, data, offsets in slices(batches, "text", SLICE):
         keep = [rows.column(c) for c in rows.schema.names if c != "text"]
         names = [c for c in rows.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(fingerprints(data, offsets).view(np.int64))], [*names, "fp"])

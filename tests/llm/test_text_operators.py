@@ -402,3 +402,20 @@ def test_empty_tables(spark):
     assert toxicity.scored(docs, toxicity.fitted(docs, labels)).count() == 0
     assert windows.deduplicated(docs).count() == 0 and repeats.deduplicated(docs).count() == 0
     assert encoding.encode(docs).count() == 0 and counts.count_tokens(docs).count() == 0
+
+
+def test_fingerprints_take_little_memory():
+    """The bits of the shingles of a few megabytes of text are never there at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(7 * i + k * k) % 997}" for k in range(2000)) for i in range(400)]
+    size = sum(map(len, texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    rows = [r for out in simhash._fingerprint_rows(iter([batch])) for r in out.column("fp").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == len(texts) and size > 3_000_000
+    assert peak < 10 * size, peak

@@ -60,7 +60,7 @@ def state_machine(spark, sf):
         expected = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 2).cast("int").alias("expected")
         return t.select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("recommendation_id"), "event_id", to[F.col("symbol")].alias("to_state"), expected)
 
-    return RN.drain_in_order(spark, sf, lambda t: ST.transitions(changes(t)), "transitions")
+    return RN.drain_in_order(spark, sf, changes, "transitions", fold=ST.CHANGES)
 
 
 @query("STR-09 SRC-20", "symbol minute ~open ~high ~low ~close ~volume ~vwap", sql="""

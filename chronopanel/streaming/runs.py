@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path, ship_package
 from ..sources.ticks import as_ticks
+from .stateful import KEY, Fold, folded, folded_schema
 
 
 class LateRows(RuntimeError):
@@ -76,9 +77,12 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str], version: str =
     return newest.select(*[F.col(c) if c in keys else F.col(f"v.{c}").alias(c) for c in stream.columns])
 
 
-def drain_in_order(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], name: str, order: str = "event_id", ranges: int = 3) -> DataFrame:
+def drain_in_order(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], name: str, order: str = "event_id", ranges: int = 3, fold: Fold | None = None) -> DataFrame:
     """Replay a finished folder in arrival order: ranges of `order` land one after another, and the stream runs from its
-    checkpoint after each. Rows of a key are ordered inside a batch by the state, and batches follow each other."""
+    checkpoint after each. Rows of a key are ordered inside a batch by the state, and batches follow each other.
+
+    With a `fold`, each batch writes its answers and the states it leaves to a folder of its own, from the states of the
+    batch before; a batch that is run again writes the same folder again."""
     events = landed(spark, sf_dir)
     ship_package(spark)
     folder, out, check = (scratch_path(spark, f"{name}-{part}") for part in ("landing", "out", "checkpoint"))
@@ -92,10 +96,26 @@ def drain_in_order(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame]
         part.write.mode("append").parquet(folder)
         stream = build(as_ticks(spark.readStream.schema(events.schema).parquet(folder)))
         schema = stream.schema
+        if fold is not None:
+            _settle(stream.writeStream.foreachBatch(_folding(fold, out)).option("checkpointLocation", check).trigger(availableNow=True).start())
+            continue
         _settle(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start())
+    if fold is not None:
+        held = folded_schema(fold)
+        return spark.read.schema(held.add("batch", T.IntegerType())).parquet(out).where("not held").select(KEY, *T.StructType.fromDDL(fold.answer).names)
     return spark.read.schema(schema).parquet(out)
 
 
+def _folding(fold: Fold, out: str) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, epoch: int) -> None:
+        before = None
+        if epoch:
+            before = batch.sparkSession.read.schema(folded_schema(fold)).parquet(f"{out}/batch={epoch - 1}").where("held")
+        folded(batch, before, fold).write.mode("overwrite").partitionBy("held").parquet(f"{out}/batch={epoch}")
+
+    return write
+
+
 def minute_bars(ticks: DataFrame, late: str) -> DataFrame:
     """Tumbling minute bars with VWAP; `late` is how long a window stays open behind the newest tick."""
     x = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", "1 minute").alias("w")).agg(

@@ -3,16 +3,24 @@
 On a live feed the state of a key ends a month after its last change; a replay of a finished folder keeps it to the
 end, for a run that only drains what is there never comes to rest while it waits for state to expire. Rows of a key are read in arrival order; a feed that does not keep
 that order between batches goes through `runs.drain_in_order`.
+
+A state processor costs milliseconds a key, which a live feed with few changes a batch does not feel. A replay has every
+key in every batch: there a `Fold` takes the same steps over rows sorted by key, with the states of the batch before
+among them, and no call for each key.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 MONTH_MS = 31 * 24 * 3600 * 1000
@@ -97,3 +105,87 @@ def gated_marks(marks: DataFrame, live: bool = False) -> DataFrame:
 
 def transitions(changes: DataFrame, live: bool = False) -> DataFrame:
     return _run(changes, Transitions(live), "recommendation_id string, event_id bigint, to_state string, accepted boolean, state string, revision int", live)
+
+
+KEY = "recommendation_id"
+
+
+class Fold(NamedTuple):
+    """Steps over the rows of a key in their order. `step(state, *items)` gives the next state and the answer."""
+
+    order: str
+    items: dict[str, str]  # name -> expression over the rows
+    state: str
+    start: tuple
+    answer: str
+    step: Callable
+
+
+def _mark(state: tuple, event_id, at, price) -> tuple[tuple, tuple]:
+    last, low, high = state
+    fine = last is None or at is None or at > last
+    if fine:
+        last = last if at is None else at
+        if price is not None:
+            low = price if low is None else min(low, price)
+            high = price if high is None else max(high, price)
+    return (last, low, high), (event_id, fine, low, high)
+
+
+def _change(state: tuple, event_id, to_state, expected) -> tuple[tuple, tuple]:
+    now, revision = state
+    moved = to_state in ALLOWED.get(now, ()) and (expected is None or expected == revision)
+    if moved:
+        now, revision = to_state, revision + 1
+    return (now, revision), (event_id, to_state, moved, now, revision)
+
+
+MARKS = Fold("arrival", {"event_id": "event_id", "at": "unix_micros(at)", "price": "price"}, "now_at bigint, now_low double, now_high double", (None, None, None),
+             "event_id bigint, accepted boolean, low double, high double", _mark)
+CHANGES = Fold("event_id", {"event_id": "event_id", "to_state": "to_state", "expected": "expected"}, "now_state string, now_revision int", ("PROPOSED", 0),
+               "event_id bigint, to_state string, accepted boolean, state string, revision int", _change)
+
+
+def folded_schema(fold: Fold) -> T.StructType:
+    """Answers (not held) and the states that the batch leaves (held)."""
+    return T.StructType.fromDDL(f"{KEY} string, {fold.answer}, {fold.state}, held boolean")
+
+
+def folded(batch: DataFrame, before: DataFrame | None, fold: Fold) -> DataFrame:
+    """One batch of rows with the states `before` it. Rows stream through a task sorted by key, so a key of any size
+    takes one state and one Arrow batch of memory."""
+    states, schema = T.StructType.fromDDL(fold.state), folded_schema(fold)
+    rows = batch.select(KEY, F.lit(False).alias("held"), F.col(fold.order).alias("_order"), *[F.expr(e).alias(f"_i_{n}") for n, e in fold.items.items()],
+                        *[F.lit(None).cast(f.dataType).alias(f.name) for f in states])
+    if before is not None:
+        rows = rows.unionByName(before.select(KEY, F.lit(True).alias("held"), *states.names), allowMissingColumns=True)
+    n_items, n_states, start, step = len(fold.items), len(states), fold.start, fold.step
+    n_answer = len(schema) - n_states - 2
+    kinds = [pa.string(), *[_ARROW[f.dataType.simpleString()] for f in schema.fields[1:]]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)
+
+        no_answer, no_state, key, now = (None,) * n_answer, (None,) * n_states, None, None
+        for held in batches:
+            out = []
+            for one, is_state, _, *values in zip(*[c.to_pylist() for c in held.columns], strict=True):
+                if now is None or one != key:
+                    if now is not None:
+                        out.append((key, *no_answer, *now, True))
+                    key, now = one, start
+                if is_state:
+                    now = tuple(values[n_items:])
+                else:
+                    now, answer = step(now, *values[:n_items])
+                    out.append((key, *answer, *no_state, False))
+            yield packed(out)
+        if now is not None:
+            yield packed([(key, *no_answer, *now, True)])
+
+    return rows.repartition(KEY).sortWithinPartitions(KEY, F.desc("held"), F.asc_nulls_last("_order")).mapInArrow(run, schema)
+
+
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}

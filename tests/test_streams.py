@@ -72,3 +72,29 @@ def test_ordered_replay_keeps_rows_without_an_order(spark, sf, tmp_path):
     events.withColumn("event_id", F.when(F.col("event_id") % 10 > 0, F.col("event_id"))).write.parquet(f"{tmp_path}/events.parquet")
     out = runs.drain_in_order(spark, str(tmp_path), lambda t: t.select("event_id"), "nulls")
     assert out.count() == events.count() and out.where("event_id is null").count() > 0
+
+
+def test_a_replay_folds_keys_of_any_size(spark):
+    """A key over many Arrow batches beside small ones, in two batches, as a plain loop over each key has it."""
+    from chronopanel.streaming import stateful as ST
+
+    words = ["WAITING", "CONFIRMED", "UPDATED", "CANCELLED", "ENTERED", "EXITED"]
+    rows = [("hot" if i % 2 else f"k{i % 50}", i, words[i * 7 % 11 % 6], i % 2 if i % 3 == 0 else None) for i in range(6000)]
+    want, now = set(), {}
+    for key, i, to, expected in rows:
+        state, revision = now.get(key, ("PROPOSED", 0))
+        moved = to in ST.ALLOWED.get(state, ()) and expected in (None, revision)
+        now[key] = (to, revision + 1) if moved else (state, revision)
+        want.add((key, i, to, moved, *now[key]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got, before = set(), None
+        for part in (rows[:2500], rows[2500:]):
+            batch = spark.createDataFrame(part[::-1], "recommendation_id string, event_id bigint, to_state string, expected int")
+            out = ST.folded(batch, before, ST.CHANGES).cache()
+            got |= {tuple(r)[:6] for r in out.where("not held").collect()}
+            before = out.where("held")
+        assert got == want
+        assert {(r[0], r["now_state"], r["now_revision"]) for r in before.collect()} == {(k, *v) for k, v in now.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -40,7 +40,7 @@ def marks_batch(spark, sf):
 
 @query("STR-03 STR-04", "recommendation_id #event_id accepted ~low ~high", sql=MARK_SQL)
 def marks_stream(spark, sf):
-    return RN.drain_in_order(spark, sf, lambda t: ST.gated_marks(marks(t)), "marks")
+    return RN.drain_in_order(spark, sf, marks, "marks", fold=ST.MARKS)
 
 
 STATES = {"view": "WAITING", "click": "CONFIRMED", "signup": "UPDATED", "purchase": "ENTERED", "error": "EXITED"}

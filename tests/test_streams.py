@@ -98,3 +98,21 @@ def test_a_replay_folds_keys_of_any_size(spark):
         assert {(r[0], r["now_state"], r["now_revision"]) for r in before.collect()} == {(k, *v) for k, v in now.items()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_marks_fold_keeps_extremes_of_accepted_prices_over_batches(spark):
+    """A late mark, a mark without a price and one of the same moment, dealt over two batches."""
+    import datetime as dt
+
+    from chronopanel.streaming import stateful as ST
+
+    at = lambda m: dt.datetime(2024, 1, 2, 10, m)
+    rows = [("a", 1, at(5), 3.0, 1), ("a", 2, at(4), 9.0, 2), ("a", 3, at(6), None, 3), ("a", 4, at(6), 8.0, 4), ("a", 5, at(7), 1.0, 5), ("b", 6, at(1), None, 6), ("b", 7, at(2), 2.0, 7)]
+    want = {("a", 1, True, 3.0, 3.0), ("a", 2, False, 3.0, 3.0), ("a", 3, True, 3.0, 3.0), ("a", 4, False, 3.0, 3.0), ("a", 5, True, 1.0, 3.0), ("b", 6, True, None, None), ("b", 7, True, 2.0, 2.0)}
+    got, before = set(), None
+    for part in (rows[:4], rows[4:]):
+        batch = spark.createDataFrame(part, "recommendation_id string, event_id bigint, at timestamp, price double, arrival bigint")
+        out = ST.folded(batch, before, ST.MARKS).cache()
+        got |= {tuple(r)[:5] for r in out.where("not held").collect()}
+        before = out.where("held")
+    assert got == want

@@ -41,8 +41,9 @@ def stamp(instant: str | Column) -> Column:
 
 
 def arrival_key(instant: str | Column, tie: str | Column) -> Column:
-    """Instant and tie-breaker as one decimal: fixed-width, so first/last-by aggregates hash instead of sort."""
-    return F.unix_micros(col(instant)).cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)") + col(tie).cast("decimal(15,0)")
+    """Instant and tie-breaker as one decimal: fixed-width, so first/last-by aggregates hash instead of sort.
+    Instants are 2e19 apart, so any bigint may break ties."""
+    return F.unix_micros(col(instant)).cast("decimal(20,0)") * F.lit("20000000000000000000").cast("decimal(20,0)") + col(tie).cast("decimal(19,0)")
 
 
 def clock_minutes(instant: str | Column) -> Column:

@@ -218,3 +218,14 @@ def test_a_scorecard_counts_wins_by_prices(spark, zero_fills):
 
 def test_moves_from_an_entry_at_zero(spark, zero_fills):
     as_its_sql(spark, zero_fills, "running_excursions")
+
+
+@pytest.mark.parametrize("name", ["immutable_outcomes", "fills_with_exits", "running_excursions"])
+def test_any_event_number_breaks_ties(spark, tmp_path, name):
+    """Events numbered past 10^15 and below zero; two of one instant differ by their numbers only."""
+    rows = []
+    for user, first in enumerate((2 * 10**15, 2**63 - 10, -(2**63), -(10**15))):
+        for i, (k, p, minute) in enumerate([("view", 4.0, 0), ("view", 5.0, 0), ("click", 3.0, 1), ("purchase", 6.0, 2), ("purchase", 8.0, 2)]):
+            rows.append((first + i, dt.datetime(2024, 1, 2, 10, minute), user, k, p, "{}"))
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    as_its_sql(spark, str(tmp_path), name)

@@ -170,12 +170,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_tiles(nodes: DataFrame) -> DataFrame:
-    """(tile, fp, own): distinct fingerprints dealt by the half values they own or come within one bit of."""
+    """(tile, fp, own): distinct fingerprints dealt by the half values they own or come within one bit of.
+
+    Spark sizes the 66 rows of a fingerprint like the one row they come from, so the join is told not to broadcast."""
     halves = {0: F.col("fp").bitwiseAND(0xFFFFFFFF), 1: F.shiftrightunsigned("fp", 32)}
     ball = F.array(*[F.struct((F.lit(h << 32) + v.bitwiseXOR(F.lit(0 if b < 0 else 1 << b).cast("long"))).alias("key"), F.lit(b < 0).alias("own")) for h, v in halves.items() for b in range(-1, 32)])
     rows = nodes.select("fp", F.explode(ball).alias("v")).select("fp", "v.key", "v.own")
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned")).filter("owned AND n > 1").select(F.col("key").alias("met"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(met, F.col("key") == F.col("met")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = rows.hint("merge").join(met, F.col("key") == F.col("met")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("mine")).alias("i"), F.greatest(i, F.col("mine")).alias("j"))))
     return dealt.select("fp", "own", "key", pair.alias("at")).select(F.xxhash64("key", "at.i", "at.j").alias("tile"), "fp", "own")
 

@@ -92,6 +92,24 @@ def test_simhash_blocks_of_a_hot_half(spark, monkeypatch):
     assert [label[f] for f in fps] == [fps[k] for k in plain]
 
 
+def test_simhash_does_not_broadcast_the_balls(spark, tmp_path):
+    """6,000 fingerprints take 0.1 MB of Parquet, but their 396,000 rows 32 MB: the join must not send those to all."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(-(2**63), 2**63, 6000, dtype=np.int64)
+    fps[1::2] = fps[::2] ^ (1 << rng.integers(0, 62, 3000)) ^ 1  # two bits away, or none
+    spark.createDataFrame([(f,) for f in fps.tolist()], "fp long").distinct().write.parquet(f"{tmp_path}/nodes")
+    simhash.python_ready(spark)
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(1 << 20))
+    try:
+        tiles = simhash.candidate_tiles(spark.read.parquet(f"{tmp_path}/nodes")).repartition(4, "tile").sortWithinPartitions("tile", "fp")
+        edges = {(r.a, r.b) for r in tiles.mapInArrow(simhash._links, "a long, b long").distinct().collect() if r.a != r.b}
+    finally:
+        spark.conf.set(limit, before)
+    assert edges >= {(min(p), max(p)) for p in zip(fps[::2].tolist(), fps[1::2].tolist(), strict=True) if p[0] != p[1]}
+
+
 def test_xxh64_of_all_lengths():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 256, 5000).astype(np.uint8)

@@ -105,6 +105,24 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == 0
 
 
+def test_pipeline_sends_no_exploded_fingerprints_to_all(spark, tmp_path):
+    """Near-dedup of 6,000 different texts: 396,000 half variants (32 MB) come from a file of 0.1 MB."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{w}" for w in ws) for ws in rng.integers(0, 10**6, (6000, 8))]
+    made = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(9000 + i, t, "en", "a", len(t)) for i, t in enumerate(texts[:50])]
+    folder = X.folder(spark.createDataFrame(made, X.SCHEMA), tmp_path)
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(8 << 20))
+    try:
+        left = corpus_pipeline.one_of_each(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).select("doc_id").collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted(r.doc_id for r in left) == list(range(6000))
+
+
 def test_entry_without_the_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "chronopanel"):
         source = os.path.join(ROOT, name)
